@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from turnlake.llm import urlfilter
+from turnlake.llm import decontam, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +26,42 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(pages, urlfilter.rules_frame(spark, URL_RULES))
 
 
-QUERIES = {"op9_url_filter": op9_url_filter}
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return judged.select(
+        "doc_id", "n_words", "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+QUERIES = {
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_url_filter": op9_url_filter,
+}
 
 ORACLE = {
+    "op8_benchmark_decontamination": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(
+        translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i+9], ' ') AS k
+        FROM (SELECT item_id, w, unnest(range(1, greatest(len(w)-9, 1)+1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+dw AS (SELECT doc_id, n, i, array_to_string(w[i:i+n-1], ' ') AS k
+       FROM (SELECT doc_id, w, n, unnest(range(1, len(w)-n+2)) AS i FROM d, sizes WHERE len(w) >= n)),
+m AS (SELECT doc_id, i, dw.n, item_id FROM dw JOIN win ON dw.k = win.k AND dw.n = win.n),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i+n)) AS p FROM m) GROUP BY 1),
+it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
+              string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS s FROM m GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)""",
     "op9_url_filter": r"""
 WITH rules(rh, rp, act) AS (VALUES ('org','/','allow'), ('example.org','/es/','block'),
      ('example.org','/en/1','block'), ('com','/fr/','allow'), ('com','/de/','block')),
