@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm import bpe, decontam, simhash, urlfilter
+from turnlake.llm import bpe, decontam, simhash, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = toxicity.toxic_ids(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    return judged.select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
+
+
 def word_vocabulary() -> str:
     """Where the public word BPE vocabulary lies on this machine."""
     import public_tokenizers
@@ -64,6 +70,7 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES = {
     "op3_simhash": op3_simhash,
+    "op5_toxicity": op5_toxicity,
     "op6_bpe": op6_bpe,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_url_filter": op9_url_filter,

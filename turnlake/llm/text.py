@@ -24,6 +24,9 @@ BYTE_BASE, GRAM_BASE, GRAM_BASE_2 = 0x9E3779B97F4A7C55, 0xD6E8FEB86659FD93, 0xA0
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
+#: All of ASCII but letters and digits, for words without punctuation.
+MARKS = np.zeros(256, bool)
+MARKS[:128] = [not chr(b).isalnum() for b in range(128)]
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
@@ -86,14 +89,14 @@ def chunks(texts: pa.Array | pa.ChunkedArray) -> Iterator[Chunk]:
         at = to
 
 
-def words(chunk: Chunk, fold: bool = False) -> Words:
-    """All words of a chunk; fold lower-cases A-Z before hashing."""
+def words(chunk: Chunk, fold: bool = False, between: np.ndarray = _WHITE) -> Words:
+    """All words of a chunk; fold lower-cases A-Z before hashing, between marks the bytes that part words."""
     data, offsets = (_FOLD[chunk.data] if fold else chunk.data), chunk.offsets
     n, texts = len(data), len(offsets) - 1
     if not n:
         none = np.zeros(0, np.int64)
         return Words(none, none, none, np.zeros(0, U64), np.zeros(texts + 1, np.int64))
-    inside = ~_WHITE[data]
+    inside = ~between[data]
     breaks = np.zeros(n + 1, bool)
     breaks[offsets] = True
     before = np.empty(n, bool)
