@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm import bpe, decontam, simhash, substring_dedup, toxicity, urlfilter
+from turnlake.llm import bpe, decontam, lm, simhash, substring_dedup, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,15 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    scored, model = lm.score(_table(spark, sf_dir, "documents"), F.coalesce(fold != 1, F.lit(True)))
+    return scored.select(
+        "doc_id", (fold == 1).alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score",
+    )
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_simhash": op3_simhash,
@@ -80,6 +89,7 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_url_filter": op9_url_filter,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLE = {
