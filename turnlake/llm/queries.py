@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm import bpe, decontam, lm, simhash, substring_dedup, toxicity, urlfilter
+from turnlake.llm import bpe, decontam, lm, secrets, simhash, substring_dedup, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,18 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_table(spark, sf_dir, "documents"))
+    line = lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))
+    base = F.filter("findings", lambda f: f["kind"] != "model")
+    count = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(F.array_join(F.transform(base, line), ","), 256).alias("base_sha256"),
+        F.array_join(F.transform("findings", line), ",").alias("spans"),
+    )
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select(
@@ -84,6 +96,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_secrets": op2_secrets,
     "op3_simhash": op3_simhash,
     "op5_toxicity": op5_toxicity,
     "op6_bpe": op6_bpe,
