@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm import bpe, decontam, lm, secrets, simhash, substring_dedup, toxicity, urlfilter
+from turnlake.llm import bpe, decontam, lm, secrets, simhash, substring_dedup, topk, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = toxicity.toxic_ids(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
@@ -98,6 +103,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_secrets": op2_secrets,
     "op3_simhash": op3_simhash,
+    "op4_topk": op4_topk,
     "op5_toxicity": op5_toxicity,
     "op6_bpe": op6_bpe,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
@@ -106,6 +112,14 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op4_topk": r"""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+        CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""",
     "op8_benchmark_decontamination": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(
         translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
