@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm import bpe, decontam, lm, secrets, simhash, substring_dedup, topk, toxicity, urlfilter
+from turnlake.llm import bpe, decontam, lm, secrets, simhash, substring_dedup, topk, toxicity, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,18 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derive(warc.responses(_table(spark, sf_dir, "pages")))
+    field = lambda name: F.element_at(F.filter("fields", lambda f: f["name"] == name), 1)["value"]
+    return made.select(
+        "page_id", "warc_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "block_digest",
+        field("WARC-Source-Payload-Digest").alias("source_payload_digest"),
+        field("WARC-Source-Block-Digest").alias("source_block_digest"),
+        F.length("block").cast("long").alias("block_length"),
+        F.col("block").cast("string").alias("block"),
+    )
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return judged.select(
@@ -106,6 +118,7 @@ QUERIES = {
     "op4_topk": op4_topk,
     "op5_toxicity": op5_toxicity,
     "op6_bpe": op6_bpe,
+    "op7_warc": op7_warc,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_url_filter": op9_url_filter,
     "op10_lm_scoring": op10_lm_scoring,
