@@ -87,11 +87,11 @@ def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def rarest_lists(windows: DataFrame, counts: DataFrame, lists: int) -> DataFrame:
-    """(term, window, length, back, bit, full): the lists to intersect for each window.
+    """(term, window, key, length, back, bit, full): the lists to intersect for each window.
 
     The rarest terms come first. A window with a term that no document has is
-    dropped. ``back`` is the term's offset in the window, ``full`` the bits of
-    all its lists.
+    dropped. ``back`` is the term's offset in the window, ``key`` a number for
+    it, ``full`` the bits of all its lists.
     """
     terms = windows.select("window", "words").distinct().select(
         "window", F.size("words").alias("length"), F.posexplode("words").alias("back", "word")
@@ -106,25 +106,27 @@ def rarest_lists(windows: DataFrame, counts: DataFrame, lists: int) -> DataFrame
     )
     one = F.lit(1)
     return ranked.select(
-        "term", "window", "length", "back",
+        "term", "window", F.xxhash64("window").alias("key"), "length", "back",
         F.call_function("shiftleft", one, F.col("rank")).alias("bit"),
         (F.call_function("shiftleft", one, F.least("length", F.lit(lists))) - 1).alias("full"),
     )
 
 
-def phrase_matches(docs: DataFrame, windows: DataFrame, lists: int = 3) -> DataFrame:
+def phrase_matches(docs: DataFrame, windows: DataFrame, lists: int = 2) -> DataFrame:
     """(_id, _sum, found): per document with a match, its exact (start, length, window)."""
     vocabulary = windows.select(F.explode("words").alias("word")).select(_term(F.col("word")).alias("term")).distinct()
     counts = stored(term_counts(docs, _bounded(stored(vocabulary))))
     chosen = stored(rarest_lists(windows, counts, lists))
     index = build_index(docs, _bounded(stored(chosen.select("term").distinct())))
+    spots = index.join(_bounded(chosen.select("term", "key", "back", "bit", "full")), "term").select(
+        "_id", "_sum", "key", (F.col("pos") - F.col("back")).alias("start"), "bit", "full"
+    )
     survivors = (
-        index.join(_bounded(chosen), "term")
-        .withColumn("start", F.col("pos") - F.col("back"))
-        .filter("start >= 0")
-        .groupBy("_id", "_sum", "window", "start", "length", "full")
-        .agg(F.bit_or("bit").alias("bits"))
+        spots.filter("start >= 0")
+        .groupBy("_id", "_sum", "key", "start")
+        .agg(F.bit_or("bit").alias("bits"), F.max("full").alias("full"))
         .filter("bits = full")
+        .join(_bounded(chosen.select("key", "window", "length").distinct()), "key")
         .groupBy("_id", "_sum")
         .agg(F.collect_list(F.struct("start", "length", "window")).alias("found"))
     )
@@ -149,7 +151,7 @@ def decontaminate(
     documents: DataFrame,
     benchmark: DataFrame,
     size: int = 10,
-    lists: int = 3,
+    lists: int = 2,
     id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
