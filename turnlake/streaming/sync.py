@@ -1,0 +1,40 @@
+"""Incremental ingestion of transcript folders.
+
+Structured Streaming's file source takes every path once, so a transcript that
+grew is not seen again by it. ``sync_changed`` compares modification times with
+the stored checkpoint instead and reads new and changed files alike; run it on a
+schedule. ``stream_new`` is for folders whose files are written once.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from turnlake.operators.integrity import needs_sync
+from turnlake.operators.writes import turn_replace
+from turnlake.sources import transcripts as tr
+
+
+def sync_changed(spark: SparkSession, root: str, kind: str, turns: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored turns with changed transcripts read anew, and the new checkpoint (path, mtime)."""
+    found = tr.files(spark, root, "*.json" if kind == "hex" else "*.jsonl")
+    listed = found.select("path", F.col("mtime").alias("disk_mtime"))
+    changed = needs_sync(listed, known)
+    fresh = tr.READERS[kind](found.join(changed.select("path"), "path", "left_semi"))
+    columns = [c for c in turns.columns if c in fresh.columns]
+    kept = known.select("path", "mtime").join(changed.select("path"), "path", "left_anti")
+    return turn_replace(turns.select(*columns), fresh.select(*columns)), kept.unionByName(changed.select("path", F.col("disk_mtime").alias("mtime")))
+
+
+def stream_new(spark: SparkSession, root: str, kind: str, out: str, checkpoint: str) -> StreamingQuery:
+    """All files not seen before, parsed and appended as Parquet; ends when there are no more."""
+    found = spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").load(root)
+    rows = found.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), "value")
+
+    def write(batch: DataFrame, number: int) -> None:
+        # a batch that is run again writes the same folder again
+        tr.READERS[kind](batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
