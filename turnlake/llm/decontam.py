@@ -53,8 +53,9 @@ def _bounded(frame: DataFrame) -> DataFrame:
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.col(text_col)
-    return docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_sum"), text.alias("_text"))
+    """Rows under a key of two hashes, which is known for null ids and texts too."""
+    own, text = F.col(id_col), F.col(text_col)
+    return docs.select(own.alias("_own"), F.xxhash64(own).alias("_id"), F.xxhash64(text).alias("_sum"), text.alias("_text"))
 
 
 def _positions(docs: DataFrame) -> DataFrame:
@@ -170,13 +171,11 @@ def decontaminate(
         .agg(F.sort_array(F.collect_set("item")).alias("items"))
     )
     found = hit.join(items, ["_id", "_sum"], "left")
-    counted = docs.select("_id", "_sum", F.size(word_array(F.col("_text"))).cast("long").alias("n_words"))
-    joined = counted.alias("d").join(
-        found.alias("f"), F.col("d._id").eqNullSafe(F.col("f._id")) & F.col("d._sum").eqNullSafe(F.col("f._sum")), "left"
-    )
+    counted = docs.select("_own", "_id", "_sum", F.size(word_array(F.col("_text"))).cast("long").alias("n_words"))
+    joined = counted.join(found, ["_id", "_sum"], "left")
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
     return joined.select(
-        F.col("d._id").alias(id_col), "n_words", n_hit.alias("n_hit"),
+        F.col("_own").alias(id_col), "n_words", n_hit.alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         (n_hit > 0).alias("contaminated"),
     )
@@ -198,10 +197,11 @@ def proximity_matches(
     index = build_index(docs, _bounded(stored(terms.select("term").distinct())))
     spots = index.join(_bounded(stored(terms.join(need, "phrase"))), "term").distinct()
     by = Window.partitionBy("phrase", "_id", "_sum").orderBy("pos").rangeBetween(0, span - 1)
-    return (
+    found = (
         spots.withColumn("seen", F.size(F.collect_set("term").over(by)))
         .filter("seen = need")
         .groupBy("_id", "_sum", "phrase")
         .agg(F.min("pos").alias("start"))
-        .select(F.col("_id").alias(id_col), "phrase", "start")
     )
+    named = docs.select("_own", "_id", "_sum")
+    return named.join(found, ["_id", "_sum"]).select(F.col("_own").alias(id_col), "phrase", "start")
