@@ -32,6 +32,14 @@ from pyspark.sql import functions as F
 REMEMBERED_WORDS = 300_000
 _WORD_END = "</w>"
 _BASE = -1
+#: Ranges of letters and digits newer than this Python's Unicode
+#: data that the vocabulary's library knows; it takes all others for symbols.
+KNOWN_NEW = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CE), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3),
+    (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E),
+    (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA),
+    (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x16EA0, 0x16EB8), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -65,7 +73,12 @@ class Codec:
         split = spec["pre_tokenizer"]["pretokenizers"][0]
         if model.get("end_of_word_suffix") != _WORD_END or kinds != ["NFC", "Replace", "Lowercase"] or not split["invert"]:
             raise ValueError(f"{path}: not a lower-casing BPE vocabulary with word ends")
-        self._find = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")).findall
+        self._pattern = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
+        self._find = self._pattern.findall
+        known = {c for a, b in KNOWN_NEW for c in range(a, b + 1)}
+        everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        new = [c for c in regex.findall(r"[\p{L}\p{N}]", everything) if unicodedata.category(c) == "Cn" and ord(c) not in known]
+        self._new_letters, self._as_symbols = frozenset(new), dict.fromkeys(map(ord, new), "\ue000")
         self._special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         longest_first = sorted(self._special, key=len, reverse=True)
         self._special_split = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")").split if longest_first else None
@@ -156,8 +169,11 @@ class Codec:
         text = unicodedata.normalize("NFC", text)
         if "Σ" in text:
             text = text.replace("Σ", "σ")  # letters are lowered one by one, without regard to a word's end
-        words = self._words
-        return b"".join([words[w] for w in self._find(text.lower())])
+        words, text = self._words, text.lower()
+        if text.isascii() or self._new_letters.isdisjoint(text):
+            return b"".join([words[w] for w in self._find(text)])
+        spans = (m.span() for m in self._pattern.finditer(text.translate(self._as_symbols)))
+        return b"".join([words[text[a:b]] for a, b in spans])
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text as unsigned 32-bit integers."""
