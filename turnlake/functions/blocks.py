@@ -11,6 +11,8 @@ BLOCKS = (
 )
 #: Limits of what is stored.
 MAX_RESULT_BYTES, MAX_RAW_BYTES, MAX_LINE_BYTES = 128 * 1024, 1 << 20, 200 << 20
+#: Marks a stub; other writers may put their name before it.
+STRIPPED = "_stripped"
 BULK_READERS = ("Read", "NotebookRead")
 
 
@@ -123,7 +125,7 @@ def stored_line(line: Column) -> Column:
     get = lambda key: F.get_json_object(line, f"$.{key}").alias(key)
     stub = F.to_json(
         F.struct(
-            F.lit(True).alias("_ccvault_stripped"), F.octet_length(line).alias("_ccvault_original_size"),
+            F.lit(True).alias(STRIPPED), F.octet_length(line).alias("_original_size"),
             *[get(k) for k in ("uuid", "parentUuid", "sessionId", "type", "timestamp")],
         )
     )
@@ -131,4 +133,4 @@ def stored_line(line: Column) -> Column:
 
 
 def is_stub(line: Column) -> Column:
-    return (F.octet_length(line) <= 1024) & F.contains(line, F.lit('"_ccvault_stripped"'))
+    return (F.octet_length(line) <= 1024) & F.rlike(line, F.lit(rf'"\w*{STRIPPED}"'))

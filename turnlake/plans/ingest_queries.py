@@ -89,11 +89,11 @@ query("oversized_lines", "SELECT session_id AS path, count(*) FILTER (strlen(con
 query("strip_raw_json", _T + f"SELECT {_ID} AS id, 'u' || session_id || '-' || o AS uuid, 1048576 < 2 * 600000 + length(content) * 0 AS cut FROM tt WHERE o < 2")(
     lambda a: claude_lines(a).filter("line_no < 2").withColumn("big", F.concat(F.substring("line", F.lit(1), F.length("line") - 1), F.lit(',"pad":"'), F.repeat(F.lit("ab"), F.lit(600000)), F.lit('"}')))
     .select(F.get_json_object("line", "$.uuid").alias("id"), bl.stored_line(F.col("big")).alias("k"))
-    .select("id", F.get_json_object("k", "$.uuid").alias("uuid"), F.coalesce(F.get_json_object("k", "$._ccvault_stripped") == "true", F.lit(False)).alias("cut"))
+    .select("id", F.get_json_object("k", "$.uuid").alias("uuid"), F.coalesce(F.get_json_object("k", "$._stripped") == "true", F.lit(False)).alias("cut"))
 )
 query("stripped_lines", _T + f"SELECT {_ID} AS id, o % 2 = 0 AS stub FROM tt")(
     lambda a: claude_lines(a).select(
-        F.get_json_object("line", "$.uuid").alias("id"), bl.is_stub(F.when(F.col("line_no") % 2 == 0, F.lit('{"_ccvault_stripped":true}')).otherwise(F.col("line"))).alias("stub")
+        F.get_json_object("line", "$.uuid").alias("id"), bl.is_stub(F.when(F.col("line_no") % 2 == 0, F.lit('{"_mine_stripped":true}')).otherwise(F.col("line"))).alias("stub")
     )
 )
 query("truncate_text", f"SELECT session_id, id, {_CUT} AS text FROM turns")(lambda a: a.turns.select("session_id", "id", bl.truncated(F.col("content"), 200).alias("text")))
