@@ -4,7 +4,7 @@ A window is ``WINDOW`` consecutive words. Anchors are hashes of ``ANCHOR`` words
 at the positions that are 0, 1 or 3 modulo 7 in their document; as every residue
 is a difference of two of these, two equal windows, wherever they start, hold
 equal anchors at one offset. So only windows around an anchor that another
-document shares are looked at; they are compared by 128-bit hashes, and a window
+document shares are looked at; they are compared by 96-bit hashes, and a window
 that starts in a document with a smaller id too covers its words.
 
 Tasks combine their own keys first and send one entry for each key and batch of
@@ -121,7 +121,8 @@ def _window_entries(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, others, ids, size = [], [], [], 0
         for batch in batches:
-            own = batch.column(0).to_numpy(zero_copy_only=False)
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            own = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             shared = batch.column(2)
             for chunk in tx.chunks(batch.column(1)):
                 n = len(chunk.offsets) - 1
@@ -135,8 +136,9 @@ def _window_entries(buckets: int):
                 np.cumsum(marks, out=marks)
                 inside = tx.gram_inside(w, WINDOW)
                 start = np.flatnonzero(inside & (marks[PERIOD : PERIOD + len(inside)] > marks[: len(inside)]))
+                start = start[known[chunk.first + w.doc[start]]]
                 keys.append(tx.gram_hash(w.hash, WINDOW)[start])
-                others.append(tx.gram_hash(w.hash, WINDOW, tx.GRAM_BASE_2)[start])
+                others.append((tx.gram_hash(w.hash, WINDOW, tx.GRAM_BASE_2)[start] >> _U(32)).astype(np.uint32))
                 ids.append(own[chunk.first + w.doc[start]])
                 size += len(start)
                 if size >= FLUSH:
@@ -208,7 +210,7 @@ def _shared_anchors(held: list) -> tuple[np.ndarray, np.ndarray]:
 
 def _covered_windows(held: list) -> tuple[np.ndarray, np.ndarray]:
     key = np.concatenate([tx.from_planes(keys[: 8 * len(ids)], np.uint64) for _, keys, ids in held])
-    other = np.concatenate([tx.from_planes(keys[8 * len(ids) :], np.uint64) for _, keys, ids in held])
+    other = np.concatenate([tx.from_planes(keys[8 * len(ids) :], np.uint32) for _, keys, ids in held])
     ids = np.concatenate([x for _, _, x in held])
     order = np.lexsort((ids, other, key))
     key, other, ids = key[order], other[order], ids[order]

@@ -151,5 +151,6 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def bucket_count(spark) -> int:
-    """Some buckets for each shuffle partition, so that a bucket is as bounded as a task's share."""
-    return min(65536, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """Two buckets for each shuffle partition: a bucket is as bounded as a task's share,
+    and tasks send few more rows than shuffles have blocks."""
+    return min(65536, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
