@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 it as Parquet into the shared folder and hands the reread table to the next.
-All but the last keep the columns of ``documents``. Documents with a null id
-are kept by every filter: nothing can be held against them by id.
+All but the last keep the columns of ``documents``. Toxicity is judged row by
+row. Documents with a null id pass the two filters that follow: nothing can be
+held against them by id.
 """
 
 from __future__ import annotations
@@ -21,9 +22,7 @@ from turnlake.llm.queries import word_vocabulary
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the regression rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = toxicity.toxic_ids(docs, labels)
-    rejected = judged.filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    return toxicity.keep_clean(docs, toxicity.train(docs, labels))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -268,7 +268,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
 
     def answered(sent: DataFrame, decide) -> DataFrame:
-        dealt = sent.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
+        dealt = sent.repartitionById(parts, "bucket").sortWithinPartitions("bucket", "kind")
         return (
             dealt.mapInArrow(_answers(decide), "_id long, key long")
             .groupBy("_id")

@@ -141,24 +141,32 @@ def train(
     return _fit(labels_of[order] if len(order) else labels_of, [rows[k] for k in order], rates)
 
 
+def _weights(model: Model) -> np.ndarray:
+    table = np.zeros(1 << BITS)
+    table[model.index] = model.weight
+    return table
+
+
+def _chunk_scores(chunk: tx.Chunk, table: np.ndarray, bias: float) -> np.ndarray:
+    """Probability of the label 1 of each text of a chunk."""
+    docs_at, at = _features(chunk)
+    hit = table[at] != 0
+    key = np.unique(docs_at[hit] << BITS | at[hit])
+    total = bias + np.bincount(key >> BITS, table[key & ((1 << BITS) - 1)], minlength=len(chunk.offsets) - 1)
+    return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score): probability of the label 1 for every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2**BITS weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Model = shared.value
-        table = np.zeros(1 << BITS)
-        table[own.index] = own.weight
+        table = _weights(shared.value)
         for batch in batches:
             for chunk in tx.chunks(batch.column(1)):
-                n = len(chunk.offsets) - 1
-                docs_at, at = _features(chunk)
-                hit = table[at] != 0
-                key = np.unique(docs_at[hit] << BITS | at[hit])
-                total = own.bias + np.bincount(key >> BITS, table[key & ((1 << BITS) - 1)], minlength=n)
-                scores = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
+                scores = _chunk_scores(chunk, table, shared.value.bias)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(chunk.first, n), pa.array(scores, pa.float64())], names=["_id", "score"]
+                    [batch.column(0).slice(chunk.first, len(scores)), pa.array(scores, pa.float64())], names=["_id", "score"]
                 )
 
     picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
@@ -166,6 +174,21 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return picked.mapInArrow(run, f"_id {kind}, score double").withColumnRenamed("_id", id_col)
 
 
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose score is below the threshold; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _weights(shared.value)
+        for batch in batches:
+            for chunk in tx.chunks(batch.column(place)):
+                clean = _chunk_scores(chunk, table, shared.value.bias) < threshold
+                yield batch.slice(chunk.first, len(clean)).filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxic_ids(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, predicted) of every document by a model learned from the labels."""
     scored = score(docs, train(docs, labels, id_col=id_col, text_col=text_col), id_col, text_col)
