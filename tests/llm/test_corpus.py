@@ -466,6 +466,28 @@ def test_filter_never_lowers_a_count(spark, odd):
     assert raised < 0.1 * total
 
 
+def test_filter_holds_rare_words_of_a_large_corpus(spark, odd):
+    counts = lm.train_counts(odd[1]).withColumn("tokens", F.col("tokens") * 10**7)
+    model = lm.build_model(counts, tx.bucket_count(spark))
+    assert model.tokens > 10**9
+    for r in counts.collect():
+        assert (model.count(tx.from_planes(r["keys"], np.uint64), r.kind) > 0).all()
+
+
+@pytest.mark.parametrize("heavy", [2.0**-19, 0.01])
+def test_lm_scores_with_the_filter_left_in_place(odd, none, monkeypatch, heavy):
+    monkeypatch.setattr(lm, "HEAVY", heavy)
+    learn = F.coalesce(F.col("doc_id") % 3 != 1, F.lit(False))
+    plain = lambda frame: Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in frame.collect())
+    near, model = lm.score(odd[1], learn)
+    assert model.bits is not None
+    monkeypatch.setattr(lm, "FILTER_BYTES", 0)
+    far, model = lm.score(odd[1], learn)
+    assert model.bits is None and plain(far) == plain(near)
+    assert lm.score(none, F.lit(True))[0].count() == 0
+    assert plain(lm.score(odd[1], F.lit(False))[0])
+
+
 def test_op10_on_the_table(spark, data):
     fold = lambda i: zlib.crc32(str(i).encode()) % 5
     n, want = base_scores([r[:2] for r in small("documents")], lambda i: fold(i) != 1)

@@ -5,13 +5,15 @@ quantised count q of an n-gram as q nested members (n-gram, 1) to (n-gram, q);
 scoring probes level after level until one is missing, so that an error only
 ever raises a count, and with quickly falling odds.
 
-An n-gram is kept from ``SHARE`` of all training tokens on (pairs from two
-occurrences at least). At most 1/SHARE n-grams of a kind can be that frequent,
-and half as many for each further level, so the filter has a proven bound and
-is broadcast. Rarer pairs are left to the smoothing, at any size of the corpus
-alike. Exact counts of single words, which the base score needs, go two ways:
-words from ``HEAVY`` of all tokens on, at most 1/HEAVY of them, are broadcast;
-every other word is looked up where its counts lie, by a packed exchange.
+Every word is held from one occurrence and every pair from two, whatever the
+size of the corpus, so the filter grows with what there is to know. Each bucket
+has a segment of its own, stored. Segments of ``FILTER_BYTES`` together at most
+are broadcast. Larger ones are probed where they lie: n-grams from ``HEAVY`` of
+all tokens on, at most 1/HEAVY of a kind, are broadcast with their levels; every
+other one is asked for once by each bucket of texts, and the texts are scored
+beside the answers. Both ways give the same scores. Exact counts of single
+words, which the base score needs, go by the same rule: heavy words are
+broadcast, every other word is looked up where its counts lie.
 
 Tokens are words with A-Z lower-cased and one end for every text; the end is
 counted like a word. Probability: weight * c(v,w)/c(v) + (1-weight) * p(w) with
@@ -35,8 +37,10 @@ from pyspark.sql import functions as F
 from turnlake.llm import text as tx
 from turnlake.llm.shared import stored
 
-SHARE, HEAVY = 2.0**-23, 2.0**-19
+HEAVY = 2.0**-19
 LEAST_PAIRS = 2
+#: Most bytes of the filter that are broadcast.
+FILTER_BYTES = 64 << 20
 #: Bits of the filter for each member, and probes for each.
 BITS, PROBES = 10, 4
 #: Weight of the pair estimate against the single word's.
@@ -45,14 +49,14 @@ WEIGHT = 0.6
 FLUSH = 2_000_000
 _U = np.uint64
 START, END = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
-_WORD, _PAIR, _ASK = 0, 1, 2
+_SEGMENT, _WORD, _PAIR, _ASK = -1, 0, 1, 2
 _DDL = "bucket int, kind int, keys binary, counts binary, rows binary"
 _SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("rows", pa.binary())])
 
 
 class Tokens(NamedTuple):
     word: np.ndarray  # hash of every token, ends last
-    pair: np.ndarray  # hash of (token before, token), in the word's key range
+    pair: np.ndarray  # hash of (token before, token)
     before: np.ndarray  # index of the token before, -1 at a text's start
     doc: np.ndarray
 
@@ -69,7 +73,6 @@ def _tokens(chunk: tx.Chunk) -> Tokens:
     before = np.concatenate((before, last))
     context = np.where(before < 0, START, word[before])
     pair = tx.mix(context * _U(tx.GRAM_BASE) + word)
-    pair = (word >> _U(48) << _U(48)) | (pair >> _U(16))
     return Tokens(word, pair, before, np.concatenate((w.doc, np.arange(n))))
 
 
@@ -174,6 +177,30 @@ def _bits_of(key: np.ndarray, level: np.ndarray | int, kind: int, size: np.ndarr
         yield (((h & _U(0xFFFFFFFF)) + _U(k) * step) % np.asarray(size).astype(np.uint64)).astype(np.int64)
 
 
+def _probed(bits: np.ndarray, base: np.ndarray | int, size: np.ndarray, key: np.ndarray, kind: int) -> np.ndarray:
+    """Quantised counts by repeated membership probes; base and size are those of each key's segment."""
+    base = np.broadcast_to(np.asarray(base, np.int64), len(key))
+    found, left, level = np.zeros(len(key), np.int64), np.arange(len(key)), 1
+    while len(left):
+        kept = np.ones(len(left), bool)
+        for at in _bits_of(key[left], level, kind, size[left]):
+            bit = base[left] + at
+            kept &= (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+        left = left[kept]
+        found[left] = level
+        level += 1
+    return found
+
+
+def _looked_up(keys: np.ndarray, values: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Values of sorted keys, 0 where there is none."""
+    if not len(keys):
+        return np.zeros(len(key), np.int64)
+    at = np.searchsorted(keys, key)
+    at[at == len(keys)] = 0
+    return np.where(keys[at] == key, values[at], 0)
+
+
 class Model(NamedTuple):
     tokens: int  # N
     known: int  # V
@@ -182,40 +209,38 @@ class Model(NamedTuple):
     buckets: int
     start: np.ndarray  # first bit of each bucket's segment
     size: np.ndarray  # bits of each segment
-    bits: np.ndarray  # packed
+    bits: np.ndarray | None  # packed; None where the segments are too large to broadcast
     heavy: np.ndarray  # sorted keys of the most frequent words
     heavy_count: np.ndarray
+    heavy_level: np.ndarray
+    heavy_pair: np.ndarray  # sorted keys of the most frequent pairs
+    heavy_pair_level: np.ndarray
 
     def level(self, key: np.ndarray, kind: int) -> np.ndarray:
         """Quantised counts by repeated membership probes."""
         bucket = tx.bucket_of(key, self.buckets)
-        base, size = self.start[bucket], self.size[bucket]
-        found, left, level = np.zeros(len(key), np.int64), np.arange(len(key)), 1
-        while len(left):
-            kept = np.ones(len(left), bool)
-            for at in _bits_of(key[left], level, kind, size[left]):
-                bit = base[left] + at
-                kept &= (self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-            left = left[kept]
-            found[left] = level
-            level += 1
-        return found
+        return _probed(self.bits, self.start[bucket], self.size[bucket], key, kind)
 
-    def count(self, key: np.ndarray, kind: int) -> np.ndarray:
+    def middle(self, level: np.ndarray, kind: int) -> np.ndarray:
         """Middle of the quantised count's range; 0 if not held."""
-        level = self.level(key, kind)
         return np.where(level > 0, self.least[kind] * 2.0 ** (level - 0.5), 0.0)
 
+    def count(self, key: np.ndarray, kind: int) -> np.ndarray:
+        return self.middle(self.level(key, kind), kind)
+
+
+_SEGMENTS = "bucket int, size long, texts long, bits binary, heavy binary, heavy_count binary, heavy_level binary, heavy_pair binary, heavy_pair_level binary"
+
 
 def _segments(least: tuple[int, int], heavy_from: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _by_bucket(batches):
-            held, heavy, heavy_count, texts = [], b"", b"", 0
+            held, often, texts = [], {}, 0
             for _, kind, keys, counts, *_ in rows:
                 key, count = tx.from_planes(keys, np.uint64), tx.from_planes(counts)
                 held.append((kind, key, _levels(count, least[kind])))
+                often[kind] = key[count >= heavy_from], count[count >= heavy_from]
                 if kind == _WORD:
-                    heavy, heavy_count = key[count >= heavy_from].tobytes(), count[count >= heavy_from].tobytes()
                     texts = int(count[key == END].sum())
             size = max(64, BITS * int(sum(level.sum() for _, _, level in held)))
             bits = np.zeros(-(-size // 8) * 8, bool)
@@ -223,43 +248,54 @@ def _segments(least: tuple[int, int], heavy_from: int):
                 for step in range(1, int(level.max(initial=0)) + 1):
                     for at in _bits_of(key[level >= step], step, kind, size):
                         bits[at] = True
+            bits = np.packbits(bits, bitorder="little")
+            blank = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            (word, times), (pair, _) = often.get(_WORD, blank), often.get(_PAIR, blank)
+            word_level, pair_level = (_probed(bits, 0, np.full(len(k), size), k, kind) for kind, k in ((_WORD, word), (_PAIR, pair)))
+            parts = (bits, word, times, word_level, pair, pair_level)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([bucket], pa.int32()), pa.array([size], pa.int64()), pa.array([texts], pa.int64()),
-                    pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()),
-                    pa.array([heavy], pa.binary()), pa.array([heavy_count], pa.binary()),
+                    *[pa.array([x.tobytes()], pa.binary()) for x in parts],
                 ],
-                names=["bucket", "size", "texts", "bits", "heavy", "heavy_count"],
+                names=[c.split()[0] for c in _SEGMENTS.split(", ")],
             )
 
     return run
 
 
-def build_model(counts: DataFrame, buckets: int) -> Model:
-    """The filter and the heavy words, of bounded size, from the stored counts."""
+def segments(counts: DataFrame) -> tuple[DataFrame, int, int, tuple[int, int]]:
+    """Each bucket's segment of the filter and heavy n-grams, stored; N, V, and the least counts held."""
     tokens, known = counts.filter(F.col("kind") == _WORD).agg(
         F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))
     ).first()
-    least = (max(1, int(np.ceil(SHARE * tokens))), max(LEAST_PAIRS, int(np.ceil(SHARE * tokens))))
+    least = (1, LEAST_PAIRS)
     # a bucket's rows lie in one partition and in order, as they were stored
-    made = counts.mapInArrow(
-        _segments(least, max(1, int(np.ceil(HEAVY * tokens)))),
-        "bucket int, size long, texts long, bits binary, heavy binary, heavy_count binary",
-    ).toArrow()
-    rows = {r["bucket"]: r for r in made.to_pylist()}
-    blank = {"size": 64, "texts": 0, "bits": b"\0" * 8, "heavy": b"", "heavy_count": b""}
+    made = stored(counts.mapInArrow(_segments(least, max(1, int(np.ceil(HEAVY * tokens)))), _SEGMENTS))
+    return made, int(tokens), int(known), least
+
+
+def _model(made: DataFrame, tokens: int, known: int, least: tuple[int, int], buckets: int, whole: bool) -> Model:
+    rows = {r["bucket"]: r for r in made.drop(*([] if whole else ["bits"])).toArrow().to_pylist()}
+    blank = {"size": 64, "texts": 0, "bits": b"\0" * 8} | dict.fromkeys(("heavy", "heavy_count", "heavy_level", "heavy_pair", "heavy_pair_level"), b"")
     rows = [rows.get(b, blank) for b in range(buckets)]
-    nbytes = np.array([len(r["bits"]) for r in rows], np.int64)
-    heavy = np.frombuffer(b"".join(r["heavy"] for r in rows), np.uint64)
-    heavy_count = np.frombuffer(b"".join(r["heavy_count"] for r in rows), np.int64)
-    order = np.argsort(heavy)
+    size = np.array([r["size"] for r in rows], np.int64)
+    joined = lambda name, kind: np.frombuffer(b"".join(r[name] for r in rows), kind)
+    heavy, pair = joined("heavy", np.uint64), joined("heavy_pair", np.uint64)
+    order, pair_order = np.argsort(heavy), np.argsort(pair)
     return Model(
-        int(tokens), int(known), sum(r["texts"] for r in rows), least, buckets,
-        8 * np.concatenate(([0], np.cumsum(nbytes)[:-1])), np.array([r["size"] for r in rows], np.int64),
-        np.frombuffer(b"".join(r["bits"] for r in rows), np.uint8), heavy[order], heavy_count[order],
+        tokens, known, sum(r["texts"] for r in rows), least, buckets,
+        8 * np.concatenate(([0], np.cumsum(-(-size // 8))[:-1])), size, joined("bits", np.uint8) if whole else None,
+        heavy[order], joined("heavy_count", np.int64)[order], joined("heavy_level", np.int64)[order],
+        pair[pair_order], joined("heavy_pair_level", np.int64)[pair_order],
     )
 
 
+def build_model(counts: DataFrame, buckets: int) -> Model:
+    """The whole filter and the heavy n-grams in one place, whatever their size."""
+    return _model(*segments(counts), buckets, True)
+
+
 def _heavy(model: Model, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which keys are heavy, and where those are among them."""
     if not len(model.heavy):
@@ -270,38 +306,171 @@ def _heavy(model: Model, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hit, at[hit]
 
 
+_SCORED = "_row long, n_tokens long, n_heavy long, logs double, score double"
+
+
+def _scored(m: Model, ids: pa.Array, rows: pa.Array, chunk: tx.Chunk, level) -> pa.RecordBatch:
+    """Scores of a chunk's texts; level gives the quantised counts of words that are not heavy, and of pairs."""
+    total = m.tokens + 0.5 * (m.known + 1)
+    n = len(chunk.offsets) - 1
+    t = _tokens(chunk)
+    count = lambda x: np.bincount(t.doc, x, minlength=n)
+    hit, place = _heavy(m, t.word)
+    single = np.empty(len(hit))
+    single[hit] = m.middle(m.heavy_level[place], _WORD)
+    single[~hit] = m.middle(level(t.word[~hit], _WORD), _WORD)
+    context = np.where(t.before < 0, float(m.texts), single[t.before])
+    both = np.minimum(m.middle(level(t.pair, _PAIR), _PAIR), context)
+    share = np.divide(both, context, out=np.zeros(len(both)), where=context > 0)
+    p = WEIGHT * share + (1 - WEIGHT) * (single + 0.5) / total
+    logs = np.zeros(len(hit))
+    logs[hit] = np.log10(m.heavy_count[place] + 0.5)
+    return pa.RecordBatch.from_arrays(
+        [
+            ids.slice(chunk.first, n), rows.slice(chunk.first, n), pa.array(np.bincount(t.doc, minlength=n), pa.int64()),
+            pa.array(count(hit).astype(np.int64)), pa.array(count(logs)), pa.array(count(np.log10(p))),
+        ],
+        names=["_id", "_row", "n_tokens", "n_heavy", "logs", "score"],
+    )
+
+
 def _local_scores(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        total = m.tokens + 0.5 * (m.known + 1)
-        frequent, heavy_logs = m.count(m.heavy, _WORD), np.log10(m.heavy_count + 0.5)  # probed once a task
         for batch in batches:
             for chunk in tx.chunks(batch.column(2)):
-                n = len(chunk.offsets) - 1
+                yield _scored(m, batch.column(0), batch.column(1), chunk, m.level)
+
+    return run
+
+
+_PROBE = "bucket int, kind int, keys binary, at binary"
+_PROBE_NAMES = ["bucket", "kind", "keys", "at"]
+
+
+def _packets(bucket: np.ndarray, kind: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One packed row for each bucket."""
+    if not len(bucket):
+        return
+    order = np.argsort(bucket, kind="stable")
+    parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), pa.array([kind] * len(parts), pa.int32()),
+            *[pa.array([tx.planes(c[p]) for p in parts], pa.binary()) for c in columns],
+        ],
+        names=_PROBE_NAMES,
+    )
+
+
+def _once(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((at, key))
+    key, at = key[order], at[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1])
+    return key[new], at[new]
+
+
+def _probe_rows(shared):
+    """The n-grams that are not heavy, once for each task and bucket of texts, sent to their segments."""
+
+    def flush(m: Model, asked: dict) -> Iterator[pa.RecordBatch]:
+        for kind, parts in asked.items():
+            key, at = _once(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            yield from _packets(tx.bucket_of(key, m.buckets), kind, key, at)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = shared.value
+        asked, size = {}, 0
+        for batch in batches:
+            place = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int32)
+            for chunk in tx.chunks(batch.column(1)):
                 t = _tokens(chunk)
-                count = lambda x, t=t, n=n: np.bincount(t.doc, x, minlength=n)
-                hit, place = _heavy(m, t.word)
-                single = np.empty(len(hit))
-                single[hit] = frequent[place]
-                single[~hit] = m.count(t.word[~hit], _WORD)
-                context = np.where(t.before < 0, float(m.texts), single[t.before])
-                both = np.minimum(m.count(t.pair, _PAIR), context)
-                share = np.divide(both, context, out=np.zeros(len(both)), where=context > 0)
-                p = WEIGHT * share + (1 - WEIGHT) * (single + 0.5) / total
-                logs = np.zeros(len(hit))
-                logs[hit] = heavy_logs[place]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(chunk.first, n), batch.column(1).slice(chunk.first, n),
-                        pa.array(np.bincount(t.doc, minlength=n), pa.int64()),
-                        pa.array(count(hit).astype(np.int64)), pa.array(count(logs)), pa.array(count(np.log10(p))),
-                    ],
-                    names=["_id", "_row", "n_tokens", "n_heavy", "logs", "score"],
-                )
+                at = place[chunk.first + t.doc]
+                for kind, key, heavy in ((_WORD, t.word, m.heavy), (_PAIR, t.pair, m.heavy_pair)):
+                    rare = _looked_up(heavy, np.ones(len(heavy), np.int64), key) == 0
+                    asked.setdefault(kind, []).append(_once(key[rare], at[rare]))
+                    size += len(asked[kind][-1][0])
+                if size >= FLUSH:
+                    yield from flush(m, asked)
+                    asked, size = {}, 0
+        yield from flush(m, asked)
 
     return run
 
 
+def _probe_answers(shared):
+    """Levels of the asked n-grams that the segment holds, packed by bucket of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = shared.value.size
+        for bucket, rows in _by_bucket(batches):
+            bits = None
+            for _, kind, keys, at in rows:
+                if kind == _SEGMENT:
+                    bits = np.frombuffer(keys, np.uint8)
+                elif bits is not None:
+                    key, target = tx.from_planes(keys, np.uint64), tx.from_planes(at, np.int32)
+                    level = _probed(bits, 0, np.full(len(key), sizes[bucket]), key, kind)
+                    held = level > 0
+                    yield from _packets(target[held], kind, key[held], level[held].astype(np.uint8))
+
+    return run
+
+
+def _far_scores(shared):
+    """Texts of each bucket scored beside the answers, which come first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = shared.value
+        known: dict[int, tuple] = {}
+        own: dict[int, list] = {}
+        bucket = None
+
+        def level(key: np.ndarray, kind: int) -> np.ndarray:
+            if kind not in known:
+                heavy = (np.zeros(0, np.uint64), np.zeros(0, np.int64)) if kind == _WORD else (m.heavy_pair, m.heavy_pair_level)
+                keys, levels = (np.concatenate(x) for x in zip(heavy, *own.get(kind, []), strict=True))
+                keys, first = np.unique(keys, return_index=True)
+                known[kind] = keys, levels[first]
+            return _looked_up(*known[kind], key)
+
+        for batch in batches:
+            owner, kinds = (batch.column(k).to_numpy() for k in (0, 1))
+            cuts = np.flatnonzero((np.diff(owner) != 0) | (np.diff(kinds) != 0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                part = batch.slice(a, b - a)
+                if owner[a] != bucket:
+                    bucket = owner[a]
+                    known.clear()
+                    own.clear()
+                if kinds[a] == _ASK:
+                    for chunk in tx.chunks(part.column(6)):
+                        yield _scored(m, part.column(4), part.column(5), chunk, level)
+                else:
+                    got = zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)
+                    own.setdefault(int(kinds[a]), []).extend((tx.from_planes(k, np.uint64), tx.from_planes(v, np.uint8).astype(np.int64)) for k, v in got)
+
+    return run
+
+
+def _scores_by_exchange(rows: DataFrame, made: DataFrame, shared, buckets: int, parts: int) -> DataFrame:
+    """What _local_scores gives, with the segments left where they lie."""
+    kind = rows.schema["_id"].dataType.simpleString()
+    # more buckets than those of the counts: the answers of one are in memory together
+    place = F.pmod(F.xxhash64("_row"), F.lit(min(65536, 8 * buckets))).cast("int")
+    asks = rows.select(place.alias("_at"), "_text").mapInArrow(_probe_rows(shared), _PROBE)
+    held = made.select("bucket", F.lit(_SEGMENT).alias("kind"), F.col("bits").alias("keys"), F.lit(b"").alias("at"))
+    answers = (
+        asks.unionAll(held).repartitionById(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_probe_answers(shared), _PROBE)
+    )
+    blank = lambda t: F.lit(None).cast(t)
+    answers = answers.select("*", blank(kind).alias("_id"), blank("long").alias("_row"), blank("string").alias("_text"))
+    texts = rows.select(place.alias("bucket"), F.lit(_ASK).alias("kind"), blank("binary").alias("keys"), blank("binary").alias("at"), "_id", "_row", "_text")
+    dealt = answers.unionAll(texts).repartitionById(parts, "bucket").sortWithinPartitions("bucket", "kind")
+    return dealt.mapInArrow(_far_scores(shared), f"_id {kind}, {_SCORED}")
+
+
 def _ask_rows(shared, buckets: int):
     def flush(keys: list, rows: list) -> Iterator[pa.RecordBatch]:
         key, row = np.concatenate(keys), np.concatenate(rows)
@@ -402,12 +571,14 @@ def score(
     spark = docs.sparkSession
     buckets, parts = tx.bucket_count(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = train_counts(docs.filter(training), text_col)
-    model = build_model(counts, buckets)
+    made, tokens, known, least = segments(counts)
+    whole = (made.agg(F.sum(F.octet_length("bits"))).first()[0] or 0) <= FILTER_BYTES
+    model = _model(made, tokens, known, least, buckets, whole)
     shared = spark.sparkContext.broadcast(model)
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col), text).alias("_row"), text.alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
-    local = rows.mapInArrow(_local_scores(shared), f"_id {kind}, _row long, n_tokens long, n_heavy long, logs double, score double")
+    local = rows.mapInArrow(_local_scores(shared), f"_id {kind}, {_SCORED}") if whole else _scores_by_exchange(rows, made, shared, buckets, parts)
     asks = rows.select("_row", "_text").mapInArrow(_ask_rows(shared, buckets), _DDL)
     words = counts.filter(F.col("kind") == _WORD).select("bucket", "kind", "keys", "counts", F.lit(b"").alias("rows"))
     answers = (
