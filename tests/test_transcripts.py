@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from turnlake.sources import transcripts as tr
 from turnlake.streaming.sync import stream_new, sync_changed
@@ -117,3 +118,15 @@ def test_history_and_sidecars(spark, tmp_path):
     assert [(r.display, r.pastedContents) for r in got] == [("d", {"1": "x"})]
     (tmp_path / "agent-1.meta.json").write_text('{"agentType":"search"}')
     assert tr.sidecars(spark, str(tmp_path)).first().agentType == "search"
+
+
+def test_stored_line_on_both_sides_of_a_limit(spark, data):
+    from turnlake.functions import blocks as bl
+    from turnlake.plans import registry
+
+    lines = ['{"uuid":"a","text":"é"}', '{"uuid":"b","text":"ée"}']
+    kept = [r.k for r in spark.createDataFrame([(x,) for x in lines], "line string").select(bl.stored_line(F.col("line"), 24).alias("k")).collect()]
+    assert kept[0] == lines[0] and json.loads(kept[1]) == {"_stripped": True, "_original_size": 25, "uuid": "b"}
+    everything = registry.QUERIES["strip_raw_json_all"](spark, data).groupBy("cut").count().collect()
+    assert {r.cut for r in everything} == {True, False}
+    assert sum(r["count"] for r in everything) == registry.QUERIES["stripped_lines"](spark, data).count()

@@ -120,7 +120,7 @@ def retagged(kind: Column, content: Column) -> Column:
     return F.when((kind == "user") & only, "tool_result").otherwise(kind)
 
 
-def stored_line(line: Column) -> Column:
+def stored_line(line: Column, most: int = MAX_RAW_BYTES) -> Column:
     """A line as kept: long ones leave a stub with their ids and size."""
     get = lambda key: F.get_json_object(line, f"$.{key}").alias(key)
     stub = F.to_json(
@@ -129,7 +129,7 @@ def stored_line(line: Column) -> Column:
             *[get(k) for k in ("uuid", "parentUuid", "sessionId", "type", "timestamp")],
         )
     )
-    return F.when(F.octet_length(line) > MAX_RAW_BYTES, stub).otherwise(line)
+    return F.when(F.octet_length(line) > most, stub).otherwise(line)
 
 
 def is_stub(line: Column) -> Column:

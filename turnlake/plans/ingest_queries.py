@@ -91,6 +91,16 @@ query("strip_raw_json", _T + f"SELECT {_ID} AS id, 'u' || session_id || '-' || o
     .select(F.get_json_object("line", "$.uuid").alias("id"), bl.stored_line(F.col("big")).alias("k"))
     .select("id", F.get_json_object("k", "$.uuid").alias("uuid"), F.coalesce(F.get_json_object("k", "$._stripped") == "true", F.lit(False)).alias("cut"))
 )
+_WHOLE = f"""'{{"uuid":' || to_json({_ID}) || ',"text":' || to_json(content) || '}}'"""
+query("strip_raw_json_all", _T + f"SELECT {_ID} AS id, strlen({_WHOLE}) > 300 AS cut, CASE WHEN strlen({_WHOLE}) > 300 THEN strlen({_WHOLE}) END AS size, CASE WHEN strlen({_WHOLE}) <= 300 THEN content END AS text FROM tt")(
+    lambda a: a.turns.filter("content is not null")
+    .select(F.to_json(F.struct(F.concat(F.lit("u"), "session_id", F.lit("-"), F.col("ordinal").cast("string")).alias("uuid"), F.col("content").alias("text"))).alias("line"))
+    .select(bl.stored_line(F.col("line"), 300).alias("k"))
+    .select(
+        F.get_json_object("k", "$.uuid").alias("id"), F.coalesce(F.get_json_object("k", "$._stripped") == "true", F.lit(False)).alias("cut"),
+        F.get_json_object("k", "$._original_size").cast("long").alias("size"), F.get_json_object("k", "$.text").alias("text"),
+    )
+)
 query("stripped_lines", _T + f"SELECT {_ID} AS id, o % 2 = 0 AS stub FROM tt")(
     lambda a: claude_lines(a).select(
         F.get_json_object("line", "$.uuid").alias("id"), bl.is_stub(F.when(F.col("line_no") % 2 == 0, F.lit('{"_mine_stripped":true}')).otherwise(F.col("line"))).alias("stub")
