@@ -130,3 +130,11 @@ def test_stored_line_on_both_sides_of_a_limit(spark, data):
     everything = registry.QUERIES["strip_raw_json_all"](spark, data).groupBy("cut").count().collect()
     assert {r.cut for r in everything} == {True, False}
     assert sum(r["count"] for r in everything) == registry.QUERIES["stripped_lines"](spark, data).count()
+
+
+def test_integrity_of_a_window_and_of_all(spark):
+    from turnlake.operators import integrity as it
+
+    turns = spark.createDataFrame([("s", str(k), f"2026-01-0{k}", "{oops" if k == 1 else "{}") for k in range(1, 6)], "session_id string, id string, timestamp string, raw_json string")
+    found = lambda newest: [(r.session_id, r.checked, r.invalid) for r in it.raw_json_integrity(turns, newest).collect()]
+    assert found(4) == [] and found(0) == found(9) == [("s", 5, 1)]

@@ -52,8 +52,8 @@ def cache_coverage(a: Archive) -> DataFrame:
 
 
 def raw_json_integrity(turns: DataFrame, newest: int = 100_000) -> DataFrame:
-    """Sessions with unreadable raw JSON among the newest turns."""
-    window = turns.orderBy(F.desc_nulls_last("timestamp"), "session_id", "id").limit(newest)
+    """Sessions with unreadable raw JSON among the newest turns; 0 means all turns."""
+    window = turns if newest <= 0 else turns.orderBy(F.desc_nulls_last("timestamp"), "session_id", "id").limit(newest)
     bad = F.try_parse_json("raw_json").isNull() & F.col("raw_json").isNotNull()
     return window.groupBy("session_id").agg(F.count(F.lit(1)).alias("checked"), F.count_if(bad).alias("invalid")).filter("invalid > 0")
 

@@ -141,6 +141,9 @@ query("timestamp_layout", "SELECT 'ended' AS name, count(*) AS filled, count(*)
 query("raw_json_integrity", ", w AS (SELECT session_id, ordinal FROM turns ORDER BY timestamp DESC, session_id, id LIMIT 200) SELECT session_id, count(*) AS checked, count(*) FILTER (ordinal % 3 = 1) AS invalid FROM w GROUP BY 1 HAVING count(*) FILTER (ordinal % 3 = 1) > 0")(
     lambda a: it.raw_json_integrity(a.turns.withColumn("raw_json", F.when(F.col("ordinal") % 3 == 1, "{oops").otherwise('{"a": [1]}')), 200)
 )
+query("raw_json_integrity_all", "SELECT session_id, count(*) AS checked, count(*) FILTER (ordinal % 3 = 1) AS invalid FROM turns GROUP BY 1 HAVING count(*) FILTER (ordinal % 3 = 1) > 0")(
+    lambda a: it.raw_json_integrity(a.turns.withColumn("raw_json", F.when(F.col("ordinal") % 3 == 1, "{oops").otherwise('{"a": [1]}')), 0)
+)
 
 
 def codex_lines(a: Archive) -> DataFrame:
