@@ -138,3 +138,21 @@ def test_integrity_of_a_window_and_of_all(spark):
     turns = spark.createDataFrame([("s", str(k), f"2026-01-0{k}", "{oops" if k == 1 else "{}") for k in range(1, 6)], "session_id string, id string, timestamp string, raw_json string")
     found = lambda newest: [(r.session_id, r.checked, r.invalid) for r in it.raw_json_integrity(turns, newest).collect()]
     assert found(4) == [] and found(0) == found(9) == [("s", 5, 1)]
+
+
+def test_pi_calls(spark):
+    call = lambda i, n: {"type": "toolCall", "id": i, "name": n, "arguments": {"path": i}}
+    told = lambda i, content, bad: {"type": "message", "id": "r" + i, "message": {"role": "toolResult", "toolCallId": i, "content": content, "isError": bad}}
+    entries = [
+        {"type": "session", "id": "h"},
+        {"type": "message", "id": "1", "message": {"role": "assistant", "content": [{"type": "text", "text": "t"}, call("a", "bash"), call("b", "Read")]}},
+        told("a", "old", True), told("a", [{"type": "text", "text": "x"}, {"type": "text", "text": "y"}], False), told("b", "whole file", False), told("nobody", "z", True),
+        {"type": "message", "id": "2", "message": {"role": "assistant", "content": [call("c", "bash"), call("d", "bash")]}}, told("c", "failed", True),
+    ]
+    lines = rows(spark, entries)
+    got = {r.tool_use_id: (r.turn_id, r.turn_ordinal, r.tool_name, json.loads(r.input_json), r.result_content, r.result_length, r.result_omitted_reason, r.is_error) for r in tr.pi_calls(lines).collect()}
+    assert got == {
+        "a": ("1", 0, "bash", {"path": "a"}, "x\n\ny", 4, None, False), "b": ("1", 1, "Read", {"path": "b"}, None, 10, "bulk_read", False),
+        "c": ("2", 0, "bash", {"path": "c"}, "failed", 6, None, True), "d": ("2", 1, "bash", {"path": "d"}, None, None, None, None),
+    }
+    assert {r.id: r.has_error for r in tr.pi_turns(lines).collect()} == {"1": False, "2": True}

@@ -281,13 +281,40 @@ def _pi(rows: DataFrame) -> DataFrame:
     )
 
 
+def _pi_text(content: Column) -> Column:
+    spoken = F.transform(bl.blocks(content), lambda b: F.when(b["type"] == "text", b["text"]).when(b["type"] == "thinking", b["thinking"]))
+    return F.when(bl.is_array(content), bl.joined(spoken, "\n\n")).otherwise(content)
+
+
+def pi_calls(rows: DataFrame) -> DataFrame:
+    """Calls of assistant messages with the last result of each call id in the file.
+
+    Matching is by id alone; a call without a result has neither length nor outcome.
+    """
+    m = F.col("_e.message")
+    said = rows.withColumn("_e", F.from_json("line", _PI)).filter("_e.type = 'message'")
+    results = said.filter((m["role"] == "toolResult") & (m["toolCallId"] != "")).groupBy("path", m["toolCallId"].alias("tool_use_id")).agg(
+        F.max_by(F.struct(F.coalesce(_pi_text(m["content"]), F.lit("")).alias("text"), m["isError"].alias("is_error")), "line_no").alias("r")
+    )
+    listed = F.when(bl.is_array(m["content"]), F.from_json(m["content"], "array<struct<type:string,id:string,name:string,arguments:string>>"))
+    calls = said.filter(m["role"] == "assistant").select("path", "line_no", F.col("_e.id").alias("turn_id"), F.posexplode(listed).alias("position", "b")).filter("b.type = 'toolCall'")
+    calls = calls.select(
+        "path", "line_no", "turn_id", F.col("b.id").alias("tool_use_id"), F.col("b.name").alias("tool_name"), F.col("b.arguments").alias("input_json"),
+        (F.row_number().over(Window.partitionBy("path", "line_no").orderBy("position")) - 1).alias("turn_ordinal"),
+    )
+    length = F.octet_length("r.text")
+    reason = F.when(F.col("tool_name").isin(*bl.BULK_READERS), "bulk_read").when(length > bl.MAX_RESULT_BYTES, "oversize")
+    return calls.join(results, ["path", "tool_use_id"], "left").select(
+        "path", "line_no", "turn_id", "tool_use_id", "tool_name", "input_json", F.octet_length("input_json").alias("input_length"), "turn_ordinal",
+        F.when(reason.isNull(), F.col("r.text")).alias("result_content"), length.alias("result_length"),
+        F.when(F.col("r").isNotNull(), reason).alias("result_omitted_reason"), F.col("r.is_error").alias("is_error"),
+    )
+
+
 def pi_turns(rows: DataFrame) -> DataFrame:
-    """Messages, usage notes, summaries and custom messages as turns; tool results are none."""
+    """Messages, usage notes, summaries and custom messages as turns; tool results are none, but a failed one marks the calling turn."""
     m, kind = F.col("_e.message"), F.col("_e.type")
-    text = lambda c: F.when(
-        bl.is_array(c),
-        bl.joined(F.transform(bl.blocks(c), lambda b: F.when(b["type"] == "text", b["text"]).when(b["type"] == "thinking", b["thinking"])), "\n\n"),
-    ).otherwise(c)
+    text = _pi_text
     shell = F.concat(
         F.lit("$ "), m["command"], F.coalesce(F.concat(F.lit("\n"), F.nullif(m["output"], F.lit(""))), F.lit("")),
         F.when(F.coalesce(m["cancelled"], F.lit(False)), "\n\n(cancelled)").when(m["exitCode"] != 0, F.concat(F.lit("\n\n(exit "), m["exitCode"].cast("string"), F.lit(")"))).otherwise(""),
@@ -301,11 +328,13 @@ def pi_turns(rows: DataFrame) -> DataFrame:
     role = F.when((kind == "message") & m["role"].isin("user", "bashExecution"), "user").when((kind == "message") & (m["role"] == "assistant"), "assistant").otherwise("system")
     spent = F.when((kind == "message") & (m["role"] == "assistant"), m["usage"]).when(kind.isin("usage", "compaction", "branch_summary"), F.col("_e.usage"))
     own = _pi(rows).filter(kind.isin("message", "usage", "compaction", "branch_summary", "custom_message")).filter((kind != "message") | F.coalesce(m["role"] != "toolResult", F.lit(True)))
+    failed = pi_calls(rows).filter("is_error").select("path", "line_no", F.lit(True).alias("_failed")).distinct()
+    own = own.join(failed, ["path", "line_no"], "left")
     order = Window.partitionBy("path").orderBy("line_no")
     return own.select(
         "path", "session_id", F.col("_e.id").alias("id"), F.col("_e.parentId").alias("parent_id"), (F.row_number().over(order) - 1).alias("ordinal"), role.alias("type"),
         pt.parsed_time(F.col("_e.timestamp")).alias("timestamp"), F.coalesce(content, F.lit("")).alias("content"), "model", "forked_from",
-        ((m["stopReason"] == "error") | F.coalesce(m["errorMessage"] != "", F.lit(False))).alias("has_error"),
+        (F.coalesce(m["stopReason"] == "error", F.lit(False)) | F.coalesce(m["errorMessage"] != "", F.lit(False)) | F.coalesce("_failed", F.lit(False))).alias("has_error"),
         *[F.coalesce(spent[a], F.lit(0)).alias(b) for a, b in (("input", "input_tokens"), ("output", "output_tokens"), ("cacheRead", "cache_read_tokens"), ("cacheWrite", "cache_write_tokens"))],
     )
 
