@@ -26,9 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays."""
-    found = simhash.near_duplicates(docs)
-    extra = found.filter("doc_id <> component").select("doc_id").distinct()
+    """Documents go whose five-word shingles are 0.8 or more the same as those of one that stays, of a lesser id."""
+    extra = simhash.copies(docs).select("doc_id").distinct()
     return docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
 
 

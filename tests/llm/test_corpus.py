@@ -202,6 +202,30 @@ def test_op3_on_the_table(spark, data):
     assert got == {i: (format(fps[i], "016x"), groups[i]) for i in fps}
 
 
+@pytest.mark.parametrize("small, leaders", [(256, 64), (6, 2)])
+def test_copies_planted_at_known_similarity(spark, monkeypatch, small, leaders):
+    monkeypatch.setattr(simhash, "SMALL", small)
+    monkeypatch.setattr(simhash, "LEADERS", leaders)
+    rng = random.Random(8)
+    prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, planted = [], {}
+    for k in range(120):
+        base, least = prose(304), (0.8, 0.9, 0.95, 0.6)[k % 4]
+        # of 300 shingles an appended tail of m words gives 300 / (300 + m)
+        tail = prose(int(300 / least) - 300)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base + tail))]
+        planted[2 * k + 1] = least
+    base = prose(100)
+    rows += [(1000 + k, " ".join(base + [f"v{k}"])) for k in range(30)] + [(2000, None), (2001, ""), (None, rows[0][1])]
+    got = {r.doc_id: r.copy_of for r in simhash.copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for least in (0.8, 0.9, 0.95):
+        of = [i for i, x in planted.items() if x == least]
+        assert sum(got.get(i) == i - 1 for i in of) >= 0.95 * len(of), least
+    assert not any(i in got for i, x in planted.items() if x == 0.6)
+    assert {i for i in got if i >= 1000} == {1000 + k for k in range(1, 30)} | {2001}
+    assert all(i % 2 == 1 and got[i] == i - 1 for i in got if i < 1000)
+
+
 def test_links_over_many_blocks(spark):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
