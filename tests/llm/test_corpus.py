@@ -464,52 +464,67 @@ def base_scores(rows, training):
     return n, Counter((i, len(ws), sum(counts[w] > 0 for w in ws), round(score(ws), 4)) for i, ws in texts)
 
 
-@pytest.mark.parametrize("heavy", [2.0**-19, 0.01])
-def test_lm_base_scores(odd, none, monkeypatch, heavy):
-    monkeypatch.setattr(lm, "HEAVY", heavy)
+def pair_scores(rows, training):
+    """Scores from exact pair counts, quantised like those of the filter."""
+    texts = [(i, ["<", *words(t, True), None]) for i, t in rows]
+    learned = [ws for i, ws in texts if training(i)]
+    single = Counter(w for ws in learned for w in ws[1:])
+    pairs = Counter(p for ws in learned for p in zip(ws[:-1], ws[1:], strict=True))
+    n, v = sum(single.values()), len(single)
+    single["<"] = len(learned)
+    out = Counter()
+    for i, ws in texts:
+        total = 0.0
+        for a, b in zip(ws[:-1], ws[1:], strict=True):
+            p, c = (single[b] + 0.5) / (n + 0.5 * (v + 1)), pairs[a, b]
+            if single[a]:
+                level = c.bit_length()  # 1 for one, 2 for two and three, and so on
+                middle = (2 ** (level - 1) + 2**level - 1) / 2 if c else 0
+                p = lm.WEIGHT * min(middle, single[a]) / single[a] + (1 - lm.WEIGHT) * p
+            total += math.log10(p)
+        out[i, round(total, 4)] += 1
+    return out
+
+
+@pytest.mark.parametrize("frequent, home", [(1 << 18, 8 << 20), (40, 4000), (0, 8 << 20)])
+def test_lm_scores(odd, none, monkeypatch, frequent, home):
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
+    monkeypatch.setattr(lm, "HOME_BYTES", home)
+    monkeypatch.setattr(lm, "BITS", 400)  # next to no false members
     rows, frame = odd
-    scored, model = lm.score(frame, F.coalesce(F.col("doc_id") % 3 != 1, F.lit(False)))
-    n, want = base_scores(rows, lambda i: i is not None and i % 3 != 1)
+    learned = lambda i: i is not None and i % 3 != 1
+    scored, model = lm.score(frame, F.col("doc_id") % 3 != 1)
+    n, want = base_scores(rows, learned)
     got = scored.collect()
     assert model.tokens == n and Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 4)) for r in got) == want
-    assert all(r.score < 0 and math.isfinite(r.score) for r in got)
+    assert Counter((r.doc_id, round(r.score, 4)) for r in got) == pair_scores(rows, learned)
     assert lm.score(none, F.lit(True))[0].count() == 0
     unlearned, blank = lm.score(frame, F.lit(False))
     assert blank.tokens == 0 and {r.n_known for r in unlearned.collect()} == {0}
 
 
-def test_filter_never_lowers_a_count(spark, odd):
-    counts = lm.train_counts(odd[1])
-    model = lm.build_model(counts, tx.bucket_count(spark))
-    raised = total = 0
-    for r in counts.collect():
-        key, count = tx.from_planes(r["keys"], np.uint64), tx.from_planes(r.counts)
-        level, least = model.level(key, r.kind), lm._levels(count, model.least[r.kind])
-        assert (level >= least).all()
-        raised, total = raised + int((level > least).sum()), total + len(key)
-    assert raised < 0.1 * total
-
-
-def test_filter_holds_rare_words_of_a_large_corpus(spark, odd):
-    counts = lm.train_counts(odd[1]).withColumn("tokens", F.col("tokens") * 10**7)
-    model = lm.build_model(counts, tx.bucket_count(spark))
-    assert model.tokens > 10**9
-    for r in counts.collect():
-        assert (model.count(tx.from_planes(r["keys"], np.uint64), r.kind) > 0).all()
-
-
-@pytest.mark.parametrize("heavy", [2.0**-19, 0.01])
-def test_lm_scores_with_the_filter_left_in_place(odd, none, monkeypatch, heavy):
-    monkeypatch.setattr(lm, "HEAVY", heavy)
-    learn = F.coalesce(F.col("doc_id") % 3 != 1, F.lit(False))
-    plain = lambda frame: Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in frame.collect())
-    near, model = lm.score(odd[1], learn)
-    assert model.bits is not None
-    monkeypatch.setattr(lm, "FILTER_BYTES", 0)
-    far, model = lm.score(odd[1], learn)
-    assert model.bits is None and plain(far) == plain(near)
-    assert lm.score(none, F.lit(True))[0].count() == 0
-    assert plain(lm.score(odd[1], F.lit(False))[0])
+def test_filter_never_lowers_a_count():
+    rng = np.random.default_rng(3)
+    key, count = rng.integers(0, 1 << 63, 40_000, dtype=np.uint64), np.minimum(rng.zipf(1.6, 40_000), 1 << 40)
+    held = lm.build_filter(key, count, lm.BITS)
+    level, least = held.level(key), lm.levels_of(count)
+    assert (level >= least).all() and (level > least).mean() < 0.03
+    assert (held.level(rng.integers(0, 1 << 63, 40_000, dtype=np.uint64)) > 0).mean() < 0.03
+    assert len(held.bits) * 8 < lm.BITS * least.sum() + 64
+    assert not lm.build_filter(key[:0], count[:0], lm.BITS).level(key).any()
+
+
+def test_model_tells_seen_texts_from_unseen(spark, data):
+    """Texts of the other fold whose twin was learned from score far above texts without one."""
+    rng = random.Random(6)
+    known = [f"w{k}" for k in range(300)]
+    prose = lambda: " ".join(rng.choice(known) for _ in range(60))
+    twins = [prose() for _ in range(40)]
+    rows = [(k, t) for k, t in enumerate(twins)] + [(100 + k, t) for k, t in enumerate(twins)]
+    rows += [(k, prose()) for k in range(200, 600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    score = {r.doc_id: r.score / r.n_tokens for r in lm.score(frame, (F.col("doc_id") >= 100) & (F.col("doc_id") < 500))[0].collect()}
+    assert min(score[k] for k in range(40)) > max(score[k] for k in range(500, 600)) + 0.1
 
 
 def test_op10_on_the_table(spark, data):

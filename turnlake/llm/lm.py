@@ -1,32 +1,39 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Training counts words and word pairs of all training texts. The filter holds a
-quantised count q of an n-gram as q nested members (n-gram, 1) to (n-gram, q);
-scoring probes level after level until one is missing, so that an error only
-ever raises a count, and with quickly falling odds.
-
-Every word is held from one occurrence and every pair from two, whatever the
-size of the corpus, so the filter grows with what there is to know. Each bucket
-has a segment of its own, stored. Segments of ``FILTER_BYTES`` together at most
-are broadcast. Larger ones are probed where they lie: n-grams from ``HEAVY`` of
-all tokens on, at most 1/HEAVY of a kind, are broadcast with their levels; every
-other one is asked for once by each bucket of texts, and the texts are scored
-beside the answers. Both ways give the same scores. Exact counts of single
-words, which the base score needs, go by the same rule: heavy words are
-broadcast, every other word is looked up where its counts lie.
+A model of words and word pairs is learned from all training texts and applied
+to all texts. The filter holds a quantised count q of a pair as q nested members
+(pair, 1) to (pair, q); scoring probes level after level until one is missing,
+so that an error only ever raises a count, and with quickly falling odds. Every
+pair is held from one occurrence on. Single words are counted exactly, since the
+base score needs their counts anyway.
+
+The filter grows with the corpus, so only a part of bounded size is broadcast:
+the most frequent pairs, ``FREQUENT`` at most, as one filter, with as many words
+and their counts. All other pairs lie in a segment for each bucket of hashes and
+are probed there. Texts are taken in homes of consecutive rows. A home sends its
+distinct words and pairs with their training counts once; each bucket adds the
+counts up, builds its segment, and answers every home in the order of its keys,
+so that an answer needs no keys. Then the texts meet the answers of their home.
+One exchange of keys so serves counting and probing; nothing that grows with the
+corpus reaches the driver, and a bucket or a home is as bounded as a task.
 
 Tokens are words with A-Z lower-cased and one end for every text; the end is
 counted like a word. Probability: weight * c(v,w)/c(v) + (1-weight) * p(w) with
-counts of the filter, and p(w) = (c(w)+0.5)/(N+0.5(V+1)).
-
-Defined results: null and empty texts have the end only. Without training
-texts N and V are 0 and all tokens are unknown. Rows are told apart by (id,
-text); repeated rows get the same result. Only the named columns are read.
+p(w) = (c(w)+0.5)/(N+0.5(V+1)) and c(v,w) of the filter, the middle of its
+quantised range; p(w) alone where v is unknown.
+
+Defined results: null and empty texts have the end only; a very long text is a
+home's or more by itself and is scored whole. Without training texts N and V are
+0 and all tokens are unknown. Repeated rows are scored each on its own. An empty
+table gives an empty result. Only the named columns are read. ``docs`` must give
+its rows in the same order when it is read again, as tables do; this is checked,
+and scoring fails where it does not hold.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
@@ -37,31 +44,29 @@ from pyspark.sql import functions as F
 from turnlake.llm import text as tx
 from turnlake.llm.shared import stored
 
-HEAVY = 2.0**-19
-LEAST_PAIRS = 2
-#: Most bytes of the filter that are broadcast.
-FILTER_BYTES = 64 << 20
+#: Most words, and most pairs, that are broadcast.
+FREQUENT = 1 << 18
+#: Bytes of text in a home, and of all text for each bucket.
+HOME_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 #: Bits of the filter for each member, and probes for each.
 BITS, PROBES = 10, 4
 #: Weight of the pair estimate against the single word's.
 WEIGHT = 0.6
-#: Tokens that a task combines before it sends their counts.
-FLUSH = 2_000_000
 _U = np.uint64
 START, END = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
-_SEGMENT, _WORD, _PAIR, _ASK = -1, 0, 1, 2
-_DDL = "bucket int, kind int, keys binary, counts binary, rows binary"
-_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("rows", pa.binary())])
+_WORD, _PAIR = 0, 1
+_ASKED = "bucket int, kind int, home long, keys binary, counts binary"
+_ANSWERED = "home long, kind int, bucket int, data binary, keys binary, counts binary, tokens long, known long, texts long"
 
 
 class Tokens(NamedTuple):
-    word: np.ndarray  # hash of every token, ends last
+    word: np.ndarray  # hash of every token
     pair: np.ndarray  # hash of (token before, token)
     before: np.ndarray  # index of the token before, -1 at a text's start
     doc: np.ndarray
 
 
-def _tokens(chunk: tx.Chunk) -> Tokens:
+def _chunk_tokens(chunk: tx.Chunk) -> Tokens:
     w = tx.words(chunk, fold=True)
     n = len(chunk.offsets) - 1
     some = np.diff(w.first) > 0
@@ -76,120 +81,61 @@ def _tokens(chunk: tx.Chunk) -> Tokens:
     return Tokens(word, pair, before, np.concatenate((w.doc, np.arange(n))))
 
 
-def _summed(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    return key[new], np.add.reduceat(count[order], np.flatnonzero(new)) if len(key) else count
-
-
-def _rows(kind: int, key: np.ndarray, count: np.ndarray, buckets: int, row: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """Sorted keys with their counts, as one packed row for each bucket."""
-    if not len(key):
-        return
-    bucket = tx.bucket_of(key, buckets)
-    cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(key)]))
-    out = [
-        (int(bucket[a]), kind, tx.planes(key[a:b]), tx.planes(count[a:b]), b"" if row is None else tx.planes(row[a:b]))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True)
-    ]
-    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
-
-
-def _count_rows(buckets: int):
-    def flush(words: list, pairs: list) -> Iterator[pa.RecordBatch]:
-        for kind, parts in ((_WORD, words), (_PAIR, pairs)):
-            key = np.sort(np.concatenate(parts))
-            new = np.ones(len(key), bool)
-            new[1:] = key[1:] != key[:-1]
-            start = np.flatnonzero(new)
-            yield from _rows(kind, key[start], np.diff(np.append(start, len(key))).astype(np.int64), buckets)
+def tokens_of(texts: pa.Array | pa.ChunkedArray) -> Tokens:
+    """Tokens of whole texts, in any order."""
+    parts, size = [], 0
+    for chunk in tx.chunks(texts):
+        t = _chunk_tokens(chunk)
+        parts.append(t._replace(before=np.where(t.before < 0, -1, t.before + size), doc=t.doc + chunk.first))
+        size += len(t.word)
+    return Tokens(*map(np.concatenate, zip(*parts, strict=True)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs, size = [], [], 0
-        for batch in batches:
-            for chunk in tx.chunks(batch.column(0)):
-                t = _tokens(chunk)
-                words.append(t.word)
-                pairs.append(t.pair)
-                size += len(t.word)
-                if size >= FLUSH:
-                    yield from flush(words, pairs)
-                    words, pairs, size = [], [], 0
-        if size:
-            yield from flush(words, pairs)
 
-    return run
+def levels_of(count: np.ndarray) -> np.ndarray:
+    """Quantised counts: 1 for one, then one more for every doubling."""
+    return 1 + np.floor(np.log2(count)).astype(np.int64)
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple]]]:
-    """Rows sorted by (bucket, kind), one bucket after the other."""
-    from itertools import groupby
+def middle(level: np.ndarray) -> np.ndarray:
+    """Middle of a quantised count's range; 0 if not held."""
+    return np.where(level > 0, 1.5 * 2.0 ** (level - 1.0) - 0.5, 0.0)
 
-    rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-    return groupby(rows, key=lambda r: r[0])
 
-
-def _total_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums the packed counts of each bucket; single pairs go."""
-    from itertools import groupby
-
-    for bucket, rows in _by_bucket(batches):
-        for kind, own in groupby(rows, key=lambda r: r[1]):
-            own = list(own)
-            key, count = _summed(
-                np.concatenate([tx.from_planes(r[2], np.uint64) for r in own]), np.concatenate([tx.from_planes(r[3]) for r in own])
-            )
-            if kind == _PAIR:
-                key, count = key[count >= LEAST_PAIRS], count[count >= LEAST_PAIRS]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()),
-                    pa.array([tx.planes(key)], pa.binary()), pa.array([tx.planes(count)], pa.binary()),
-                    pa.array([int(count.sum())], pa.int64()), pa.array([len(key)], pa.int64()),
-                ],
-                names=["bucket", "kind", "keys", "counts", "tokens", "known"],
-            )
-
-
-def train_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(bucket, kind, keys, counts, tokens, known): exact counts by key range, stored."""
-    spark = docs.sparkSession
-    buckets, parts = tx.bucket_count(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = docs.select(F.col(text_col).cast("string").alias("_text")).mapInArrow(_count_rows(buckets), _DDL)
-    dealt = sent.repartitionById(parts, "bucket").sortWithinPartitions("bucket", "kind")
-    return stored(dealt.mapInArrow(_total_rows, "bucket int, kind int, keys binary, counts binary, tokens long, known long"))
-
-
-def _levels(count: np.ndarray, least: int) -> np.ndarray:
-    """Quantised counts: 0 below least, then one more for every doubling."""
-    out = np.zeros(len(count), np.int64)
-    kept = count >= least
-    out[kept] = 1 + np.floor(np.log2(count[kept] / least)).astype(np.int64)
-    return out
-
-
-def _bits_of(key: np.ndarray, level: np.ndarray | int, kind: int, size: np.ndarray | int) -> Iterator[np.ndarray]:
-    h = tx.mix((key ^ _U(kind * 0x9E3779B97F4A7C15 % (1 << 64))) + np.asarray(level).astype(np.uint64) * _U(0xD1342543DE82EF95))
+def _bits_of(key: np.ndarray, level: int, size: int) -> Iterator[np.ndarray]:
+    h = tx.mix(key + _U(level * 0xD1342543DE82EF95 % (1 << 64)))
     step = (h >> _U(32)) | _U(1)
     for k in range(PROBES):
-        yield (((h & _U(0xFFFFFFFF)) + _U(k) * step) % np.asarray(size).astype(np.uint64)).astype(np.int64)
+        yield (((h & _U(0xFFFFFFFF)) + _U(k) * step) % _U(size)).astype(np.int64)
 
 
-def _probed(bits: np.ndarray, base: np.ndarray | int, size: np.ndarray, key: np.ndarray, kind: int) -> np.ndarray:
-    """Quantised counts by repeated membership probes; base and size are those of each key's segment."""
-    base = np.broadcast_to(np.asarray(base, np.int64), len(key))
-    found, left, level = np.zeros(len(key), np.int64), np.arange(len(key)), 1
-    while len(left):
-        kept = np.ones(len(left), bool)
-        for at in _bits_of(key[left], level, kind, size[left]):
-            bit = base[left] + at
-            kept &= (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-        left = left[kept]
-        found[left] = level
-        level += 1
-    return found
+class Filter(NamedTuple):
+    """A log-frequency Bloom filter."""
+
+    bits: np.ndarray  # packed
+    size: int
+
+    def level(self, key: np.ndarray) -> np.ndarray:
+        """Quantised counts by repeated membership probes."""
+        found, left, level = np.zeros(len(key), np.int64), np.arange(len(key)), 1
+        while len(left):
+            kept = np.ones(len(left), bool)
+            for bit in _bits_of(key[left], level, self.size):
+                kept &= (self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+            left = left[kept]
+            found[left] = level
+            level += 1
+        return found
+
+
+def build_filter(key: np.ndarray, count: np.ndarray, bits_each: int) -> Filter:
+    """A filter of keys with counts of one and more, at so many bits for each member."""
+    level = levels_of(count)
+    size = max(64, bits_each * int(level.sum()))
+    bits = np.zeros(-(-size // 8) * 8, bool)
+    for step in range(1, int(level.max(initial=0)) + 1):
+        for at in _bits_of(key[level >= step], step, size):
+            bits[at] = True
+    return Filter(np.packbits(bits, bitorder="little"), size)
 
 
 def _looked_up(keys: np.ndarray, values: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -201,402 +147,159 @@ def _looked_up(keys: np.ndarray, values: np.ndarray, key: np.ndarray) -> np.ndar
     return np.where(keys[at] == key, values[at], 0)
 
 
-class Model(NamedTuple):
-    tokens: int  # N
-    known: int  # V
-    texts: int  # of the training
-    least: tuple[int, int]  # occurrences from which on a word, a pair is held
-    buckets: int
-    start: np.ndarray  # first bit of each bucket's segment
-    size: np.ndarray  # bits of each segment
-    bits: np.ndarray | None  # packed; None where the segments are too large to broadcast
-    heavy: np.ndarray  # sorted keys of the most frequent words
-    heavy_count: np.ndarray
-    heavy_level: np.ndarray
-    heavy_pair: np.ndarray  # sorted keys of the most frequent pairs
-    heavy_pair_level: np.ndarray
-
-    def level(self, key: np.ndarray, kind: int) -> np.ndarray:
-        """Quantised counts by repeated membership probes."""
-        bucket = tx.bucket_of(key, self.buckets)
-        return _probed(self.bits, self.start[bucket], self.size[bucket], key, kind)
-
-    def middle(self, level: np.ndarray, kind: int) -> np.ndarray:
-        """Middle of the quantised count's range; 0 if not held."""
-        return np.where(level > 0, self.least[kind] * 2.0 ** (level - 0.5), 0.0)
-
-    def count(self, key: np.ndarray, kind: int) -> np.ndarray:
-        return self.middle(self.level(key, kind), kind)
-
-
-_SEGMENTS = "bucket int, size long, texts long, bits binary, heavy binary, heavy_count binary, heavy_level binary, heavy_pair binary, heavy_pair_level binary"
-
-
-def _segments(least: tuple[int, int], heavy_from: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in _by_bucket(batches):
-            held, often, texts = [], {}, 0
-            for _, kind, keys, counts, *_ in rows:
-                key, count = tx.from_planes(keys, np.uint64), tx.from_planes(counts)
-                held.append((kind, key, _levels(count, least[kind])))
-                often[kind] = key[count >= heavy_from], count[count >= heavy_from]
-                if kind == _WORD:
-                    texts = int(count[key == END].sum())
-            size = max(64, BITS * int(sum(level.sum() for _, _, level in held)))
-            bits = np.zeros(-(-size // 8) * 8, bool)
-            for kind, key, level in held:
-                for step in range(1, int(level.max(initial=0)) + 1):
-                    for at in _bits_of(key[level >= step], step, kind, size):
-                        bits[at] = True
-            bits = np.packbits(bits, bitorder="little")
-            blank = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            (word, times), (pair, _) = often.get(_WORD, blank), often.get(_PAIR, blank)
-            word_level, pair_level = (_probed(bits, 0, np.full(len(k), size), k, kind) for kind, k in ((_WORD, word), (_PAIR, pair)))
-            parts = (bits, word, times, word_level, pair, pair_level)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([bucket], pa.int32()), pa.array([size], pa.int64()), pa.array([texts], pa.int64()),
-                    *[pa.array([x.tobytes()], pa.binary()) for x in parts],
-                ],
-                names=[c.split()[0] for c in _SEGMENTS.split(", ")],
-            )
-
-    return run
-
-
-def segments(counts: DataFrame) -> tuple[DataFrame, int, int, tuple[int, int]]:
-    """Each bucket's segment of the filter and heavy n-grams, stored; N, V, and the least counts held."""
-    tokens, known = counts.filter(F.col("kind") == _WORD).agg(
-        F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))
-    ).first()
-    least = (1, LEAST_PAIRS)
-    # a bucket's rows lie in one partition and in order, as they were stored
-    made = stored(counts.mapInArrow(_segments(least, max(1, int(np.ceil(HEAVY * tokens)))), _SEGMENTS))
-    return made, int(tokens), int(known), least
-
-
-def _model(made: DataFrame, tokens: int, known: int, least: tuple[int, int], buckets: int, whole: bool) -> Model:
-    rows = {r["bucket"]: r for r in made.drop(*([] if whole else ["bits"])).toArrow().to_pylist()}
-    blank = {"size": 64, "texts": 0, "bits": b"\0" * 8} | dict.fromkeys(("heavy", "heavy_count", "heavy_level", "heavy_pair", "heavy_pair_level"), b"")
-    rows = [rows.get(b, blank) for b in range(buckets)]
-    size = np.array([r["size"] for r in rows], np.int64)
-    joined = lambda name, kind: np.frombuffer(b"".join(r[name] for r in rows), kind)
-    heavy, pair = joined("heavy", np.uint64), joined("heavy_pair", np.uint64)
-    order, pair_order = np.argsort(heavy), np.argsort(pair)
-    return Model(
-        tokens, known, sum(r["texts"] for r in rows), least, buckets,
-        8 * np.concatenate(([0], np.cumsum(-(-size // 8))[:-1])), size, joined("bits", np.uint8) if whole else None,
-        heavy[order], joined("heavy_count", np.int64)[order], joined("heavy_level", np.int64)[order],
-        pair[pair_order], joined("heavy_pair_level", np.int64)[pair_order],
-    )
-
-
-def build_model(counts: DataFrame, buckets: int) -> Model:
-    """The whole filter and the heavy n-grams in one place, whatever their size."""
-    return _model(*segments(counts), buckets, True)
-
-
-def _heavy(model: Model, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which keys are heavy, and where those are among them."""
-    if not len(model.heavy):
-        return np.zeros(len(key), bool), np.zeros(0, np.int64)
-    at = np.searchsorted(model.heavy, key)
-    at[at == len(model.heavy)] = 0
-    hit = model.heavy[at] == key
-    return hit, at[hit]
+def _summed(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    return key[new], np.add.reduceat(count[order], np.flatnonzero(new)) if len(key) else count
 
 
-_SCORED = "_row long, n_tokens long, n_heavy long, logs double, score double"
+def _batch(ddl: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in ddl.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
 
-def _scored(m: Model, ids: pa.Array, rows: pa.Array, chunk: tx.Chunk, level) -> pa.RecordBatch:
-    """Scores of a chunk's texts; level gives the quantised counts of words that are not heavy, and of pairs."""
-    total = m.tokens + 0.5 * (m.known + 1)
-    n = len(chunk.offsets) - 1
-    t = _tokens(chunk)
-    count = lambda x: np.bincount(t.doc, x, minlength=n)
-    hit, place = _heavy(m, t.word)
-    single = np.empty(len(hit))
-    single[hit] = m.middle(m.heavy_level[place], _WORD)
-    single[~hit] = m.middle(level(t.word[~hit], _WORD), _WORD)
-    context = np.where(t.before < 0, float(m.texts), single[t.before])
-    both = np.minimum(m.middle(level(t.pair, _PAIR), _PAIR), context)
-    share = np.divide(both, context, out=np.zeros(len(both)), where=context > 0)
-    p = WEIGHT * share + (1 - WEIGHT) * (single + 0.5) / total
-    logs = np.zeros(len(hit))
-    logs[hit] = np.log10(m.heavy_count[place] + 0.5)
-    return pa.RecordBatch.from_arrays(
-        [
-            ids.slice(chunk.first, n), rows.slice(chunk.first, n), pa.array(np.bincount(t.doc, minlength=n), pa.int64()),
-            pa.array(count(hit).astype(np.int64)), pa.array(count(logs)), pa.array(count(np.log10(p))),
-        ],
-        names=["_id", "_row", "n_tokens", "n_heavy", "logs", "score"],
-    )
+def _ask(buckets: int):
+    """The distinct keys of each home with their training counts, as one packed row for each bucket."""
 
+    def packed(home: int, parts: list[tuple[pa.Array, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        tokens = [(tokens_of(texts), learn) for texts, learn in parts]
+        learned = np.concatenate([learn[t.doc] for t, learn in tokens])
+        for kind in (_WORD, _PAIR):
+            key, at = np.unique(np.concatenate([t[kind] for t, _ in tokens]), return_inverse=True)
+            count = np.bincount(at, learned, minlength=len(key)).astype(np.int32)
+            bucket = tx.bucket_of(key, buckets)
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(key)]))
+            yield _batch(_ASKED, [(int(bucket[a]), kind, home, tx.planes(key[a:b]), tx.planes(count[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
 
-def _local_scores(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = shared.value
+        home, parts = None, []
         for batch in batches:
-            for chunk in tx.chunks(batch.column(2)):
-                yield _scored(m, batch.column(0), batch.column(1), chunk, m.level)
+            homes, learn = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(homes)) + 1, [len(homes)]))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if b > a:
+                    if homes[a] != home and parts:
+                        yield from packed(home, parts)
+                        parts = []
+                    home = int(homes[a])
+                    parts.append((batch.column(2).slice(a, b - a), learn[a:b]))
+        if parts:
+            yield from packed(home, parts)
 
     return run
 
 
-_PROBE = "bucket int, kind int, keys binary, at binary"
-_PROBE_NAMES = ["bucket", "kind", "keys", "at"]
-
-
-def _packets(bucket: np.ndarray, kind: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One packed row for each bucket."""
-    if not len(bucket):
-        return
-    order = np.argsort(bucket, kind="stable")
-    parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), pa.array([kind] * len(parts), pa.int32()),
-            *[pa.array([tx.planes(c[p]) for p in parts], pa.binary()) for c in columns],
-        ],
-        names=_PROBE_NAMES,
-    )
+def _answer(most: int, bits_each: int):
+    """Sums the counts of each bucket and answers its homes: words' counts, and pairs' levels by the bucket's segment.
 
-
-def _once(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((at, key))
-    key, at = key[order], at[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1])
-    return key[new], at[new]
-
-
-def _probe_rows(shared):
-    """The n-grams that are not heavy, once for each task and bucket of texts, sent to their segments."""
-
-    def flush(m: Model, asked: dict) -> Iterator[pa.RecordBatch]:
-        for kind, parts in asked.items():
-            key, at = _once(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-            yield from _packets(tx.bucket_of(key, m.buckets), kind, key, at)
+    The ``most`` most frequent keys are told apart (with home null) and answered by 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = shared.value
-        asked, size = {}, 0
-        for batch in batches:
-            place = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int32)
-            for chunk in tx.chunks(batch.column(1)):
-                t = _tokens(chunk)
-                at = place[chunk.first + t.doc]
-                for kind, key, heavy in ((_WORD, t.word, m.heavy), (_PAIR, t.pair, m.heavy_pair)):
-                    rare = _looked_up(heavy, np.ones(len(heavy), np.int64), key) == 0
-                    asked.setdefault(kind, []).append(_once(key[rare], at[rare]))
-                    size += len(asked[kind][-1][0])
-                if size >= FLUSH:
-                    yield from flush(m, asked)
-                    asked, size = {}, 0
-        yield from flush(m, asked)
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for (bucket, kind), own in groupby(rows, key=lambda r: r[:2]):
+            homes, keys, counts = [], [], []
+            for _, _, home, key, count in own:
+                homes.append(home)
+                keys.append(tx.from_planes(key, np.uint64))
+                counts.append(tx.from_planes(count, np.int32))
+            key, count = _summed(np.concatenate(keys), np.concatenate(counts).astype(np.int64))
+            key, count = key[count > 0], count[count > 0]
+            often = np.zeros(len(key), bool)
+            if most and len(key):
+                often[np.argpartition(-count, min(most, len(key)) - 1)[:most]] = True
+            texts = int(count[key == END].sum()) if kind == _WORD else 0
+            total = (int(count.sum()), len(key)) if kind == _WORD else (0, 0)
+            yield _batch(_ANSWERED, [(None, kind, bucket, None, key[often].tobytes(), count[often].tobytes(), *total, texts)])
+            rest, times = key[~often], count[~often]
+            segment = build_filter(rest, times, bits_each) if kind == _PAIR else None
+            for home, asked in zip(homes, keys, strict=True):
+                found = segment.level(asked).astype(np.uint8) if segment else _looked_up(rest, times, asked)
+                yield _batch(_ANSWERED, [(home, kind, bucket, tx.planes(found), None, None, 0, 0, 0)])
 
     return run
 
 
-def _probe_answers(shared):
-    """Levels of the asked n-grams that the segment holds, packed by bucket of texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = shared.value.size
-        for bucket, rows in _by_bucket(batches):
-            bits = None
-            for _, kind, keys, at in rows:
-                if kind == _SEGMENT:
-                    bits = np.frombuffer(keys, np.uint8)
-                elif bits is not None:
-                    key, target = tx.from_planes(keys, np.uint64), tx.from_planes(at, np.int32)
-                    level = _probed(bits, 0, np.full(len(key), sizes[bucket]), key, kind)
-                    held = level > 0
-                    yield from _packets(target[held], kind, key[held], level[held].astype(np.uint8))
-
-    return run
-
-
-def _far_scores(shared):
-    """Texts of each bucket scored beside the answers, which come first."""
+class Model(NamedTuple):
+    """What all tasks know; of bounded size."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = shared.value
-        known: dict[int, tuple] = {}
-        own: dict[int, list] = {}
-        bucket = None
-
-        def level(key: np.ndarray, kind: int) -> np.ndarray:
-            if kind not in known:
-                heavy = (np.zeros(0, np.uint64), np.zeros(0, np.int64)) if kind == _WORD else (m.heavy_pair, m.heavy_pair_level)
-                keys, levels = (np.concatenate(x) for x in zip(heavy, *own.get(kind, []), strict=True))
-                keys, first = np.unique(keys, return_index=True)
-                known[kind] = keys, levels[first]
-            return _looked_up(*known[kind], key)
+    tokens: int  # N
+    known: int  # V
+    texts: int  # of the training
+    word: np.ndarray  # sorted keys of the most frequent words
+    count: np.ndarray
+    pairs: Filter  # of the most frequent pairs
 
-        for batch in batches:
-            owner, kinds = (batch.column(k).to_numpy() for k in (0, 1))
-            cuts = np.flatnonzero((np.diff(owner) != 0) | (np.diff(kinds) != 0)) + 1
-            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-                part = batch.slice(a, b - a)
-                if owner[a] != bucket:
-                    bucket = owner[a]
-                    known.clear()
-                    own.clear()
-                if kinds[a] == _ASK:
-                    for chunk in tx.chunks(part.column(6)):
-                        yield _scored(m, part.column(4), part.column(5), chunk, level)
-                else:
-                    got = zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)
-                    own.setdefault(int(kinds[a]), []).extend((tx.from_planes(k, np.uint64), tx.from_planes(v, np.uint8).astype(np.int64)) for k, v in got)
 
-    return run
+def _model(answered: DataFrame) -> Model:
+    told = answered.filter("home is null")
+    zero = F.lit(0).cast("long")
+    sums = told.agg(*[F.coalesce(F.sum(c), zero) for c in ("tokens", "known", "texts")]).first()
+    rows = told.filter("octet_length(keys) > 0").select("kind", "keys", "counts").toArrow().to_pylist()
+    of = lambda kind, name, form: np.frombuffer(b"".join(r[name] for r in rows if r["kind"] == kind), form)
+    word, count = of(_WORD, "keys", np.uint64), of(_WORD, "counts", np.int64)
+    order = np.argsort(word)
+    return Model(*map(int, sums), word[order], count[order], build_filter(of(_PAIR, "keys", np.uint64), of(_PAIR, "counts", np.int64), BITS))
 
 
-def _scores_by_exchange(rows: DataFrame, made: DataFrame, shared, buckets: int, parts: int) -> DataFrame:
-    """What _local_scores gives, with the segments left where they lie."""
-    kind = rows.schema["_id"].dataType.simpleString()
-    # more buckets than those of the counts: the answers of one are in memory together
-    place = F.pmod(F.xxhash64("_row"), F.lit(min(65536, 8 * buckets))).cast("int")
-    asks = rows.select(place.alias("_at"), "_text").mapInArrow(_probe_rows(shared), _PROBE)
-    held = made.select("bucket", F.lit(_SEGMENT).alias("kind"), F.col("bits").alias("keys"), F.lit(b"").alias("at"))
-    answers = (
-        asks.unionAll(held).repartitionById(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_probe_answers(shared), _PROBE)
-    )
-    blank = lambda t: F.lit(None).cast(t)
-    answers = answers.select("*", blank(kind).alias("_id"), blank("long").alias("_row"), blank("string").alias("_text"))
-    texts = rows.select(place.alias("bucket"), F.lit(_ASK).alias("kind"), blank("binary").alias("keys"), blank("binary").alias("at"), "_id", "_row", "_text")
-    dealt = answers.unionAll(texts).repartitionById(parts, "bucket").sortWithinPartitions("bucket", "kind")
-    return dealt.mapInArrow(_far_scores(shared), f"_id {kind}, {_SCORED}")
-
-
-def _ask_rows(shared, buckets: int):
-    def flush(keys: list, rows: list) -> Iterator[pa.RecordBatch]:
-        key, row = np.concatenate(keys), np.concatenate(rows)
-        order = np.lexsort((row, key))
-        key, row = key[order], row[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
-        start = np.flatnonzero(new)
-        yield from _rows(_ASK, key[start], np.diff(np.append(start, len(key))).astype(np.int64), buckets, row[start])
+def _scores(shared):
+    """Texts of a home scored beside its answers."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         m: Model = shared.value
-        keys, rows, size = [], [], 0
-        for batch in batches:
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            for chunk in tx.chunks(batch.column(1)):
-                t = _tokens(chunk)
-                rare = ~_heavy(m, t.word)[0]
-                keys.append(t.word[rare])
-                rows.append(own[chunk.first + t.doc[rare]])
-                size += len(keys[-1])
-                if size >= FLUSH:
-                    yield from flush(keys, rows)
-                    keys, rows, size = [], [], 0
-        if size:
-            yield from flush(keys, rows)
+        t, n = tokens_of(texts.column("_text")), texts.num_rows
+        got: dict[int, list] = {_WORD: [], _PAIR: []}
+        for kind, bucket, data in zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "data")), strict=True):
+            got[kind].append((bucket, data))
+        word, at_word = np.unique(t.word, return_inverse=True)
+        pair, at_pair = np.unique(t.pair, return_inverse=True)
+        answer = lambda kind, form: np.concatenate([tx.from_planes(d, form) for _, d in sorted(got[kind])])
+        count, level = answer(_WORD, np.int64), answer(_PAIR, np.uint8).astype(np.int64)
+        if len(count) != len(word) or len(level) != len(pair):
+            raise RuntimeError("the rows came in another order than before; store docs first")
+        count = count + _looked_up(m.word, m.count, word)
+        blank = level == 0
+        level[blank] = m.pairs.level(pair[blank])
+        c, both = count[at_word].astype(float), middle(level)[at_pair]
+        total = m.tokens + 0.5 * (m.known + 1)
+        single = (c + 0.5) / total
+        context = np.where(t.before < 0, float(m.texts), c[t.before])
+        share = np.divide(np.minimum(both, context), context, out=np.zeros(len(both)), where=context > 0)
+        p = np.where(context > 0, WEIGHT * share + (1 - WEIGHT) * single, single)
+        summed = lambda x: np.bincount(t.doc, x, minlength=n)
+        return pa.table({
+            "_id": texts.column("_id"), "n_tokens": pa.array(np.bincount(t.doc, minlength=n), pa.int64()), "n_known": pa.array(summed(c > 0).astype(np.int64)),
+            "base_score": pa.array(summed(np.log10(single))), "score": pa.array(summed(np.log10(p))),
+        })
 
     return run
 
 
-def _answers(buckets: int):
-    """Sums over the asked tokens of each row, combined within the task and packed by row."""
-
-    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        row = np.concatenate([h[0] for h in held])
-        names, at = np.unique(row, return_inverse=True)
-        sums = [np.bincount(at, np.concatenate([h[k] for h in held]), minlength=len(names)) for k in (1, 2, 3)]
-        target = tx.bucket_of(tx.mix(names.view(np.uint64)), buckets)
-        order = np.argsort(target, kind="stable")
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(target[order])) + 1, [len(order)]))
-        parts = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([int(target[p[0]]) for p in parts], pa.int32()),
-                pa.array([tx.planes(names[p]) for p in parts], pa.binary()),
-                pa.array([tx.planes(sums[0][p].astype(np.int64)) for p in parts], pa.binary()),
-                pa.array([tx.planes(sums[1][p].astype(np.int64)) for p in parts], pa.binary()),
-                pa.array([sums[2][p].tobytes() for p in parts], pa.binary()),
-            ],
-            names=["bucket", "names", "asked", "found", "logs"],
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-        for _, rows in _by_bucket(batches):
-            key, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            for _, kind, keys, counts, asking in rows:
-                if kind == _WORD:
-                    key, count = tx.from_planes(keys, np.uint64), tx.from_planes(counts)
-                    continue
-                ask, times = tx.from_planes(keys, np.uint64), tx.from_planes(counts)
-                c = np.zeros(len(ask), np.int64)
-                if len(key):
-                    at = np.searchsorted(key, ask)
-                    at[at == len(key)] = 0
-                    c = np.where(key[at] == ask, count[at], 0)
-                held.append((tx.from_planes(asking), times, times * (c > 0), times * np.log10(c + 0.5)))
-                size += len(ask)
-            if size >= FLUSH:
-                yield from flush(held)
-                held, size = [], 0
-        if held:
-            yield from flush(held)
-
-    return run
-
-
-def _row_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The packed sums of each bucket added up: one row for each row of text that asked."""
-    for _, rows in _by_bucket(batches):
-        own = list(rows)
-        names, at = np.unique(np.concatenate([tx.from_planes(r[1]) for r in own]), return_inverse=True)
-        sums = [
-            np.bincount(at, np.concatenate([np.frombuffer(r[k]) if k == 4 else tx.from_planes(r[k]) for r in own]), minlength=len(names))
-            for k in (2, 3, 4)
-        ]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2])],
-            names=["_row", "asked", "found", "rest"],
-        )
-
-
 def score(
     docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text"
 ) -> tuple[DataFrame, Model]:
     """(id, n_tokens, n_known, base_score, score) of every row, and the model learned where training holds."""
     spark = docs.sparkSession
-    buckets, parts = tx.bucket_count(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = train_counts(docs.filter(training), text_col)
-    made, tokens, known, least = segments(counts)
-    whole = (made.agg(F.sum(F.octet_length("bits"))).first()[0] or 0) <= FILTER_BYTES
-    model = _model(made, tokens, known, least, buckets, whole)
-    shared = spark.sparkContext.broadcast(model)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col), text).alias("_row"), text.alias("_text"))
-    kind = rows.schema["_id"].dataType.simpleString()
-    local = rows.mapInArrow(_local_scores(shared), f"_id {kind}, {_SCORED}") if whole else _scores_by_exchange(rows, made, shared, buckets, parts)
-    asks = rows.select("_row", "_text").mapInArrow(_ask_rows(shared, buckets), _DDL)
-    words = counts.filter(F.col("kind") == _WORD).select("bucket", "kind", "keys", "counts", F.lit(b"").alias("rows"))
-    answers = (
-        asks.unionAll(words)
-        .repartitionById(parts, "bucket")
-        .sortWithinPartitions("bucket", "kind")
-        .mapInArrow(_answers(buckets), "bucket int, names binary, asked binary, found binary, logs binary")
-        .repartitionById(parts, "bucket")
-        .sortWithinPartitions("bucket")
-        .mapInArrow(_row_sums, "_row long, asked long, found long, rest double")
-    )
-    # repeated rows asked together: each gets its share
-    share = F.when(F.col("asked") > 0, (F.col("n_tokens") - F.col("n_heavy")) / F.col("asked")).otherwise(0.0)
-    known = F.col("n_heavy") + F.coalesce(F.round(F.col("found") * share), F.lit(0)).cast("long")
-    logs = F.col("logs") + F.coalesce(F.col("rest") * share, F.lit(0.0))
-    total = float(np.log10(model.tokens + 0.5 * (model.known + 1)))
-    scored = local.join(answers, "_row", "left").select(
-        F.col("_id").alias(id_col), "n_tokens", known.alias("n_known"),
-        (logs - F.col("n_tokens") * total).alias("base_score"), "score",
+    rows, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    # consecutive rows; several homes for each partition that they are dealt to
+    each = max(1, min(rows * HOME_BYTES // max(size, 1), rows // (3 * parts)))
+    buckets = max(tx.bucket_count(spark), size // BUCKET_BYTES)
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    texts = docs.select(
+        F.monotonically_increasing_id().alias("_at"), F.col(id_col).alias("_id"), F.coalesce(training, F.lit(False)).alias("learn"), text.alias("_text")
+    ).withColumn("home", F.col("_at") - F.pmod(place, F.lit(each)))
+    asked = texts.select("home", "learn", "_text").mapInArrow(_ask(buckets), _ASKED).repartitionById(parts, "bucket").sortWithinPartitions("bucket", "kind")
+    answered = stored(asked.mapInArrow(_answer(FREQUENT // buckets, BITS), _ANSWERED))
+    model = _model(answered)
+    kind = texts.schema["_id"].dataType.simpleString()
+    answers = answered.filter("home is not null").select("home", "kind", "bucket", "data")
+    scored = (
+        texts.select("home", "_id", "_text").groupBy("home").cogroup(answers.groupBy("home"))
+        .applyInArrow(_scores(spark.sparkContext.broadcast(model)), f"_id {kind}, n_tokens long, n_known long, base_score double, score double")
     )
-    return scored, model
+    return scored.withColumnRenamed("_id", id_col), model

@@ -146,11 +146,11 @@ def from_planes(data: bytes, dtype=np.int64) -> np.ndarray:
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket by the top 16 bits; buckets may be up to 65,536."""
-    return ((h >> U64(48)) * U64(buckets) >> U64(16)).astype(np.int64)
+    """Bucket by the top 32 bits; buckets of equal width, in the order of the hashes."""
+    return ((h >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
 
 
 def bucket_count(spark) -> int:
     """Two buckets for each shuffle partition: a bucket is as bounded as a task's share,
     and tasks send few more rows than shuffles have blocks."""
-    return min(65536, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
