@@ -430,6 +430,14 @@ def test_decontamination_edges(spark, odd, none):
     assert decontam.decontaminate(none, bench).count() == 0
 
 
+def test_decontamination_with_many_terms(spark, data, monkeypatch):
+    docs, bench = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "benchmark"))
+    plain = lambda: Counter((r.doc_id, r.n_hit, tuple(r["items"])) for r in decontam.decontaminate(docs, bench).collect())
+    few = plain()
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    assert plain() == few
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "red x x blue"), (2, "blue red"), (3, "red x x x blue"), (4, None)], "doc_id long, text string")
     phrases = spark.createDataFrame([("p", ["red", "blue"])], "phrase string, words array<string>")

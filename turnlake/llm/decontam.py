@@ -30,6 +30,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Term and list tables of at most so many rows are broadcast (16 to 100 bytes
 #: a row); larger ones are joined by shuffle.
 BROADCAST_ROWS = 250_000
+#: Keys of each term where terms are joined by shuffle.
+SALT = 32
 
 
 def word_array(text: Column) -> Column:
@@ -47,9 +49,13 @@ def _term(word: Column) -> Column:
     return F.xxhash64(F.lower(word))
 
 
+def _few(frame: DataFrame) -> bool:
+    """Whether a stored table's row count permits a broadcast."""
+    return frame.count() <= BROADCAST_ROWS
+
+
 def _bounded(frame: DataFrame) -> DataFrame:
-    """Broadcast a stored table if its row count permits it."""
-    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
+    return F.broadcast(frame) if _few(frame) else frame
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -77,14 +83,29 @@ def windows_of(items: DataFrame, size: int, id_col: str = "item_id", text_col: s
     )
 
 
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Occurrences in all documents of each given term that occurs."""
-    return _positions(docs).join(terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+def term_counts(docs: DataFrame, terms: DataFrame, few: bool = True) -> DataFrame:
+    """Occurrences in all documents of each given term that occurs.
+
+    Few terms are broadcast, so that only they are counted; for many, all words
+    are counted first, within their tasks, and meet the terms as sums.
+    """
+    if few:
+        return _positions(docs).join(F.broadcast(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return _positions(docs).groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(terms, "term")
+
 
+def build_index(docs: DataFrame, terms: DataFrame, few: bool = True) -> DataFrame:
+    """Postings (term, _id, _sum, pos) of the given terms, stored where every executor reads them.
 
-def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings (term, _id, _sum, pos) of the given terms, stored where every executor reads them."""
-    return stored(_positions(docs).join(terms, "term").select("term", "_id", "_sum", "pos"))
+    Few terms are broadcast. Many are joined by shuffle under ``SALT`` keys
+    each, so that a frequent word's occurrences are dealt to as many tasks.
+    """
+    if few:
+        found = _positions(docs).join(F.broadcast(terms), "term")
+    else:
+        salted = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        found = _positions(docs).withColumn("salt", F.pmod("pos", F.lit(SALT)).cast("int")).join(salted, ["term", "salt"])
+    return stored(found.select("term", "_id", "_sum", "pos"))
 
 
 def rarest_lists(windows: DataFrame, counts: DataFrame, lists: int) -> DataFrame:
@@ -115,10 +136,11 @@ def rarest_lists(windows: DataFrame, counts: DataFrame, lists: int) -> DataFrame
 
 def phrase_matches(docs: DataFrame, windows: DataFrame, lists: int = 2) -> DataFrame:
     """(_id, _sum, found): per document with a match, its exact (start, length, window)."""
-    vocabulary = windows.select(F.explode("words").alias("word")).select(_term(F.col("word")).alias("term")).distinct()
-    counts = stored(term_counts(docs, _bounded(stored(vocabulary))))
+    vocabulary = stored(windows.select(F.explode("words").alias("word")).select(_term(F.col("word")).alias("term")).distinct())
+    counts = stored(term_counts(docs, vocabulary, _few(vocabulary)))
     chosen = stored(rarest_lists(windows, counts, lists))
-    index = build_index(docs, _bounded(stored(chosen.select("term").distinct())))
+    listed = stored(chosen.select("term").distinct())
+    index = build_index(docs, listed, _few(listed))
     spots = index.join(_bounded(chosen.select("term", "key", "back", "bit", "full")), "term").select(
         "_id", "_sum", "key", (F.col("pos") - F.col("back")).alias("start"), "bit", "full"
     )
@@ -132,8 +154,10 @@ def phrase_matches(docs: DataFrame, windows: DataFrame, lists: int = 2) -> DataF
         .agg(F.collect_list(F.struct("start", "length", "window")).alias("found"))
     )
     survivors = stored(survivors)
+    # texts of the survivors only are shuffled
+    near = docs.join(_bounded(survivors.select("_id", "_sum")), ["_id", "_sum"], "left_semi")
     exact = (
-        docs.join(survivors, ["_id", "_sum"])
+        near.join(survivors, ["_id", "_sum"])
         .withColumn("all", word_array(_exact(F.col("_text"))))
         .select(
             "_id", "_sum",
@@ -194,7 +218,8 @@ def proximity_matches(
     words = phrases.select("phrase", F.explode(F.array_distinct("words")).alias("word"))
     terms = words.select("phrase", _term(F.col("word")).alias("term")).distinct()
     need = terms.groupBy("phrase").agg(F.count(F.lit(1)).alias("need"))
-    index = build_index(docs, _bounded(stored(terms.select("term").distinct())))
+    listed = stored(terms.select("term").distinct())
+    index = build_index(docs, listed, _few(listed))
     spots = index.join(_bounded(stored(terms.join(need, "phrase"))), "term").distinct()
     by = Window.partitionBy("phrase", "_id", "_sum").orderBy("pos").rangeBetween(0, span - 1)
     found = (
