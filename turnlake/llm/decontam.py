@@ -154,11 +154,11 @@ def phrase_matches(docs: DataFrame, windows: DataFrame, lists: int = 2) -> DataF
         .agg(F.collect_list(F.struct("start", "length", "window")).alias("found"))
     )
     survivors = stored(survivors)
-    # texts of the survivors only are shuffled
+    # words of the survivors only are shuffled; split before the join, once for all matches of a text
     near = docs.join(_bounded(survivors.select("_id", "_sum")), ["_id", "_sum"], "left_semi")
     exact = (
-        near.join(survivors, ["_id", "_sum"])
-        .withColumn("all", word_array(_exact(F.col("_text"))))
+        near.select("_id", "_sum", word_array(_exact(F.col("_text"))).alias("all"))
+        .join(survivors, ["_id", "_sum"])
         .select(
             "_id", "_sum",
             F.filter(

@@ -55,8 +55,8 @@ WEIGHT = 0.6
 _U = np.uint64
 START, END = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
 _WORD, _PAIR = 0, 1
-_ASKED = "bucket int, kind int, home long, keys binary, counts binary"
-_ANSWERED = "home long, kind int, bucket int, data binary, keys binary, counts binary, tokens long, known long, texts long"
+_ASKED = "bucket int, home long, words binary, word_counts binary, pairs binary, pair_counts binary"
+_ANSWERED = "home long, bucket int, words binary, word_counts binary, pairs binary, pair_counts binary, tokens long, known long, texts long"
 
 
 class Tokens(NamedTuple):
@@ -167,12 +167,15 @@ def _ask(buckets: int):
     def packed(home: int, parts: list[tuple[pa.Array, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         tokens = [(tokens_of(texts), learn) for texts, learn in parts]
         learned = np.concatenate([learn[t.doc] for t, learn in tokens])
+        cells: dict[int, list] = {}
         for kind in (_WORD, _PAIR):
             key, at = np.unique(np.concatenate([t[kind] for t, _ in tokens]), return_inverse=True)
             count = np.bincount(at, learned, minlength=len(key)).astype(np.int32)
             bucket = tx.bucket_of(key, buckets)
             cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(key)]))
-            yield _batch(_ASKED, [(int(bucket[a]), kind, home, tx.planes(key[a:b]), tx.planes(count[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                cells.setdefault(int(bucket[a]), [b""] * 4)[2 * kind : 2 * kind + 2] = tx.planes(key[a:b]), tx.planes(count[a:b])
+        yield _batch(_ASKED, [(bucket, home, *cell) for bucket, cell in cells.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         home, parts = None, []
@@ -192,6 +195,16 @@ def _ask(buckets: int):
     return run
 
 
+def _counted(keys: list[np.ndarray], counts: list[bytes], most: int) -> tuple[tuple, tuple]:
+    """(key, count) of the ``most`` most frequent keys of a bucket, and of the others, each sorted."""
+    key, count = _summed(np.concatenate(keys), np.concatenate([tx.from_planes(c, np.int32) for c in counts]).astype(np.int64))
+    key, count = key[count > 0], count[count > 0]
+    often = np.zeros(len(key), bool)
+    if most and len(key):
+        often[np.argpartition(-count, min(most, len(key)) - 1)[:most]] = True
+    return (key[often], count[often]), (key[~often], count[~often])
+
+
 def _answer(most: int, bits_each: int):
     """Sums the counts of each bucket and answers its homes: words' counts, and pairs' levels by the bucket's segment.
 
@@ -200,25 +213,18 @@ def _answer(most: int, bits_each: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        for (bucket, kind), own in groupby(rows, key=lambda r: r[:2]):
-            homes, keys, counts = [], [], []
-            for _, _, home, key, count in own:
-                homes.append(home)
-                keys.append(tx.from_planes(key, np.uint64))
-                counts.append(tx.from_planes(count, np.int32))
-            key, count = _summed(np.concatenate(keys), np.concatenate(counts).astype(np.int64))
-            key, count = key[count > 0], count[count > 0]
-            often = np.zeros(len(key), bool)
-            if most and len(key):
-                often[np.argpartition(-count, min(most, len(key)) - 1)[:most]] = True
-            texts = int(count[key == END].sum()) if kind == _WORD else 0
-            total = (int(count.sum()), len(key)) if kind == _WORD else (0, 0)
-            yield _batch(_ANSWERED, [(None, kind, bucket, None, key[often].tobytes(), count[often].tobytes(), *total, texts)])
-            rest, times = key[~often], count[~often]
-            segment = build_filter(rest, times, bits_each) if kind == _PAIR else None
-            for home, asked in zip(homes, keys, strict=True):
-                found = segment.level(asked).astype(np.uint8) if segment else _looked_up(rest, times, asked)
-                yield _batch(_ANSWERED, [(home, kind, bucket, tx.planes(found), None, None, 0, 0, 0)])
+        for bucket, own in groupby(rows, key=lambda r: r[0]):
+            _, homes, words, word_counts, pairs, pair_counts = zip(*own, strict=True)
+            words = [tx.from_planes(x, np.uint64) for x in words]
+            often, (key, count) = _counted(words, word_counts, most)
+            replies = [tx.planes(_looked_up(key, count, asked)) for asked in words]
+            sums = int(often[1].sum() + count.sum()), len(often[0]) + len(key), int(count[key == END].sum() + often[1][often[0] == END].sum())
+            pairs = [tx.from_planes(x, np.uint64) for x in pairs]
+            often_pairs, rest = _counted(pairs, pair_counts, most)
+            segment = build_filter(*rest, bits_each)
+            yield _batch(_ANSWERED, [(None, bucket, *(x.tobytes() for x in (*often, *often_pairs)), *sums)])
+            for home, reply, asked in zip(homes, replies, pairs, strict=True):
+                yield _batch(_ANSWERED, [(home, bucket, reply, None, segment.level(asked).astype(np.uint8).tobytes(), None, 0, 0, 0)])
 
     return run
 
@@ -238,11 +244,13 @@ def _model(answered: DataFrame) -> Model:
     told = answered.filter("home is null")
     zero = F.lit(0).cast("long")
     sums = told.agg(*[F.coalesce(F.sum(c), zero) for c in ("tokens", "known", "texts")]).first()
-    rows = told.filter("octet_length(keys) > 0").select("kind", "keys", "counts").toArrow().to_pylist()
-    of = lambda kind, name, form: np.frombuffer(b"".join(r[name] for r in rows if r["kind"] == kind), form)
-    word, count = of(_WORD, "keys", np.uint64), of(_WORD, "counts", np.int64)
+    names = ("words", "word_counts", "pairs", "pair_counts")
+    often = told.filter("octet_length(words) + octet_length(pairs) > 0").select(*names).toArrow()
+    word, count, pair, times = (
+        np.frombuffer(b"".join(often.column(c).to_pylist()), form) for c, form in zip(names, (np.uint64, np.int64) * 2, strict=True)
+    )
     order = np.argsort(word)
-    return Model(*map(int, sums), word[order], count[order], build_filter(of(_PAIR, "keys", np.uint64), of(_PAIR, "counts", np.int64), BITS))
+    return Model(*map(int, sums), word[order], count[order], build_filter(pair, times, BITS))
 
 
 def _scores(shared):
@@ -251,13 +259,11 @@ def _scores(shared):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         m: Model = shared.value
         t, n = tokens_of(texts.column("_text")), texts.num_rows
-        got: dict[int, list] = {_WORD: [], _PAIR: []}
-        for kind, bucket, data in zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "data")), strict=True):
-            got[kind].append((bucket, data))
         word, at_word = np.unique(t.word, return_inverse=True)
         pair, at_pair = np.unique(t.pair, return_inverse=True)
-        answer = lambda kind, form: np.concatenate([tx.from_planes(d, form) for _, d in sorted(got[kind])])
-        count, level = answer(_WORD, np.int64), answer(_PAIR, np.uint8).astype(np.int64)
+        got = sorted(zip(*(answers.column(c).to_pylist() for c in ("bucket", "words", "pairs")), strict=True))
+        count = np.concatenate([tx.from_planes(words) for _, words, _ in got])
+        level = np.concatenate([np.frombuffer(pairs, np.uint8) for _, _, pairs in got]).astype(np.int64)
         if len(count) != len(word) or len(level) != len(pair):
             raise RuntimeError("the rows came in another order than before; store docs first")
         count = count + _looked_up(m.word, m.count, word)
@@ -287,17 +293,17 @@ def score(
     text = F.col(text_col).cast("string")
     rows, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
     # consecutive rows; several homes for each partition that they are dealt to
-    each = max(1, min(rows * HOME_BYTES // max(size, 1), rows // (3 * parts)))
-    buckets = max(tx.bucket_count(spark), size // BUCKET_BYTES)
+    each = max(1, min(rows * HOME_BYTES // max(size, 1), rows // (2 * parts)))
+    buckets = max(parts, size // BUCKET_BYTES)
     place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     texts = docs.select(
         F.monotonically_increasing_id().alias("_at"), F.col(id_col).alias("_id"), F.coalesce(training, F.lit(False)).alias("learn"), text.alias("_text")
     ).withColumn("home", F.col("_at") - F.pmod(place, F.lit(each)))
-    asked = texts.select("home", "learn", "_text").mapInArrow(_ask(buckets), _ASKED).repartitionById(parts, "bucket").sortWithinPartitions("bucket", "kind")
+    asked = texts.select("home", "learn", "_text").mapInArrow(_ask(buckets), _ASKED).repartitionById(parts, "bucket").sortWithinPartitions("bucket")
     answered = stored(asked.mapInArrow(_answer(FREQUENT // buckets, BITS), _ANSWERED))
     model = _model(answered)
     kind = texts.schema["_id"].dataType.simpleString()
-    answers = answered.filter("home is not null").select("home", "kind", "bucket", "data")
+    answers = answered.filter("home is not null").select("home", "bucket", "words", "pairs")
     scored = (
         texts.select("home", "_id", "_text").groupBy("home").cogroup(answers.groupBy("home"))
         .applyInArrow(_scores(spark.sparkContext.broadcast(model)), f"_id {kind}, n_tokens long, n_known long, base_score double, score double")

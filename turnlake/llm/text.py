@@ -137,12 +137,12 @@ def gram_inside(w: Words, n: int) -> np.ndarray:
 
 def planes(values: np.ndarray) -> bytes:
     """The bytes of integers, all first bytes first: small values then compress well."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
 
 
 def from_planes(data: bytes, dtype=np.int64) -> np.ndarray:
     width = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(dtype).ravel()
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, len(data) // width).T).view(dtype).ravel()
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
