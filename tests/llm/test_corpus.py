@@ -264,13 +264,33 @@ def test_top_k_edges(spark):
     assert topk.top_k(frame.limit(0), frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("clustered", [True, False])
+def test_top_k_over_many_shards_and_blocks(spark, monkeypatch, clustered):
+    for name, value in (("SHARD_ROWS", 60), ("BLOCK_ROWS", 7), ("CELL_ROWS", 100), ("LEAF", 16)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 8)) * 3 * clustered
+    vectors = np.round(centres[rng.integers(0, 12, 1500)] + rng.normal(size=(1500, 8)), 1)
+    vectors[:500] = vectors[0]  # a common vector: ties
+    ids = rng.permutation(3000)[:1500]
+    frame = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, vectors, strict=True)], "vec_id long, embedding array<double>")
+    whole = np.floor(vectors * 64).astype(np.int64)
+    want = set()
+    for i, q in zip(ids, whole, strict=True):
+        if i % 20 == 0:
+            score = whole @ q
+            order = [k for k in np.lexsort((ids, -score)) if ids[k] != i][:20]
+            want |= {(int(i), n + 1, int(ids[k]), int(score[k])) for n, k in enumerate(order)}
+    assert {tuple(r) for r in topk.top_k(frame, frame.filter("vec_id % 20 = 0")).collect()} == want
+
+
 def test_tree_search_prunes_and_is_exact():
     rng = np.random.default_rng(2)
     centres = rng.integers(-50, 50, (20, 16))
     vectors = np.repeat(centres, 100, 0) + rng.integers(-3, 3, (2000, 16))
     ids = rng.permutation(2000)
     tree = topk.build_tree(ids, vectors)
-    best = topk.search(tree, ids[:50], vectors[:50], np.full(50, -np.inf), 10)
+    best = topk.search(tree, ids[:50], vectors[:50], np.full(50, topk._NONE), np.full(50, topk._LAST), 10)
     for row, q in enumerate(vectors[:50]):
         order = np.lexsort((ids, -(vectors @ q)))
         order = order[ids[order] != ids[row]][:10]
