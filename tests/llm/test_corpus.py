@@ -226,7 +226,8 @@ def test_copies_planted_at_known_similarity(spark, monkeypatch, small, leaders):
     assert all(i % 2 == 1 and got[i] == i - 1 for i in got if i < 1000)
 
 
-def test_links_over_many_blocks(spark):
+def test_links_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LEAST_BLOCK", 50)
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
     noise = [int(b) ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 5), replace=False)) for b in base for _ in range(3)]
@@ -238,6 +239,20 @@ def test_links_over_many_blocks(spark):
     assert got == want and len(edges) < len(fps) * 8
 
 
+@pytest.mark.parametrize("radius, same", [(0, True), (4, True), (4, False), (8, False), (12, False), (20, True)])
+def test_tiles_find_all_links(radius, same):
+    rng = np.random.default_rng(radius)
+    a = rng.integers(0, 1 << 63, 700, dtype=np.uint64)
+    b = a ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (6, 700)).astype(np.uint64), axis=0)
+    by_count = lambda x: x[np.argsort(np.bitwise_count(x), kind="stable")]
+    a, b = by_count(np.unique(np.concatenate((a, b)))) if same else by_count(a), by_count(b)
+    b = a if same else b
+    got = {(int(i), int(j)) for x in simhash._gathered(simhash._tile_links(a, b, same, radius)) for i, j in zip(*x, strict=True)}
+    i, j = np.nonzero(np.bitwise_count(a[:, None] ^ b[None]) <= radius)
+    want = {(x, y) for x, y in zip(i.tolist(), j.tolist(), strict=True) if x < y} if same else set(zip(i.tolist(), (j + len(a)).tolist(), strict=True))
+    assert got == want
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(300, 200), (200, 300), (5, 5)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}

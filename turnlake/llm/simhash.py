@@ -2,9 +2,11 @@
 
 A text's fingerprint has a bit set where more than half of its word shingles'
 XXH64 values have it. Distinct fingerprints are ordered by population count and
-cut into blocks of tiles; every pair of tiles is compared in full with numpy's
-exclusive-or and bit counts, unless the population counts alone put them
-further apart than the radius. A pair of blocks returns a spanning forest of
+cut into blocks of one size; pairs of blocks whose counts come within the radius
+are compared, each in a task. There, tiles are compared in full with numpy's
+exclusive-or and bit counts, unless population counts put them further apart
+than the radius: for small radii tiles share the counts of all four quarters of
+the bits, whose differences add up. A pair of blocks returns a spanning forest of
 its links, never all of them, and the forests' components are joined by star
 contraction.
 
@@ -38,9 +40,10 @@ from turnlake.llm.text import mix
 SEED = 42
 #: Fingerprints in a tile, and rows of a tile compared at once.
 TILE, STRIP = 4096, 256
-#: Most fingerprints in a block, the unit that is shipped between tasks.
-BLOCK = 131_072
-
+#: Most and least fingerprints in a block, the unit that is shipped between tasks, and blocks in between.
+BLOCK, LEAST_BLOCK, BLOCKS = 131_072, 4_096, 24
+#: Up to this radius tiles follow the counts of the quarters.
+QUARTERS = 8
 
 #: Least similarity of shingle sets of copies, and the radii that reach it: at 0.8 two texts differ in 10 of 64
 #: and 39 of 256 bits on average (deviations 3 and 6), and in more where they have few shingles.
@@ -112,24 +115,53 @@ def _forest(a: np.ndarray, b: np.ndarray, links: Iterator[tuple[np.ndarray, np.n
     return node, label[node]
 
 
-def _tile_links(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs within the radius; a and b are in the order of their population counts."""
-    count_a, count_b = np.bitwise_count(a), np.bitwise_count(b)
-    for at in range(0, len(a), STRIP):
-        rows = a[at : at + STRIP]
-        low, high = int(count_a[at]) - radius, int(count_a[min(at + STRIP, len(a)) - 1]) + radius
-        first = max(int(np.searchsorted(count_b, max(low, 0), "left")), at if same else 0)
-        last = int(np.searchsorted(count_b, high, "right")) if high < 256 else len(b)
-        for left in range(first, last, TILE):
-            near = np.bitwise_count(rows[:, None] ^ b[None, left : min(left + TILE, last)]) <= radius
-            i, j = np.nonzero(near)
-            i, j = i + at, j + left
+def _compared(a: np.ndarray, rows: np.ndarray, b: np.ndarray, columns: np.ndarray, same: bool, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within the radius of a tile of a and a tile of b."""
+    for at in range(0, len(rows), STRIP):
+        for left in range(0, len(columns), TILE):
+            row, column = rows[at : at + STRIP], columns[left : left + TILE]
+            i, j = np.nonzero(np.bitwise_count(a[row][:, None] ^ b[column][None]) <= radius)
+            i, j = row[i], column[j]
             if same:
                 i, j = i[i < j], j[i < j]
             if len(i):
                 yield i, j + (0 if same else len(a))
 
 
+def _tile_links(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within the radius; a and b are in the order of their population counts."""
+    if radius <= QUARTERS:
+        quarters = lambda x: np.bitwise_count(x.view(np.uint16)).reshape(-1, 4).astype(np.int16)
+        kinds_a, of_a = np.unique(quarters(a), axis=0, return_inverse=True)
+        kinds_b, of_b = np.unique(quarters(b), axis=0, return_inverse=True)
+        of_a, of_b = of_a.ravel(), of_b.ravel()
+        order, most = np.argsort(of_a, kind="stable"), np.arange(len(kinds_b))
+        for kind, rows in zip(kinds_a, np.split(order, np.flatnonzero(np.diff(of_a[order])) + 1), strict=True):
+            near = np.zeros(len(most), bool)
+            near[np.abs(kinds_b - kind).sum(1) <= radius] = True
+            yield from _compared(a, rows, b, np.flatnonzero(near[of_b]), same, radius)
+        return
+    count_a, count_b = np.bitwise_count(a).astype(int), np.bitwise_count(b).astype(int)
+    for at in range(0, len(a), STRIP):
+        rows = np.arange(at, min(at + STRIP, len(a)))
+        first = int(np.searchsorted(count_b, count_a[rows[0]] - radius, "left"))
+        last = int(np.searchsorted(count_b, count_a[rows[-1]] + radius, "right"))
+        yield from _compared(a, rows, b, np.arange(max(first, at if same else 0), last), same, radius)
+
+
+def _gathered(links: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same links in fewer and larger parts."""
+    held, size = [], 0
+    for link in links:
+        held.append(link)
+        size += len(link[0])
+        if size >= 1 << 16:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held, size = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
 def _also_near(near: Iterator[tuple], wide: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for i, j in near:
         kept = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64) <= radius
@@ -137,7 +169,7 @@ def _also_near(near: Iterator[tuple], wide: np.ndarray, radius: int) -> Iterator
             yield i[kept], j[kept]
 
 
-def _packed(kind: str, blocks: DataFrame) -> DataFrame:
+def _packed(blocks: DataFrame) -> DataFrame:
     """Rows (block, fps, reps, wides) of at most a batch of fingerprints each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,23 +198,22 @@ def links(distinct: DataFrame, radius: int = 4, wide_radius: int | None = None)
     With a second radius, a further fingerprint (wide, binary) has to be that near too.
 
     Blocks follow the population counts: 65 totals give each fingerprint its
-    share of the ordered list, and the hash spreads those of one count.
+    share of the ordered list, and the hash spreads those of one count. The
+    pairs of blocks are a table of their own.
     """
+    spark = distinct.sparkSession
     ones = F.bit_count("fp").cast("int")
     totals = {r[0]: r[1] for r in distinct.groupBy(ones.alias("ones")).count().collect()}
     total = sum(totals.values())
     if total < 2:
-        return distinct.sparkSession.createDataFrame([], "u long, v long")
-    blocks = max(8, -(-total // BLOCK))
-    before, table = 0, []
-    low: dict[int, int] = {}
-    high: dict[int, int] = {}
+        return spark.createDataFrame([], "u long, v long")
+    blocks = -(-total // min(BLOCK, max(LEAST_BLOCK, total // BLOCKS)))
+    before, table, spread = 0, [], []
     for count in range(65):
         n = totals.get(count, 0)
         table.append((before, n))
         if n:
-            for k in range(before * blocks // total, min(blocks - 1, (before + n) * blocks // total) + 1):
-                low[k], high[k] = min(low.get(k, 64), count), max(high.get(k, 0), count)
+            spread.append((count, before * blocks // total, min(blocks - 1, (before + n) * blocks // total)))
         before += n
     starts = F.array(*[F.lit(x).cast("double") for x, _ in table])
     sizes = F.array(*[F.lit(n).cast("double") for _, n in table])
@@ -190,11 +221,12 @@ def links(distinct: DataFrame, radius: int = 4, wide_radius: int | None = None)
     place = F.element_at(starts, ones + 1) + share * F.element_at(sizes, ones + 1)
     block = F.least(F.lit(blocks - 1), F.floor(place * blocks / total).cast("int"))
     wide = F.lit(b"").alias("wide") if wide_radius is None else F.col("wide")
-    packed = stored(_packed("", distinct.select(block.alias("block"), "fp", F.col("rep").cast("long").alias("rep"), wide)))
-    pairs = [(a, b) for a in sorted(low) for b in sorted(low) if a <= b and low[b] - high[a] <= radius and low[a] - high[b] <= radius]
-    plan = distinct.sparkSession.createDataFrame(
-        [(x, k, x == b) for k, (a, b) in enumerate(pairs) for x in {a, b}], "block int, pair int, second boolean"
-    )
+    packed = stored(_packed(distinct.select(block.alias("block"), "fp", F.col("rep").cast("long").alias("rep"), wide)))
+    # which blocks hold which counts, and from that the pairs of blocks to compare
+    held = spark.createDataFrame(spread, "ones int, low int, high int").select("ones", F.explode(F.sequence("low", "high")).alias("b"))
+    reach = F.explode(F.sequence(F.col("ones") - radius, F.col("ones") + radius))
+    pairs = held.select(F.col("b").alias("a"), reach.alias("ones")).distinct().join(held, "ones").filter("a <= b").select("a", "b").distinct()
+    met = packed.join(pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block")), "block")
 
     def compare(table: pa.Table) -> pa.Table:
         sides: dict[int, list] = {}
@@ -207,18 +239,19 @@ def links(distinct: DataFrame, radius: int = 4, wide_radius: int | None = None)
             order = np.lexsort((fp, np.bitwise_count(fp)))
             ready.append((fp[order], rep[order], wide[order]))
         (a, rep_a, wide_a), (b, rep_b, wide_b) = ready[0], ready[-1]
-        pair = table.column("pair")[0].as_py()
-        same = pairs[pair][0] == pairs[pair][1]
+        same = table.column("a")[0] == table.column("b")[0]
         if not same and len(ready) < 2:
             return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
         rep = rep_a if same else np.concatenate((rep_a, rep_b))
         near = _tile_links(a, b, same, radius)
         if wide_radius is not None:
             near = _also_near(near, wide_a if same else np.concatenate((wide_a, wide_b)), wide_radius)
-        node, root = _forest(a, b[:0] if same else b, near)
+        node, root = _forest(a, b[:0] if same else b, _gathered(near))
         return pa.table({"u": rep[node], "v": rep[root]})
 
-    return packed.join(F.broadcast(plan), "block").groupBy("pair").applyInArrow(compare, "u long, v long")
+    # dealt by number, so that few and small rows are not put together into few tasks
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return met.repartition(parts, "a", "b").groupBy("a", "b").applyInArrow(compare, "u long, v long")
 
 
 def near_duplicates(
