@@ -40,6 +40,11 @@ KNOWN_NEW = (
     (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA),
     (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x16EA0, 0x16EB8), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
 )
+#: First and last capital newer than this Python's Unicode data, with the small letter of the first; the library knows these.
+NEW_CAPITALS = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x0264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3),
+    (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x019B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -79,6 +84,8 @@ class Codec:
         everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
         new = [c for c in regex.findall(r"[\p{L}\p{N}]", everything) if unicodedata.category(c) == "Cn" and ord(c) not in known]
         self._new_letters, self._as_symbols = frozenset(new), dict.fromkeys(map(ord, new), "\ue000")
+        self._lower = {c: low + c - a for a, b, low in NEW_CAPITALS for c in range(a, b + 1)}
+        self._capitals = frozenset(map(chr, self._lower))
         self._special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         longest_first = sorted(self._special, key=len, reverse=True)
         self._special_split = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")").split if longest_first else None
@@ -170,6 +177,8 @@ class Codec:
         if "Σ" in text:
             text = text.replace("Σ", "σ")  # letters are lowered one by one, without regard to a word's end
         words, text = self._words, text.lower()
+        if not text.isascii() and not self._capitals.isdisjoint(text):
+            text = text.translate(self._lower)
         if text.isascii() or self._new_letters.isdisjoint(text):
             return b"".join([words[w] for w in self._find(text)])
         spans = (m.span() for m in self._pattern.finditer(text.translate(self._as_symbols)))

@@ -4,16 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(frame: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage, in the folder that ``spark.checkpoint.dir`` names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints; a temporary one only where all runs on this machine."""
+    context = spark.sparkContext
+    named = context._jsc.sc().getCheckpointDir()
+    folder = named.get() if named.isDefined() else context.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+    return tempfile.mkdtemp(prefix="turnlake-")
+
 
-    Only where the session names none, as in tests on one machine, a temporary
-    folder is set instead.
-    """
+def stored(frame: DataFrame) -> DataFrame:
+    """Compute once and cut the lineage, in the shared folder."""
     context = frame.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="turnlake-"))
+        context.setCheckpointDir(shared_folder(frame.sparkSession))
     return frame.checkpoint(eager=True)

@@ -98,6 +98,8 @@ class _Best:
         return (bound > score) | ((bound == score) & (least < name))
 
     def add(self, rows: np.ndarray, score: np.ndarray, ids: np.ndarray, own: np.ndarray) -> None:
+        wanted = score.max(axis=1) >= np.maximum(self.floor[rows], self.score[rows, -1])
+        rows, score, own = rows[wanted], score[wanted], own[wanted]
         same = ids[None] == own[:, None]
         score = np.concatenate((self.score[rows], np.where(same, _NONE, score)), axis=1)
         names = np.concatenate((self.id[rows], np.where(same, _LAST, ids[None])), axis=1)
@@ -267,7 +269,8 @@ def _searched(asks: DataFrame, trees: DataFrame, k: int, parts: int) -> DataFram
         else:
             (_, _, vectors), = _by_size(queries)
             best = search(pickle.loads(tree.column("data")[0].as_py()), own, vectors, *(queries.column(c).to_numpy() for c in ("floor", "least")), k)
-            held = best.id != _LAST
+            floor, least = (x[:, None] for x in (best.floor, best.least))
+            held = (best.id != _LAST) & ((best.score > floor) | ((best.score == floor) & (best.id < least)))
             ends = pa.array(np.concatenate(([0], np.cumsum(held.sum(1)))), pa.int32())
             found, scores = (pa.ListArray.from_arrays(ends, pa.array(x[held])) for x in (best.id, best.score))
         return queries.select(["size", "cell", "shard", "block", "_id", "copy", "_vector"]).append_column("ids", found).append_column("scores", scores)

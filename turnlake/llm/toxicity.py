@@ -6,13 +6,15 @@ L1 term leaves few weights, which are broadcast; scoring hashes whole texts and
 looks up those weights only.
 
 Learning uses a bounded sample of labelled rows: the ``max_rows`` with the least
-hashes of their ids, so that the sample is the same on every run. Scoring uses
-the text alone.
+hashes of their ids, as far as their texts have ``MAX_BYTES`` together, so that
+the sample is the same on every run and the driver gets six times those bytes at
+most. Of several texts with one id the one of the least hash is learned from, and
+of several labels the highest. Scoring uses the text alone, however long.
 
 Defined results: null and empty texts have no features and get the score of the
 bias. Rows whose label is null are not learned from; without any learned row
-all scores are 0.5 minus a hair, hence predicted 0. Repeated rows get the same
-score. Only the named columns are read.
+all scores are 0.5, hence predicted 1 by the rule of 0.5 and more, but
+``keep_clean`` keeps all rows. Repeated rows get the same score. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -24,22 +26,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from turnlake.llm import text as tx
 
 BITS = 20
-#: Most labelled rows that are learned from.
-MAX_ROWS = 6000
-#: A feature is learned from so many sample rows on.
-LEAST_ROWS = 5
+#: Most labelled rows that are learned from, and most bytes of their texts.
+MAX_ROWS, MAX_BYTES = 6000, 32 << 20
 
 
 class Rates(NamedTuple):
-    """Settings of the FTRL-proximal updates."""
+    """Settings of the FTRL-proximal updates, chosen on a fifth of the ids that may be learned from."""
 
-    alpha: float = 1.0
+    alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 10.0
+    l1: float = 30.0
     l2: float = 0.01
     passes: int = 4
     toxic_weight: float = 3.0  # of a row labelled 1; missing one costs more than a false alarm
@@ -80,15 +81,9 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _fit(labels: np.ndarray, rows: list[np.ndarray], rates: Rates) -> Model:
     """FTRL-proximal over the rows in the given order, several passes."""
-    index, counts = np.unique(np.concatenate(rows) if rows else np.zeros(0, np.int32), return_counts=True)
-    index = index[counts >= LEAST_ROWS]
+    index = np.unique(np.concatenate(rows) if rows else np.zeros(0, np.int32))
     size = len(index)
-    local = []
-    for row in rows:  # coordinates among the kept ones; the last is the bias
-        at = np.searchsorted(index, row)
-        at[at == size] = 0
-        hit = at[index[at] == row] if size else at[:0]
-        local.append(np.append(hit, size))
+    local = [np.append(np.searchsorted(index, row), size) for row in rows]  # the last is the bias
     z, n = np.zeros(size + 1), np.zeros(size + 1)
     l1 = np.full(size + 1, rates.l1)
     l1[size] = 0
@@ -129,10 +124,15 @@ def train(
         known = known.filter(F.crc32(F.col("_id").cast("string").cast("binary")) % 5 != 0)
     known = known.groupBy("_id").agg(F.max("label").alias("label"))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    near = known.join(texts.select("_id").filter("_id is not null").distinct(), "_id", "left_semi")
-    chosen = near.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    picked = texts.join(F.broadcast(chosen), "_id").select("label", "_text", "_id")  # bounded by max_rows
-    sample = picked.dropDuplicates(["_id"]).mapInArrow(_feature_rows, "label int, features binary")
+    hashed = F.xxhash64("_text")
+    sizes = texts.filter("_id is not null").groupBy("_id").agg(
+        F.min(F.struct(hashed.alias("pick"), F.coalesce(F.octet_length("_text"), F.lit(0)).alias("bytes"))).alias("one")
+    )
+    near = known.join(sizes.select("_id", "one.*"), "_id").withColumn("order", F.xxhash64("_id"))
+    running = Window.orderBy("order", "_id")  # of max_rows rows
+    chosen = near.orderBy("order", "_id").limit(max_rows).withColumn("sum", F.sum("bytes").over(running)).filter(F.col("sum") <= MAX_BYTES)
+    picked = texts.withColumn("pick", hashed).join(F.broadcast(chosen.select("_id", "pick", "label")), ["_id", "pick"])  # bounded by max_rows
+    sample = picked.select("label", "_text", "_id").dropDuplicates(["_id"]).mapInArrow(_feature_rows, "label int, features binary")
     table = sample.toArrow()
     labels_of = table.column("label").to_numpy().astype(float)
     rows = [np.frombuffer(x.as_py(), np.int32) for x in table.column("features")]
@@ -175,7 +175,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose score is below the threshold; nothing is shuffled."""
+    """The rows, with all their columns, whose score is below the threshold; nothing is shuffled.
+
+    A model without weights rejects nothing.
+    """
+    if not len(model.index):
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 

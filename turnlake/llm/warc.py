@@ -12,7 +12,8 @@ gzip members included, by Spark's binary source.
 
 Defined results: a null or empty page is a response with an empty payload; its
 conversion has an empty block. A null URL is an empty target. A response block
-without an HTTP header is all payload. Records of other types are left out.
+without an HTTP header is all payload. Payloads are read in the charset of their
+Content-Type, else as UTF-8, however long; a file is one task's, of 2 GB at most. Records of other types are left out.
 Repeated rows give repeated records with the same ids; an empty table gives an
 empty result. Only the named columns are read.
 """
@@ -20,11 +21,11 @@ empty result. Only the named columns are read.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -121,6 +122,18 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return lines[0], pairs, payload
 
 
+_CHARSET = re.compile(r"""charset\s*=\s*["']?([A-Za-z0-9_.:-]+)""", re.I)
+
+
+def decoded(payload: bytes, headers: list[tuple[str, str]]) -> str:
+    """The page's text in the charset that its Content-Type names, UTF-8 where it names none that is known."""
+    named = next((m[1] for name, value in headers if name.lower() == "content-type" and (m := _CHARSET.search(value))), "utf-8")
+    try:
+        return payload.decode(named, "replace")
+    except (LookupError, UnicodeError):
+        return payload.decode("utf-8", "replace")
+
+
 def _response(key: str, url: str, page: str, date: str) -> dict:
     payload = page.encode("utf-8", "surrogatepass")
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n"
@@ -135,7 +148,7 @@ def _response(key: str, url: str, page: str, date: str) -> dict:
 def derivatives(source: dict) -> list[dict]:
     """The metadata and the conversion record of one response record."""
     status, headers, payload = split_http(source["block"] or b"")
-    page, target = payload.decode("utf-8", "replace"), source["target_uri"] or ""
+    page, target = decoded(payload, headers), source["target_uri"] or ""
     title, lang, links = page_facts(page, target)
     facts = [("source-status", status)] if status else []
     facts += [(f"source-{name.lower()}", value) for name, value in headers]
@@ -207,10 +220,25 @@ def to_bytes(record: dict) -> bytes:
     return b"WARC/1.1\r\n" + lines.encode("utf-8", "surrogatepass") + b"\r\n" + block + b"\r\n\r\n"
 
 
+def unzipped(data: bytes) -> bytes:
+    """The content of all gzip members; of a cut-off or broken member what can be read of it, and nothing after it."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error:
+            break
+        if not member.eof:
+            break
+        data = member.unused_data.lstrip(b"\0")
+    return b"".join(out)
+
+
 def parse(data: bytes) -> Iterator[dict]:
     """The records of a WARC file, plain or of gzip members; a cut-off last record is left out."""
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        data = unzipped(data)
     columns = {label.lower(): column for column, label in NAMED.items()}
     at = data.find(b"WARC/")
     while at >= 0:
