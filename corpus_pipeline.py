@@ -2,14 +2,16 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 it as Parquet into the shared folder and hands the reread table to the next.
-All but the last keep the columns of ``documents``. Toxicity is judged row by
-row. Documents with a null id pass the two filters that follow: nothing can be
-held against them by id.
+All but the last keep the columns of ``documents``; texts are whole, however
+long. Toxicity and secrets are judged row by row, contamination by (id, text).
+Near-duplicates are told by id: rows with a null id come after all others, known
+by their text; of rows equal in id and text one stays, and if one of several
+texts of an id is a copy, all of that id go. Null and empty texts are copies of
+each other. Empty tables give empty tables.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,11 @@ from pyspark.sql import functions as F
 
 from turnlake.llm import bpe, decontam, secrets, simhash, toxicity
 from turnlake.llm.queries import word_vocabulary
+from turnlake.llm.shared import shared_folder, stored
+
+
+#: Columns that stages add for themselves.
+_KEY, _SUM = "_pipeline_key", "_pipeline_sum"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,15 +34,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go whose five-word shingles are 0.8 or more the same as those of one that stays, of a lesser id."""
-    extra = simhash.copies(docs).select("doc_id").distinct()
-    return docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
+    # a null id is replaced by a number beyond all ids in use
+    late = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    keyed = docs.withColumn(_KEY, F.coalesce(F.col("doc_id").cast("long"), late)).withColumn(_SUM, F.xxhash64("text"))
+    extra = simhash.copies(keyed.select(F.col(_KEY).alias("doc_id"), "text")).select(F.col("doc_id").alias(_KEY)).distinct()
+    kept = keyed.join(extra, _KEY, "left_anti")
+    repeated = stored(keyed.groupBy(_KEY, _SUM).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(_KEY, _SUM))
+    if not repeated.isEmpty():
+        once = kept.join(repeated, [_KEY, _SUM], "left_semi").dropDuplicates([_KEY, _SUM])
+        kept = kept.join(repeated, [_KEY, _SUM], "left_anti").unionByName(once)
+    return kept.select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaked = decontam.decontaminate(docs, benchmark).filter("contaminated").select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+    keyed = docs.withColumn(_KEY, F.xxhash64("doc_id", "text"))
+    leaked = decontam.decontaminate(keyed, benchmark, id_col=_KEY).filter("contaminated").select(_KEY).distinct()
+    return keyed.join(leaked, _KEY, "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,8 +95,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole ``documents`` table; the last stage's table stays in the shared folder."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="turnlake-")
-    base = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), ""
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
