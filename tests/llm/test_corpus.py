@@ -202,7 +202,7 @@ def test_op3_on_the_table(spark, data):
     assert got == {i: (format(fps[i], "016x"), groups[i]) for i in fps}
 
 
-@pytest.mark.parametrize("small, leaders", [(256, 64), (6, 2)])
+@pytest.mark.parametrize("small, leaders", [(2048, 1024), (256, 64), (6, 2)])
 def test_copies_planted_at_known_similarity(spark, monkeypatch, small, leaders):
     monkeypatch.setattr(simhash, "SMALL", small)
     monkeypatch.setattr(simhash, "LEADERS", leaders)

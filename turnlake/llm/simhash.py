@@ -49,7 +49,9 @@ QUARTERS = 8
 #: and 39 of 256 bits on average (deviations 3 and 6), and in more where they have few shingles.
 SIMILARITY, RADIUS, WIDE_RADIUS, WIDE = 0.8, 20, 72, 4
 #: Members of a group that are compared in one task, and those that decide first in a larger group.
-SMALL, LEADERS = 256, 64
+SMALL, LEADERS = 2048, 1024
+#: Cells of the histogram of a set's hashes that bounds what two sets can share.
+CELLS = 512
 
 
 def shingle_hashes(text: str | None, shingle: int = 4) -> list[int]:
@@ -309,19 +311,29 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
 def _decide(least: float):
     """Rows that lead stay as they are; every other, by id, is a copy of the first kept row that it is similar to, or is kept itself.
 
-    With leaders, a row without one is not decided and is not compared with the others.
+    With leaders, a row without one is not decided and is not compared with the
+    others. Two sets share no more hashes than the lesser counts of their cells
+    add up to; only rows for which that is enough are compared in full.
     """
 
     def run(table: pa.Table) -> pa.Table:
         ids, leads = table.column("_id").to_pylist(), table.column("lead").to_pylist()
         sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
+        sizes = np.array([len(s) for s in sets])
+        cells = np.array([np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).clip(max=65535) for s in sets], np.uint16).reshape(-1, CELLS)
+        full = sizes > 65535  # a cell's count may be cut off
         led = any(leads)
-        kept, of = [], [None] * len(ids)
+        kept, n, of = np.zeros(len(ids), np.int64), 0, [None] * len(ids)
         for k in sorted(range(len(ids)), key=lambda k: (not leads[k], ids[k])):
             if not leads[k]:
-                of[k] = next((ids[j] for j in kept if ids[j] != ids[k] and similar(sets[k], sets[j], least)), None)
+                before = kept[:n]
+                before = before[(np.minimum(sizes[before], sizes[k]) >= least * np.maximum(sizes[before], sizes[k]))]
+                most = np.minimum(cells[before], cells[k]).sum(axis=1, dtype=np.int64)
+                before = before[(most * (1 + least) >= least * (sizes[before] + sizes[k]) - 1e-6) | full[before] | full[k]]
+                of[k] = next((ids[j] for j in before.tolist() if ids[j] != ids[k] and similar(sets[k], sets[j], least)), None)
             if leads[k] or (of[k] is None and not led):
-                kept.append(k)
+                kept[n] = k
+                n += 1
         return table.select(["root", "_id", "shingles", "n", "lead"]).append_column("copy_of", pa.array(of, pa.int64()))
 
     return run
