@@ -47,3 +47,36 @@ def test_an_ordinal_twice_is_an_error(lake):
     turns = lake.archive.turns
     with pytest.raises(Exception, match="ordinal twice"):
         turn_replace(turns, turns.unionByName(turns.limit(3))).collect()
+
+
+def test_merge_with_colliding_project_ids(spark, data):
+    from pyspark.sql import functions as F
+
+    from turnlake.operators import search
+    from turnlake.operators.writes import merge
+    from turnlake.sources.archive import Archive, from_tables
+
+    a = from_tables(spark, data)
+    other = lambda frame, column: frame.withColumn(column, F.concat(F.col(column).cast("string"), F.lit("-b")))
+    b = Archive(other(a.projects, "path"), other(a.sessions, "id"), other(a.turns, "session_id"), other(a.tool_uses, "session_id"), a.source_files)
+    m = merge(a, b)
+    assert m.projects.count() == m.projects.select("id").distinct().count() == 2 * a.projects.count()
+    assert search.base(m).count() == m.turns.count() == 2 * a.turns.count()
+    known = {(r.session_id, r.id) for r in a.turns.collect()}
+    owned = {(r.session_id, r.turn_id, r.turn_ordinal) for r in a.tool_uses.collect() if (r.session_id, r.turn_id) in known}
+    assert m.sessions.count() == 2 * a.sessions.count() and m.tool_uses.count() == a.tool_uses.count() + len(owned)
+    path = m.sessions.join(m.projects.select(F.col("id").alias("project_id"), "path"), "project_id")
+    assert path.filter(F.col("id").endswith("-b") != F.col("path").endswith("-b")).isEmpty()
+
+
+def test_phrases_do_not_reach_from_input_into_result(spark, data):
+    from pyspark.sql import functions as F
+
+    from turnlake.operators import search
+    from turnlake.sources.archive import from_tables
+
+    a = from_tables(spark, data)
+    calls = a.tool_uses.limit(1).withColumn("input_json", F.lit("zeta alpha")).withColumn("result_content", F.lit("beta omega"))
+    a = a._replace(tool_uses=calls) if hasattr(a, "_replace") else type(a)(a.projects, a.sessions, a.turns, calls, a.source_files)
+    hits = [search.text_hits(a, q).count() for q in ('"alpha beta"', '"zeta alpha"', '"beta omega"', "alpha beta")]
+    assert hits == [0, 1, 1, 1]

@@ -43,7 +43,8 @@ def text_hits(a: Archive, text: str) -> DataFrame:
     if match is None:
         return a.turns.select(*KEYS).limit(0)
     own = a.turns.filter(match(ft.tokens(F.col("content")))).select(*KEYS)
-    payload = F.concat(ft.tokens(F.col("input_json")), ft.tokens(F.col("result_content")))
+    # the element between them is no token, so that no phrase reaches from one into the other
+    payload = F.concat(ft.tokens(F.col("input_json")), F.array(F.lit("\0")), ft.tokens(F.col("result_content")))
     calls = a.tool_uses.filter(match(payload)).select("session_id", F.col("turn_id").alias("id"))
     return own.union(calls).distinct()
 
@@ -115,7 +116,8 @@ def attributed(a: Archive, q: Query, limit: int = 20) -> DataFrame:
     match = ft.compile_text(q.text)
     if match is None:
         return rows.withColumn("matched_tool", F.lit(None).cast("string")).withColumn("snippet", ft.snippet(F.col("content"), q.text))
-    payload = F.concat(ft.tokens(F.col("input_json")), ft.tokens(F.col("result_content")))
+    # the element between them is no token, so that no phrase reaches from one into the other
+    payload = F.concat(ft.tokens(F.col("input_json")), F.array(F.lit("\0")), ft.tokens(F.col("result_content")))
     first = (
         a.tool_uses.join(rows.select("session_id", F.col("id").alias("turn_id")), ["session_id", "turn_id"], "left_semi")
         .filter(match(payload))

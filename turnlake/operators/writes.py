@@ -82,15 +82,18 @@ def merge(current: Archive, incoming: Archive) -> Archive:
     """Both archives as one: absent and later sessions come in with all they have.
 
     Columns are those both sides know. Projects are matched by path; an
-    incoming session keeps its project through the path. Calls come in only
-    with their turn, and of equal calls one stays.
+    incoming session keeps its project through the path. Ids of projects are an
+    archive's own: a new project gets one made from its path, beyond all small
+    numbers. Calls come in only with their turn, and of equal calls one stays.
     """
 
     def both(table: str) -> list[str]:
         return [c for c in getattr(current, table).columns if c in getattr(incoming, table).columns]
 
     taken = merge_pick(current.sessions, incoming.sessions).filter("action <> 'skip'").select("id")
-    new_projects = incoming.projects.join(current.projects.select("path"), "path", "left_anti").select(*both("projects"))
+    own_id = F.xxhash64("path").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    new_projects = incoming.projects.join(current.projects.select("path"), "path", "left_anti")
+    new_projects = new_projects.withColumn("id", own_id.cast(current.projects.schema["id"].dataType)).select(*both("projects"))
     projects = current.projects.select(*both("projects")).unionByName(new_projects)
     named = incoming.projects.select(F.col("id").alias("project_id"), F.col("path").alias("_path"))
     ids = projects.select(F.col("path").alias("_path"), F.col("id").alias("_project"))
