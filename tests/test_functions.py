@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta, timezone
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -37,9 +38,9 @@ def test_named_dates_and_zones():
 
 
 def test_period_terms_edges():
-    assert period_terms("2026-09-01", "2026-09-30") == ["ccvym202609", "ccvymx"]
-    assert period_terms("2024-02-01", "2024-02-29") == ["ccvym202402", "ccvymx"]
-    assert period_terms("2026-09-28", "2026-09-28") == ["ccvd20260928", "ccvymx"]
+    assert period_terms("2026-09-01", "2026-09-30") == ["periodmonth202609", "periodnone"]
+    assert period_terms("2024-02-01", "2024-02-29") == ["periodmonth202402", "periodnone"]
+    assert period_terms("2026-09-28", "2026-09-28") == ["periodday20260928", "periodnone"]
     assert period_terms("2026-10-05", "2026-10-01") is None
     assert period_terms("last tuesday", "2026-10-01") is None
     assert period_terms("", "2026-10-01") is None
@@ -54,7 +55,7 @@ def test_period_terms_cover_each_day_once(first, days):
         return
     day, covered = first, []
     while day <= last:
-        covered.append(sum(t in (f"ccvd{day:%Y%m%d}", f"ccvym{day:%Y%m}") for t in terms))
+        covered.append(sum(t in (f"periodday{day:%Y%m%d}", f"periodmonth{day:%Y%m}") for t in terms))
         day += timedelta(days=1)
     assert set(covered) == {1}
 
@@ -101,3 +102,15 @@ def test_display_forms(spark):
     assert [r.d for r in got] == ["59s", "1h0m0s", "1h2m3s"]
     assert [r.f.split("\n")[0] for r in got] == ["```", "````", "``````"]
     assert compact_path("/home/u/projects/deep/down/file", 20) == "~/p/deep/down/file"
+
+
+def test_accents_fold_as_decomposition_does(spark):
+    words = ["Čeština", "Łódź", "ŐSZ", "Việt", "été", "İstanbul", "straße", ""]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select(F.explode(ft.tokens(F.col("w")))).collect()
+    assert [r[0] for r in got] == ["cestina", "łodz", "osz", "viet", "ete", "istanbul", "straße"]
+    letters = [c for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))) if c.isalpha()]
+    rows = spark.createDataFrame([(c,) for c in letters], "w string").select("w", ft.folded(F.col("w")).alias("f")).collect()
+    for r in rows:
+        assert ft._fold(r.w) == r.f
+        plain = duckdb.execute("SELECT lower(strip_accents(?))", [r.w]).fetchone()[0]
+        assert r.f == plain or not (r.f.isascii() or plain.isascii())

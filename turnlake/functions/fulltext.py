@@ -3,19 +3,33 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}]+"
-#: Accented letters and the plain ones they are folded to.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+#: Combining marks; they are dropped, so that decomposed letters are folded as well.
+MARKS = "".join(map(chr, range(0x300, 0x370)))
+
+
+def _plain_letters() -> dict[str, str]:
+    """Lower-case letters of the Latin blocks that decompose to an ASCII letter and marks, with that letter."""
+    found = {}
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        first, *rest = unicodedata.normalize("NFD", chr(code))
+        if rest and first.isascii() and first.islower() and all(unicodedata.combining(c) for c in rest):
+            found[chr(code)] = first
+    return found
+
+
+_PLAIN = _plain_letters()
+ACCENTED, PLAIN = "".join(_PLAIN), "".join(_PLAIN.values())
 
 
 def folded(text: Column) -> Column:
     """Lower case without accents; null counts as empty."""
-    return F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, PLAIN)
+    return F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED + MARKS, PLAIN)
 
 
 def tokens(text: Column) -> Column:
@@ -24,7 +38,7 @@ def tokens(text: Column) -> Column:
 
 
 def _fold(word: str) -> str:
-    return word.lower().translate(str.maketrans(ACCENTED, PLAIN))
+    return word.lower().translate(str.maketrans(ACCENTED, PLAIN, MARKS))
 
 
 def _phrase(words: list[str]):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-DAY, MONTH, UNKNOWN = "ccvd", "ccvym", "ccvymx"
+DAY, MONTH, UNKNOWN = "periodday", "periodmonth", "periodnone"
 MOST_TERMS = 200
 
 

@@ -90,10 +90,10 @@ query("fts_not", f"SELECT session_id, id FROM turns WHERE {_HAS('de')} AND NOT {
 query("turn_date_bounds", "SELECT strftime(min(timestamp), '%Y-%m-%d') AS first_day, strftime(max(timestamp), '%Y-%m-%d') AS last_day FROM turns")(s.date_bounds)
 query(
     "period_terms",
-    """SELECT 'ccvd' || strftime(d, '%Y%m%d') AS term FROM range(DATE '2026-01-14', DATE '2026-02-01', INTERVAL 1 DAY) r(d)
-UNION ALL SELECT 'ccvym' || strftime(d, '%Y%m') FROM range(DATE '2026-02-01', DATE '2026-10-01', INTERVAL 1 MONTH) r(d)
-UNION ALL SELECT 'ccvd' || strftime(d, '%Y%m%d') FROM range(DATE '2026-10-01', DATE '2026-10-06', INTERVAL 1 DAY) r(d)
-UNION ALL SELECT 'ccvymx'""",
+    """SELECT 'periodday' || strftime(d, '%Y%m%d') AS term FROM range(DATE '2026-01-14', DATE '2026-02-01', INTERVAL 1 DAY) r(d)
+UNION ALL SELECT 'periodmonth' || strftime(d, '%Y%m') FROM range(DATE '2026-02-01', DATE '2026-10-01', INTERVAL 1 MONTH) r(d)
+UNION ALL SELECT 'periodday' || strftime(d, '%Y%m%d') FROM range(DATE '2026-10-01', DATE '2026-10-06', INTERVAL 1 DAY) r(d)
+UNION ALL SELECT 'periodnone'""",
     views=False,
 )(lambda a: a.spark.createDataFrame([(t,) for t in period_terms("2026-01-14", "2026-10-05")], "term string"))
 query(
