@@ -1,11 +1,14 @@
 """Secret scan: patterns, and a character CNN over every further candidate.
 
-Base findings come from three patterns and always stay. Every run of secret-like
-characters with a letter and a digit is a candidate; a small convolutional
-network in numpy reads it with the text around it. It is trained on labelled
-findings, calibrated on a part of them by Platt scaling, and the threshold is
-the highest one that keeps the demanded recall on that part. Candidates at or
-above it that overlap no base finding are added with the kind ``model``.
+Base findings come from three patterns and always stay. Candidates are further
+runs of 8 and more secret-like characters: after a word that announces a secret
+any run, elsewhere one with a letter and a digit, from 16 on one of mixed case,
+from 24 on a bare one of letters. A small convolutional network in numpy reads
+each with the text around it. It is trained on labelled findings, calibrated on
+a second part of them by Platt scaling, and the threshold is the highest one
+that keeps the demanded recall on a third part, where findings that are no
+candidates count as missed. Candidates at or above it are added with the kind
+``model``; base findings get their probability as score and stay whatever it is.
 
 Labelled findings are made from fixed rules and a seed (``labelled_findings``);
 callers can pass their own. Training is bounded by their number and runs once;
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -36,8 +40,15 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+", re.ASCII)
 _HEX = re.compile(r"[0-9a-f]+", re.ASCII)
-_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}", re.ASCII)
-_DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{8,}", re.ASCII)
+_DIGIT, _LETTER, _CAPITALS = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]"), re.compile(r"[a-z][A-Z]")
+_BARE = re.compile(r"[A-Za-z]{24,}", re.ASCII)
+#: Words that announce a secret, a part of each to look for first, and the run after them.
+_ANNOUNCED = ("pwd", "pass", "key", "auth", "bearer", "credential", "secret", "token")
+_NAMED = re.compile(
+    r"""(?i:pwd|pass(?:phrase|code|word|wd)|key|auth(?:orization)?|bearer|credentials?|secret|token)"""
+    r"""["']?(?:\x20*[:=]\x20*|\x20)["']?([A-Za-z0-9+/_.=-]{8,})""", re.ASCII
+)
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 
 #: Characters of a window before, in and after the candidate; longer candidates get several windows.
@@ -72,16 +83,58 @@ def base_findings(text: str) -> list[Finding]:
     return sorted(found, key=lambda f: (f.start, KINDS.index(f.kind)))
 
 
+def _trimmed(text: str, start: int, end: int) -> int:
+    """The end of a run without the punctuation of its sentence."""
+    while end > start and text[end - 1] in ".-":
+        end -= 1
+    return end
+
+
+def _union(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the places that the spans cover, in order."""
+    starts, ends = [], []
+    for start, end in sorted(spans):
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
+def _free(start: int, end: int, taken: tuple[list[int], list[int]]) -> bool:
+    """Whether a span overlaps none of the places in a union."""
+    k = bisect_right(taken[1], start)
+    return k == len(taken[0]) or taken[0][k] >= end
+
+
+def _base_spans(text: str) -> list[tuple[int, int]]:
+    return [(f.start, f.end) for f in base_findings(text)]
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Runs of secret-like characters with a letter and a digit in them."""
-    out = []
+    """Runs that may be secrets by their characters or by the word before them; they do not overlap."""
+    named, lower = [], text.lower()
+    for m in _NAMED.finditer(text) if any(word in lower for word in _ANNOUNCED) else ():
+        end = _trimmed(text, m.start(1), m.end(1))
+        if end - m.start(1) >= 8:
+            named.append((m.start(1), end))
+    taken, out = _union(named), named
     for m in _RUN.finditer(text):
-        start, end = m.start(), m.end()
-        while end > start and text[end - 1] in ".-":  # punctuation of the sentence
-            end -= 1
-        if end - start >= 16 and _DIGIT.search(text, start, end) and _LETTER.search(text, start, end):
+        if m[0].isalpha() and (m.end() - m.start() < 16 or m[0].islower()) and m.end() - m.start() < 24:
+            continue  # a word
+        start, end = m.start(), _trimmed(text, m.start(), m.end())
+        inner = text.rfind("=", start, end - 8)  # name=value: the value
+        start = inner + 1 if inner >= 0 else start
+        if end - start < 8 or not _free(start, end, taken):
+            continue
+        if _LETTER.search(text, start, end) and (
+            _DIGIT.search(text, start, end)
+            or end - start >= 16 and _CAPITALS.search(text, start, end)
+            or end - start >= 24 and _BARE.fullmatch(text, start, end)
+        ):
             out.append((start, end))
-    return out
+    return sorted(out)
 
 
 def _windows(text: str, start: int, end: int) -> list[tuple[bytes, bytes]]:
@@ -146,7 +199,7 @@ def _gradients(net: Network, symbols: np.ndarray, flags: np.ndarray, y: np.ndarr
     return [d_embed, columns.reshape(len(flat), -1).T @ flat, flat.sum(0), pooled.T @ dz, np.array([dz.sum()])]
 
 
-def labelled_findings(n: int = 2400, seed: int = 11) -> list[tuple[str, int, int, int]]:
+def labelled_findings(n: int = 6000, seed: int = 11) -> list[tuple[str, int, int, int]]:
     """(text, start, end, label): secrets, and other runs that look like them."""
     rng = random.Random(seed)
     lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -162,6 +215,14 @@ def labelled_findings(n: int = 2400, seed: int = 11) -> list[tuple[str, int, int
         lambda: rng.choice(("sk_live_", "pk_test_", "ghp_", "xoxb-", "glpat-")) + draw(everything, rng.randint(20, 36)),
         lambda: "eyJ" + draw(everything, 24) + "." + draw(everything + "_-", 32),
         lambda: draw(everything + "_-", rng.randint(18, 30)),
+        lambda: draw(lower + upper, rng.randint(26, 40)),
+    ]
+    announced = [  # secrets by the word before them
+        lambda: draw(everything, rng.randint(8, 15)),
+        lambda: draw(lower + digits, rng.randint(8, 15)),
+        lambda: draw(rng.choice((lower, upper, digits)), rng.randint(8, 24)),
+        lambda: (word() + draw(digits, rng.randint(1, 4))).rjust(8, rng.choice(lower)),
+        lambda: "".join(word() for _ in range(4)).rjust(8, rng.choice(lower)),
     ]
     plain = [
         lambda: "/".join(word() for _ in range(4)) + "/" + draw(digits, rng.randint(1, 4)) + ".html",
@@ -174,43 +235,56 @@ def labelled_findings(n: int = 2400, seed: int = 11) -> list[tuple[str, int, int
         lambda: word() + "-" + ".".join(draw("0123456789", 1) for _ in range(4)) + "-linux-x86_64",
         lambda: ".".join(word() for _ in range(4)) + "." + word() + draw(digits, 1),
         lambda: draw(digits, rng.randint(14, 20)) + rng.choice(("px", "kg", "eur", "ms")),
+        lambda: draw(digits, rng.randint(4, 8)) + rng.choice(("x" + draw(digits, 4), "mhz", "k" + draw(digits, 4))),
+        lambda: (word() + word() + draw(digits, rng.randint(1, 4))).rjust(8, rng.choice(lower)),
+        lambda: rng.choice(lower) + draw(digits, rng.randint(7, 11)),
+        lambda: "".join(word() for _ in range(8)),
+        lambda: "".join(word().capitalize() for _ in range(6)),
+        lambda: draw(lower + digits, rng.randint(8, 12)),
     ]
-    named = ("key", "auth", "bearer", "credential", "private_key", "access_key", "pwd", "token", "secret")
+    spoken = lambda: (word() + word()).rjust(8, rng.choice(lower))
+    named = ("key", "auth", "bearer", "credential", "private_key", "access_key", "pwd", "token", "secret", "passphrase", "password")
     neutral = ("id", "file", "path", "version", "page", "name", "see", "ref", "host", "url")
     out = []
     for k in range(n):
-        label = k % 2
-        body = rng.choice(secret if label else plain)()
-        lead = rng.random()
-        if lead < 0.4:
-            before = rng.choice(named if label else neutral) + rng.choice((" = ", ": ", '="', " "))
+        label, form = k % 2, rng.random()
+        if label and form < 0.4:
+            body, before = rng.choice(announced)(), rng.choice(named) + rng.choice((" = ", ": ", '="', "='", "="))
+        elif not label and form < 0.25:  # "key features", "the secret admirers of"
+            body, before = spoken(), rng.choice(named) + " "
+        elif not label and form < 0.35:  # the host of an address
+            body = word() + rng.choice(("", draw(digits, 1))) + "." + word() + word() + rng.choice((".com", ".org", ".net", ".example"))
+            before = word() + rng.choice((".", "_", "")) + rng.choice((word(), draw(digits, 2))) + "@"
         else:
-            before = ""
+            body, before = rng.choice(secret if label else plain)(), ""
+            if rng.random() < 0.4:
+                before = rng.choice(named if label else neutral) + rng.choice((" = ", ": ", '="', " "))
         left = words(rng.randint(0, 5)) + " " + before
         text = left + body + rng.choice(("", " ", ". ", '" ', ", ")) + words(rng.randint(0, 4))
         out.append((text, len(left), len(left) + len(body), label))
     return out
 
 
-def _encoded(findings: list[tuple[str, int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows, labels = [], []
-    for text, start, end, label in findings:
+def _encoded(findings: list[tuple[str, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols and flags of all windows, and the number of the finding that each is of."""
+    rows, owner = [], []
+    for k, (text, start, end) in enumerate(findings):
         windows = _windows(text, start, end)
         rows += windows
-        labels += [label] * len(windows)
+        owner += [k] * len(windows)
     symbols = np.frombuffer(b"".join(r[0] for r in rows), np.uint8).reshape(-1, WIDE)
     flags = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(-1, WIDE).astype(np.float32)
-    return symbols, flags, np.array(labels, np.float32)
+    return symbols, flags, np.array(owner, np.int64)
 
 
-def train(findings: list[tuple[str, int, int, int]] | None = None, recall: float = 0.97, passes: int = 5, seed: int = 5) -> Network:
-    """Fit on three quarters of the findings; calibrate and set the threshold on the rest."""
+def train(findings: list[tuple[str, int, int, int]] | None = None, recall: float = 0.97, passes: int = 6, seed: int = 5) -> Network:
+    """Fit on two thirds of the findings, calibrate on a sixth, set the threshold on the last sixth."""
     findings = labelled_findings() if findings is None else findings
-    symbols, flags, y = _encoded(findings)
+    symbols, flags, owner = _encoded([f[:3] for f in findings])
+    y = np.array([f[3] for f in findings], np.float32)[owner]
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(y))
-    cut = len(y) * 3 // 4
-    fit, held = order[:cut], order[cut:]
+    part = rng.permutation(len(findings)) * 6 // len(findings)  # no finding is in two parts
+    fit, held = np.flatnonzero(part[owner] < 4), np.flatnonzero(part[owner] == 4)
     weights = [
         rng.normal(0, 0.3, (SYMBOLS, EMBED)), rng.normal(0, 0.15, (KERNEL * (EMBED + 1), FILTERS)), np.zeros(FILTERS),
         rng.normal(0, 0.2, 2 * FILTERS), np.zeros(1),
@@ -236,9 +310,13 @@ def train(findings: list[tuple[str, int, int, int]] | None = None, recall: float
         scale, shift = scale - move[0], shift - move[1]
         if abs(move).max() < 1e-9:
             break
-    p = np.sort(1 / (1 + np.exp(-(scale * z + shift)))[t == 1])
+    net = net._replace(scale=float(scale), shift=float(shift))
+    last = [f for f, where in zip(findings, part, strict=True) if where == 5 and f[3]]
+    p = probabilities(net, [f[:3] for f in last])
+    offered = [not _free(start, end, _union(candidates(text))) or not _free(start, end, _union(_base_spans(text))) for text, start, end, _ in last]
+    p = np.sort(p * np.array(offered, bool))
     threshold = p[int((1 - recall) * len(p))] if len(p) else 0.5
-    return net._replace(scale=float(scale), shift=float(shift), threshold=float(threshold))
+    return net._replace(threshold=float(threshold or p[p > 0].min(initial=1.0)))
 
 
 @lru_cache(maxsize=1)
@@ -250,16 +328,10 @@ def probabilities(net: Network, texts_and_spans: list[tuple[str, int, int]]) ->
     """Calibrated probability of every candidate, the highest of its windows."""
     if not texts_and_spans:
         return np.zeros(0)
-    rows, owner = [], []
-    for k, (text, start, end) in enumerate(texts_and_spans):
-        windows = _windows(text, start, end)
-        rows += windows
-        owner += [k] * len(windows)
-    symbols = np.frombuffer(b"".join(r[0] for r in rows), np.uint8).reshape(-1, WIDE)
-    flags = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(-1, WIDE).astype(np.float32)
+    symbols, flags, owner = _encoded(texts_and_spans)
     p = 1 / (1 + np.exp(-np.clip(net.scale * logits(net, symbols, flags) + net.shift, -50, 50)))
     out = np.zeros(len(texts_and_spans))
-    np.maximum.at(out, np.array(owner), p)
+    np.maximum.at(out, owner, p)
     return out
 
 
@@ -268,13 +340,18 @@ def find_all(net: Network, texts: list[str]) -> list[list[Finding]]:
     found, asked, owner = [], [], []
     for k, text in enumerate(texts):
         base = base_findings(text)
-        found.append(base)
-        for start, end in candidates(text):
+        taken = _union([(f.start, f.end) for f in base])
+        found.append([])
+        for kind, start, end, _ in base:
             asked.append((text, start, end))
-            owner.append(k)
-    for (_, start, end), k, p in zip(asked, owner, probabilities(net, asked), strict=True):
-        if p >= net.threshold and not any(f.start < end and start < f.end for f in found[k] if f.kind != "model"):
-            found[k].append(Finding("model", start, end, float(p)))
+            owner.append((k, kind))
+        for start, end in candidates(text):
+            if _free(start, end, taken):
+                asked.append((text, start, end))
+                owner.append((k, "model"))
+    for (_, start, end), (k, kind), p in zip(asked, owner, probabilities(net, asked), strict=True):
+        if kind != "model" or p >= net.threshold:
+            found[k].append(Finding(kind, start, end, float(p)))
     return [sorted(f, key=lambda f: (f.start, KINDS.index(f.kind))) for f in found]
 
 
