@@ -24,6 +24,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -79,11 +80,26 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
 
 
+def _views(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The coordinates of each row, in place; no value is null."""
+    rows = []
+    for chunk in column.chunks:
+        ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1] // 4
+        data = np.frombuffer(chunk.buffers()[2], np.int32, int(ends[-1])) if ends[-1] else np.zeros(0, np.int32)
+        rows += [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return rows
+
+
 def _fit(labels: np.ndarray, rows: list[np.ndarray], rates: Rates) -> Model:
     """FTRL-proximal over the rows in the given order, several passes."""
     index = np.unique(np.concatenate(rows) if rows else np.zeros(0, np.int32))
     size = len(index)
-    local = [np.append(np.searchsorted(index, row), size) for row in rows]  # the last is the bias
+    ends = np.cumsum([len(row) + 1 for row in rows], dtype=np.int64)
+    # all rows in one array, which the driver gets rid of at once
+    places = np.full(int(ends[-1]) if len(rows) else 0, size, np.int32)  # the last of each row is the bias
+    local = np.split(places, ends[:-1]) if rows else []
+    for at, row in zip(local, rows, strict=True):
+        at[:-1] = np.searchsorted(index, row)
     z, n = np.zeros(size + 1), np.zeros(size + 1)
     l1 = np.full(size + 1, rates.l1)
     l1[size] = 0
@@ -135,8 +151,9 @@ def train(
     sample = picked.select("label", "_text", "_id").dropDuplicates(["_id"]).mapInArrow(_feature_rows, "label int, features binary")
     table = sample.toArrow()
     labels_of = table.column("label").to_numpy().astype(float)
-    rows = [np.frombuffer(x.as_py(), np.int32) for x in table.column("features")]
-    order = sorted(range(len(rows)), key=lambda k: (rows[k].tobytes(), labels_of[k]))  # the same on every run
+    rows = _views(table.column("features"))
+    # the same on every run: by the first features, then by all of them
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][:32].tobytes(), xxhash.xxh3_128_digest(rows[k]), labels_of[k]))
     order = np.random.default_rng(7).permutation(np.array(order, int)) if order else []
     return _fit(labels_of[order] if len(order) else labels_of, [rows[k] for k in order], rates)
 
