@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm import bpe, decontam, lm, secrets, simhash, substring_dedup, topk, toxicity, urlfilter, warc
+from turnlake.llm import bpe, decontam, divergence, lm, prefix_trie, secrets, simhash, substring_dedup, topk, toxicity, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,6 +111,14 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.build(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_secrets": op2_secrets,
@@ -122,6 +130,8 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_url_filter": op9_url_filter,
     "op10_lm_scoring": op10_lm_scoring,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE = {
@@ -164,4 +174,45 @@ m AS (SELECT page_id, host, path, rh || rp AS rule, act,
         row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC) AS rn
       FROM p LEFT JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
 SELECT page_id, host, path, rule, coalesce(act, 'allow') AS verdict FROM m WHERE rn = 1""",
+    "op12_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+        translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n)::HUGEINT AS in_lang FROM t GROUP BY ALL HAVING count(*) >= 30),
+v AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, sum(n)::HUGEINT AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+tot AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, term, coalesce(c.n, 0) AS n, in_lang, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (total + 5 * v) AS p
+      FROM g JOIN tot USING (lang, source) JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (in_lang + 5)) // (sum(in_lang) OVER (PARTITION BY lang) + 5 * v) AS q FROM kept JOIN v USING (lang)),
+pr AS (SELECT a.lang, a.source, b.source AS item, coalesce(s, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+       LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS s FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term GROUP BY ALL) z
+       ON z.lang = a.lang AND z.source = a.source AND z.item = b.source),
+te AS (SELECT lang, source, term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+u AS (SELECT lang, source, 'pair' AS part, item, value FROM pr UNION ALL SELECT lang, source, 'term', item, value FROM te),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM u)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM k WHERE part = 'pair' OR rank <= 50""",
+    "op13_prefix_trie": r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT conv_id, conv_id - conv_id % 5 AS base, xor(4294967295, list_reduce([4294967295] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+        lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 9 AS h
+      FROM (SELECT DISTINCT conv_id FROM t)),
+a AS (SELECT k.conv_id, pos, role, text, 0 AS part FROM k JOIN t ON t.conv_id = base AND pos < h
+      UNION ALL SELECT k.conv_id, pos, role, text, 1 FROM k JOIN t ON t.conv_id = k.conv_id AND pos >= h),
+r AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS d FROM a),
+s AS (SELECT conv_id, 0 AS d, '' AS s, 0 AS bytes FROM k UNION ALL
+      SELECT conv_id, d, string_agg(sha256(strlen(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY d), strlen(text) FROM r),
+m AS (SELECT conv_id, d, bytes, min(conv_id) OVER (PARTITION BY d, s) AS rep FROM s),
+l AS (SELECT conv_id, max(d) AS d FROM m GROUP BY 1),
+n AS (SELECT d, rep, count(*) AS n_convs, max(bytes) AS bytes FROM m GROUP BY ALL),
+np AS (SELECT n.*, m.rep AS parent FROM n LEFT JOIN m ON m.conv_id = n.rep AND m.d = n.d - 1),
+ch AS (SELECT d - 1 AS d, parent AS rep, count(*) AS n_children FROM np WHERE parent IS NOT NULL GROUP BY ALL),
+nc AS (SELECT np.*, coalesce(n_children, 0) AS n_children FROM np LEFT JOIN ch USING (d, rep)),
+su AS (SELECT m.d, m.rep, sum(CAST(nc.n_children = 0 AS INT)) AS n_leaves, sum((nc.n_convs - 1) * nc.bytes) AS saved FROM nc JOIN m ON m.conv_id = nc.rep AND m.d <= nc.d GROUP BY ALL),
+en AS (SELECT d, rep, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM l JOIN m USING (conv_id, d) GROUP BY ALL)
+SELECT rep AS conv_id, CAST(d AS BIGINT) AS depth, parent AS parent_conv_id, CAST(n_convs AS BIGINT) AS n_convs, CAST(n_children AS BIGINT) AS n_children,
+  CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nc JOIN su USING (d, rep) LEFT JOIN en USING (d, rep)""",
 }
