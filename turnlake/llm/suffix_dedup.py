@@ -41,7 +41,7 @@ SPAN = WINDOW - ANCHOR + 1
 #: Occurrences from which on an anchor's windows are dealt one by one.
 HOT = 1 << 16
 #: Bytes hashed at once, anchors and segments that a task gathers before it sends them.
-SLICE, FLUSH_KEYS, FLUSH_SEGMENTS = tx.CHUNK_BYTES, 1_000_000, 200_000
+SLICE, FLUSH_KEYS, FLUSH_SEGMENTS = tx.CHUNK_BYTES, 1_000_000, 100_000
 #: An answer is a start and a number of windows in one integer.
 _RUN_BITS = 20
 _U = np.uint64
@@ -475,6 +475,6 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     anchors = texts.select("_id", "_sum", "_text").mapInArrow(_anchor_entries(buckets), _ASKED_DDL)
     near = texts.join(answered(anchors, _shared_anchors(HOT)), ["_id", "_sum"], "left").select("_id", "_sum", "_text", "keys")
-    segments = near.mapInArrow(_segment_entries(buckets), _SENT_DDL)
+    segments = near.mapInArrow(_segment_entries(2 * buckets), _SENT_DDL)  # texts take more room than keys
     covered = texts.join(answered(segments, _repeats), ["_id", "_sum"], "left").select("_own", "_text", "keys")
     return covered.mapInArrow(_kept_rows, "_own long, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("_own", id_col)
