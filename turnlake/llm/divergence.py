@@ -38,6 +38,8 @@ from turnlake.llm.shared import stored
 SCALE, PRIOR = 1_000_000_000, 5
 #: Sources of one task's rows, and columns dealt to it on average.
 TILE, SLICE = 512, 50_000
+#: Groups up to which tables of groups are broadcast.
+FEW_GROUPS = 10_000
 #: Entries that a task counts before it sends them, and bytes of text split at once.
 FLUSH, PIECE = 1_000_000, 1 << 20
 
@@ -175,13 +177,15 @@ def audit(docs: DataFrame, min_docs: int = 30, top: int = 50) -> DataFrame:
         groups.join(totals, ["lang", "source"], "left").join(kept, "lang", "left")
         .select("lang", "source", F.coalesce("total", F.lit(0)).cast("long").alias("total"), F.coalesce("kept", F.lit(0)).cast("long").alias("kept"))
     )  # one row for each group
+    few = groups.count() <= FEW_GROUPS
+    small = (lambda frame: F.broadcast(frame)) if few else (lambda frame: frame)  # of at most one row for each group
 
     # every pair once for each distinct column
     tiled = groups.withColumn("tile", F.floor((F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1) / TILE).cast("int"))
     distinct = stored(columns.groupBy("lang", "column").agg(F.count(F.lit(1)).alias("terms")))
     dealt = distinct.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
     tiles = tiled.filter("kept > 0").select("lang", "tile").distinct().join(dealt, "lang")
-    left = distinct.join(tiles, "lang").withColumn("slice", F.pmod(F.xxhash64("column"), F.col("slices")).cast("int"))
+    left = distinct.join(small(tiles), "lang").withColumn("slice", F.pmod(F.xxhash64("column"), F.col("slices")).cast("int"))
     right = (
         tiled.withColumn("whole", F.col("total") + PRIOR * F.col("kept")).select("lang", "source", "whole", F.col("tile").alias("own"))
         .join(tiles, "lang")
@@ -203,7 +207,7 @@ def audit(docs: DataFrame, min_docs: int = 30, top: int = 50) -> DataFrame:
 
     # original terms, by group
     of_lang = groups.groupBy("lang").agg(F.sum("total").alias("lang_total"))
-    shares = entries.join(groups, ["lang", "source"]).join(of_lang, "lang")
+    shares = entries.join(small(groups), ["lang", "source"]).join(small(of_lang), "lang")
     value = share(F.col("n"), F.col("total"), F.col("kept")) - share(F.col("in_lang"), F.col("lang_total"), F.col("kept"))
     above = shares.select("lang", "source", F.col("term").alias("item"), value.alias("value")).filter("value > 0")
     best = above.withColumn("rank", F.row_number().over(down)).filter(F.col("rank") <= top)
