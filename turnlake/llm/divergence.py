@@ -178,7 +178,12 @@ def audit(docs: DataFrame, min_docs: int = 30, top: int = 50) -> DataFrame:
         .select("lang", "source", F.coalesce("total", F.lit(0)).cast("long").alias("total"), F.coalesce("kept", F.lit(0)).cast("long").alias("kept"))
     )  # one row for each group
     few = groups.count() <= FEW_GROUPS
-    small = (lambda frame: F.broadcast(frame)) if few else (lambda frame: frame)  # of at most one row for each group
+    
+    few = groups.count() <= FEW_GROUPS
+
+    def small(frame: DataFrame) -> DataFrame:
+        """A table with at most one row for each group."""
+        return F.broadcast(frame) if few else frame
 
     # every pair once for each distinct column
     tiled = groups.withColumn("tile", F.floor((F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1) / TILE).cast("int"))
