@@ -178,8 +178,6 @@ def audit(docs: DataFrame, min_docs: int = 30, top: int = 50) -> DataFrame:
         .select("lang", "source", F.coalesce("total", F.lit(0)).cast("long").alias("total"), F.coalesce("kept", F.lit(0)).cast("long").alias("kept"))
     )  # one row for each group
     few = groups.count() <= FEW_GROUPS
-    
-    few = groups.count() <= FEW_GROUPS
 
     def small(frame: DataFrame) -> DataFrame:
         """A table with at most one row for each group."""
