@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from turnlake.functions import blocks as bl
 from turnlake.functions import fulltext as ft
 from turnlake.functions import paths as pt
-from turnlake.functions.periods import period_terms
+from turnlake.functions.periods import month_filter, month_of
 from turnlake.functions.query_string import parse, parse_date
 from turnlake.operators.export import compact_path, duration, fenced
 
@@ -37,27 +37,14 @@ def test_named_dates_and_zones():
     assert parse_date("someday") is None
 
 
-def test_period_terms_edges():
-    assert period_terms("2026-09-01", "2026-09-30") == ["periodmonth202609", "periodnone"]
-    assert period_terms("2024-02-01", "2024-02-29") == ["periodmonth202402", "periodnone"]
-    assert period_terms("2026-09-28", "2026-09-28") == ["periodday20260928", "periodnone"]
-    assert period_terms("2026-10-05", "2026-10-01") is None
-    assert period_terms("last tuesday", "2026-10-01") is None
-    assert period_terms("", "2026-10-01") is None
-
-
-@settings(deadline=None)
-@given(st.dates(datetime(2020, 1, 1).date(), datetime(2026, 1, 1).date()), st.integers(0, 700))
-def test_period_terms_cover_each_day_once(first, days):
-    last = first + timedelta(days=days)
-    terms = period_terms(str(first), str(last))
-    if terms is None:
-        return
-    day, covered = first, []
-    while day <= last:
-        covered.append(sum(t in (f"periodday{day:%Y%m%d}", f"periodmonth{day:%Y%m}") for t in terms))
-        day += timedelta(days=1)
-    assert set(covered) == {1}
+@settings(deadline=None, max_examples=20)
+@given(st.lists(st.one_of(st.none(), st.datetimes(datetime(2019, 11, 1), datetime(2021, 2, 1))), min_size=1, max_size=6), st.datetimes(datetime(2019, 11, 1), datetime(2021, 2, 1)), st.datetimes(datetime(2019, 11, 1), datetime(2021, 2, 1)))
+def test_month_filter_keeps_every_candidate(spark, times, after, before):
+    after, before = after.replace(tzinfo=timezone.utc), before.replace(tzinfo=timezone.utc)
+    rows = spark.createDataFrame([(k, t and t.replace(tzinfo=timezone.utc)) for k, t in enumerate(times)], "k int, t timestamp")
+    kept = {r.k for r in rows.withColumn("month", month_of(F.col("t"))).filter(month_filter(after, before)).collect()}
+    assert {k for k, t in enumerate(times) if t is None or after < t.replace(tzinfo=timezone.utc) < before} <= kept
+    assert month_filter(None, None) is None
 
 
 @pytest.mark.parametrize(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from turnlake.functions.query_string import parse
 from turnlake.operators import analytics, export, integrity, listing, search, writes
+from turnlake.operators.text_index import TextIndex
 from turnlake.sources import archive as tables
 
 #: Default and largest page of each listing.
@@ -22,28 +23,31 @@ def page_size(kind: str, wanted: int | None) -> int:
 class Lake:
     """An archive opened from Parquet, or from tables at hand."""
 
-    def __init__(self, archive: tables.Archive, zone: tzinfo = timezone.utc):
-        self.archive, self.zone = archive, zone
+    def __init__(self, archive: tables.Archive, zone: tzinfo = timezone.utc, index: TextIndex | None = None):
+        self.archive, self.zone, self.index = archive, zone, index
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str, zone: tzinfo = timezone.utc) -> Lake:
-        return cls(tables.from_parquet(spark, folder), zone)
+        """A saved archive, with its text index if it has one."""
+        index = TextIndex(spark, f"{folder}/text_index")
+        return cls(tables.from_parquet(spark, folder), zone, index if index.exists else None)
 
-    def save(self, folder: str) -> None:
-        """Write all tables; sessions and turns sorted within files by their keys."""
-        order = {"sessions": ["id"], "turns": ["session_id", "ordinal"], "tool_uses": ["session_id", "turn_id"]}
-        for name, rows in zip(self.archive._fields, self.archive, strict=True):
-            rows = rows.sortWithinPartitions(*order[name]) if name in order else rows
-            rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+    def save(self, folder: str, index: bool = False) -> None:
+        """Write all tables, turns by month; with ``index`` the text index of what was written too."""
+        tables.to_parquet(self.archive, folder)
+        if index:
+            spark = self.archive.spark
+            TextIndex(spark, f"{folder}/text_index").rebuild(tables.from_parquet(spark, folder))
 
     def search(self, line: str, limit: int | None = None, offset: int = 0) -> DataFrame:
-        return search.page(self.archive, parse(line, self.zone), page_size("search", limit), max(0, offset))
+        return search.page(self.archive, parse(line, self.zone), page_size("search", limit), max(0, offset), self.index)
 
     def search_with_calls(self, line: str, limit: int | None = None) -> DataFrame:
-        return search.attributed(self.archive, parse(line, self.zone), page_size("search", limit))
+        return search.attributed(self.archive, parse(line, self.zone), page_size("search", limit), self.index)
 
     def ranked(self, text: str, limit: int | None = None) -> DataFrame:
-        return search.ranked(self.archive, text, page_size("search", limit))
+        wanted = page_size("search", limit)
+        return self.index.ranked(text, wanted) if self.index else search.ranked(self.archive, text, wanted)
 
     def turns(self, session: str, kind: str | None = None, after: int | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
         return listing.turn_page(self.archive, session, kind, after, page_size("turns", limit), offset)

@@ -1,39 +1,36 @@
-"""Calendar ranges as day and month terms."""
+"""Calendar months as partitions of turns and of what is indexed for them.
+
+A row's month is a number, yyyymm in UTC, and NO_MONTH where its time cannot be
+read. A range of instants becomes a range of months; rows without a month stay
+candidates, and the exact comparison decides them.
+"""
 
 from __future__ import annotations
 
-from datetime import date, timedelta
-
-DAY, MONTH, UNKNOWN = "periodday", "periodmonth", "periodnone"
-MOST_TERMS = 200
-
-
-def _date(text: str) -> date | None:
-    try:
-        return date.fromisoformat(text) if len(text) == 10 else None
-    except ValueError:
-        return None
-
-
-def _next_month(day: date) -> date:
-    return (day.replace(day=28) + timedelta(days=4)).replace(day=1)
-
-
-def period_terms(first: str, last: str) -> list[str] | None:
-    """Terms that cover the days from first to last: whole months by one term,
-    other days one each, and the term of unreadable times. None where the range
-    is unreadable, inverted or needs too many terms."""
-    at, end = _date(first), _date(last)
-    if at is None or end is None or at > end:
-        return None
-    terms = []
-    while at <= end:
-        if at.day == 1 and _next_month(at) - timedelta(days=1) <= end:
-            terms.append(f"{MONTH}{at:%Y%m}")
-            at = _next_month(at)
-        else:
-            terms.append(f"{DAY}{at:%Y%m%d}")
-            at += timedelta(days=1)
-            if len(terms) > MOST_TERMS:
-                return None
-    return [*terms, UNKNOWN]
+from datetime import datetime, timezone
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+NO_MONTH = 0
+
+
+def month_of(time: Column) -> Column:
+    """The month of an instant, in UTC whatever the session's zone is."""
+    utc = F.to_utc_timestamp(time, F.current_timezone())
+    return F.coalesce(F.year(utc) * 100 + F.month(utc), F.lit(NO_MONTH)).cast("int")
+
+
+def month_number(bound: datetime) -> int:
+    utc = bound.astimezone(timezone.utc) if bound.tzinfo else bound
+    return utc.year * 100 + utc.month
+
+
+def month_filter(after: datetime | None, before: datetime | None, column: str = "month") -> Column | None:
+    """A filter on the partition column that keeps all rows of (after, before); None where neither bound is given."""
+    inside = None
+    for bound, keep in ((after, F.col(column).__ge__), (before, F.col(column).__le__)):
+        if bound is not None:
+            kept = keep(month_number(bound))
+            inside = kept if inside is None else inside & kept
+    return None if inside is None else (F.col(column) == NO_MONTH) | inside

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from turnlake.functions import fulltext as ft
+from turnlake.functions.periods import month_filter
 from turnlake.functions.query_string import Query
+from turnlake.operators.text_index import TextIndex
 from turnlake.sources.archive import Archive
 
 KEYS = ["session_id", "id"]
@@ -37,52 +39,80 @@ def base(a: Archive) -> DataFrame:
     )
 
 
+def payload_tokens() -> Column:
+    """Tokens of a call's input and result; the element between them is no token, so that nothing reaches from one into the other."""
+    return F.concat(ft.tokens(F.col("input_json")), F.array(F.lit(ft.BORDER)), ft.tokens(F.col("result_content")))
+
+
+def calls_matching(a: Archive, text: str) -> DataFrame:
+    """Keys of turns that own a call whose input and result match together."""
+    match = ft.compile_text(text)
+    return a.tool_uses.filter(match(payload_tokens())).select("session_id", F.col("turn_id").alias("id")).distinct()
+
+
 def text_hits(a: Archive, text: str) -> DataFrame:
     """Keys of turns whose content matches, or that own a call whose input and result match together."""
     match = ft.compile_text(text)
     if match is None:
         return a.turns.select(*KEYS).limit(0)
     own = a.turns.filter(match(ft.tokens(F.col("content")))).select(*KEYS)
-    # the element between them is no token, so that no phrase reaches from one into the other
-    payload = F.concat(ft.tokens(F.col("input_json")), F.array(F.lit("\0")), ft.tokens(F.col("result_content")))
-    calls = a.tool_uses.filter(match(payload)).select("session_id", F.col("turn_id").alias("id"))
-    return own.union(calls).distinct()
+    return own.union(calls_matching(a, text)).distinct()
+
+
+def with_text(a: Archive, turns: DataFrame, q: Query, index: TextIndex | None) -> DataFrame:
+    """Those of the turns that a text matches: by the index, or by reading content and calls once each."""
+    match = ft.compile_text(q.text)
+    if match is None:
+        return turns.limit(0)
+    if index is not None:
+        return turns.join(index.hits(q.text, q), KEYS, "left_semi")
+    called = calls_matching(a, q.text).withColumn("_called", F.lit(True))
+    return turns.join(called, KEYS, "left").filter(F.coalesce("_called", F.lit(False)) | match(ft.tokens(F.col("content")))).drop("_called")
 
 
 def _contains(column: str, value: str):
     return F.contains(F.lower(F.coalesce(column, F.lit(""))), F.lit(value.lower()))
 
 
-def matching(a: Archive, q: Query) -> DataFrame:
-    """All turns that a query selects, in no order."""
-    rows = base(a)
-    if q.text:
-        rows = rows.join(text_hits(a, q.text), KEYS, "left_semi")
+def matching(a: Archive, q: Query, index: TextIndex | None = None) -> DataFrame:
+    """All turns that a query selects, in no order.
+
+    Dates and the filters on sessions come first, so that text is only matched
+    where they leave turns. Dates prune the months of stored turns.
+    """
+    turns, sessions = a.turns, a.sessions
+    if "month" in turns.columns and (months := month_filter(q.after, q.before)) is not None:
+        turns = turns.filter(months)
+    if q.before:
+        turns = turns.filter(F.col("timestamp") < F.lit(q.before))
+    if q.after:
+        turns = turns.filter(F.col("timestamp") > F.lit(q.after))
+    if q.model:
+        sessions = sessions.filter(_contains("model", q.model))
+    if q.source:
+        sessions = sessions.filter(F.col("source") == q.source)
+    if q.has_error:
+        sessions = sessions.filter("has_error")
+    if q.has_subagent:
+        sessions = sessions.filter("has_subagent")
     if q.tool or q.file:
         calls = a.tool_uses
         if q.tool:
             calls = calls.filter(F.lower("tool_name") == q.tool.lower())
         if q.file:
             calls = calls.filter(_contains("file_path", q.file))
-        rows = rows.join(calls.select("session_id"), "session_id", "left_semi")
-    if q.project:
-        rows = rows.filter(_contains("project_path", q.project) | _contains("project_name", q.project))
-    if q.model:
-        rows = rows.filter(_contains("model", q.model))
-    if q.source:
-        rows = rows.filter(F.col("source") == q.source)
-    if q.before:
-        rows = rows.filter(F.col("timestamp") < F.lit(q.before))
-    if q.after:
-        rows = rows.filter(F.col("timestamp") > F.lit(q.after))
-    if q.has_error:
-        rows = rows.filter("has_error")
-    if q.has_subagent:
-        rows = rows.filter("has_subagent")
+        sessions = sessions.join(calls.select(F.col("session_id").alias("id")), "id", "left_semi")
+    if q.model or q.source or q.has_error or q.has_subagent or q.tool or q.file:
+        turns = turns.join(sessions.select(F.col("id").alias("session_id")), "session_id", "left_semi")
+    if q.text:
+        turns = with_text(a, turns, q, index)
     if q.has_tool_error:
         # the pair is a turn's identity: one uuid can occur in two sessions
         failed = a.tool_uses.filter("is_error").select("session_id", F.col("turn_id").alias("id"))
-        rows = rows.join(failed, KEYS, "left_semi")
+        turns = turns.join(failed, KEYS, "left_semi")
+    rows = base(a._replace(turns=turns))
+    if q.project:
+        rows = rows.filter(_contains("project_path", q.project) | _contains("project_name", q.project))
     return rows
 
 
@@ -92,13 +122,13 @@ def newest_first(rows: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame
     return (ordered.offset(offset) if offset else ordered).limit(limit)
 
 
-def search(a: Archive, q: Query, limit: int = 20) -> DataFrame:
-    return newest_first(matching(a, q), limit)
+def search(a: Archive, q: Query, limit: int = 20, index: TextIndex | None = None) -> DataFrame:
+    return newest_first(matching(a, q, index), limit)
 
 
-def page(a: Archive, q: Query, limit: int, offset: int) -> DataFrame:
+def page(a: Archive, q: Query, limit: int, offset: int, index: TextIndex | None = None) -> DataFrame:
     """A page with ``has_more`` and ``next_offset`` on every row; one row more is read."""
-    rows = newest_first(matching(a, q), limit + 1, offset)
+    rows = newest_first(matching(a, q, index), limit + 1, offset)
     by = Window.orderBy(F.desc_nulls_last("timestamp"), "id", "session_id")  # of limit + 1 rows
     numbered = rows.withColumn("_n", F.row_number().over(by)).withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy()))
     more = F.col("_all") > limit
@@ -110,29 +140,26 @@ def page(a: Archive, q: Query, limit: int, offset: int) -> DataFrame:
     )
 
 
-def attributed(a: Archive, q: Query, limit: int = 20) -> DataFrame:
-    """A page with the first matching call of each turn whose own content lacks the text."""
-    rows = search(a, q, limit)
+def attributed(a: Archive, q: Query, limit: int = 20, index: TextIndex | None = None) -> DataFrame:
+    """A page with the first matching call of each turn whose own content lacks the text, and the best snippet of either.
+
+    Only the calls of the page's turns are read again.
+    """
+    rows = search(a, q, limit, index)
     match = ft.compile_text(q.text)
     if match is None:
         return rows.withColumn("matched_tool", F.lit(None).cast("string")).withColumn("snippet", ft.snippet(F.col("content"), q.text))
-    # the element between them is no token, so that no phrase reaches from one into the other
-    payload = F.concat(ft.tokens(F.col("input_json")), F.array(F.lit("\0")), ft.tokens(F.col("result_content")))
+    calls = a.tool_uses.select("session_id", F.col("turn_id").alias("id"), "tool_name", "turn_ordinal", "input_json", "result_content")
     first = (
-        a.tool_uses.join(rows.select("session_id", F.col("id").alias("turn_id")), ["session_id", "turn_id"], "left_semi")
-        .filter(match(payload))
-        .groupBy("session_id", F.col("turn_id").alias("id"))
-        .agg(
-            F.min_by("tool_name", "turn_ordinal").alias("_tool"),
-            F.min_by(F.concat_ws(" ", "input_json", "result_content"), "turn_ordinal").alias("_payload"),
-        )
+        rows.select(*KEYS).join(calls, KEYS).filter(match(payload_tokens())).groupBy(*KEYS)
+        .agg(F.min_by(F.struct("tool_name", "input_json", "result_content"), "turn_ordinal").alias("_call"))
     )
     own = F.contains(F.lower(F.coalesce("content", F.lit(""))), F.lit(q.text.lower()))
-    word = (ft.terms_of(q.text) or [""])[0]
+    best = ft.best_snippet([F.col("_call.input_json"), F.col("_call.result_content")], ft.terms_of(q.text))
     return rows.join(first, KEYS, "left").select(
         *rows.columns,
-        F.when(~own, F.col("_tool")).alias("matched_tool"),
-        F.when(own | F.col("_tool").isNull(), ft.snippet(F.col("content"), q.text)).otherwise(ft.token_snippet(F.col("_payload"), word)).alias("snippet"),
+        F.when(~own, F.col("_call.tool_name")).alias("matched_tool"),
+        F.when(own | F.col("_call").isNull(), ft.snippet(F.col("content"), q.text)).otherwise(best).alias("snippet"),
     )
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from turnlake.functions import fulltext as ft
-from turnlake.functions.periods import period_terms
 from turnlake.functions.query_string import parse
 from turnlake.operators import search as s
+from turnlake.operators.text_index import TextIndex
 from turnlake.plans.common import query
+from turnlake.sources.archive import from_parquet, to_parquet
+from turnlake.sources.places import work_folder
 
 TOKENS = r"regexp_extract_all(lower(strip_accents(coalesce({}, ''))), '[\p{{L}}\p{{N}}]+')"
 _BASE = """,
@@ -54,11 +56,21 @@ query(
     "search_attribution",
     _HITS.replace("{w}", "deploy") + """,
 page AS (SELECT * FROM base SEMI JOIN hits USING (session_id, id)""" + _ORDER + """LIMIT 20),
-calls AS (SELECT session_id, turn_id, tool_name, row_number() OVER (PARTITION BY session_id, turn_id ORDER BY turn_ordinal) AS n
-    FROM tool_uses WHERE list_contains(""" + TOKENS.format("input_json || ' ' || result_content") + """, 'deploy'))
-SELECT page.session_id, page.id, CASE WHEN NOT contains(lower(coalesce(content, '')), 'deploy') THEN tool_name END AS matched_tool
-FROM page LEFT JOIN calls ON page.session_id = calls.session_id AND page.id = turn_id AND n = 1""",
-)(lambda a: s.attributed(a, parse("deploy")).select("session_id", "id", "matched_tool"))
+calls AS (SELECT session_id, turn_id, tool_name, input_json, result_content, row_number() OVER (PARTITION BY session_id, turn_id ORDER BY turn_ordinal) AS n
+    FROM tool_uses WHERE list_contains(""" + TOKENS.format("input_json || ' ' || result_content") + """, 'deploy')),
+found AS (SELECT page.session_id, page.id, content, tool_name, contains(lower(coalesce(content, '')), 'deploy') AS own,
+        instr(lower(content), 'deploy') AS i, regexp_extract_all(input_json, '[\\p{L}\\p{N}]+') AS wi, regexp_extract_all(result_content, '[\\p{L}\\p{N}]+') AS wr
+    FROM page LEFT JOIN calls ON page.session_id = calls.session_id AND page.id = turn_id AND n = 1),
+side AS (SELECT *, list_contains(list_transform(wi, lambda x: lower(x)), 'deploy') AS first,
+        CASE WHEN list_contains(list_transform(wi, lambda x: lower(x)), 'deploy') THEN wi ELSE wr END AS w FROM found),
+spot AS (SELECT *, list_position(list_transform(w, lambda x: lower(x)), 'deploy') - 1 AS p, CASE WHEN i > 1 THEN greatest(i - 51, 0) ELSE 0 END AS st FROM side),
+win AS (SELECT *, greatest(0, least(p - 11, len(w) - 24)) AS b FROM spot)
+SELECT session_id, id, CASE WHEN NOT own THEN tool_name END AS matched_tool,
+    CASE WHEN own OR tool_name IS NULL THEN trim(regexp_replace((CASE WHEN st > 0 THEN '...' ELSE '' END) || substring(content, st + 1, 150)
+        || (CASE WHEN st + 150 < length(content) THEN '...' ELSE '' END), '\\s+', ' ', 'g'))
+    ELSE (CASE WHEN b > 0 THEN '\u2026' ELSE '' END) || array_to_string(w[b + 1:b + 24], ' ') || (CASE WHEN b + 24 < len(w) THEN '\u2026' ELSE '' END) END AS snippet
+FROM win""".replace("\\\\", "\\"),
+)(lambda a: s.attributed(a, parse("deploy")).select("session_id", "id", "matched_tool", "snippet"))
 query(
     "search_snippet",
     """, f AS (SELECT session_id, id, content, instr(lower(content), 'the') AS i FROM turns),
@@ -88,14 +100,6 @@ query("fts_phrase", f"SELECT session_id, id FROM turns WHERE contains(' ' || arr
 query("fts_or", f"SELECT session_id, id FROM turns WHERE {_HAS('der')} OR {_HAS('que')}")(_MATCH("der OR que"))
 query("fts_not", f"SELECT session_id, id FROM turns WHERE {_HAS('de')} AND NOT {_HAS('la')}")(_MATCH("de NOT la"))
 query("turn_date_bounds", "SELECT strftime(min(timestamp), '%Y-%m-%d') AS first_day, strftime(max(timestamp), '%Y-%m-%d') AS last_day FROM turns")(s.date_bounds)
-query(
-    "period_terms",
-    """SELECT 'periodday' || strftime(d, '%Y%m%d') AS term FROM range(DATE '2026-01-14', DATE '2026-02-01', INTERVAL 1 DAY) r(d)
-UNION ALL SELECT 'periodmonth' || strftime(d, '%Y%m') FROM range(DATE '2026-02-01', DATE '2026-10-01', INTERVAL 1 MONTH) r(d)
-UNION ALL SELECT 'periodday' || strftime(d, '%Y%m%d') FROM range(DATE '2026-10-01', DATE '2026-10-06', INTERVAL 1 DAY) r(d)
-UNION ALL SELECT 'periodnone'""",
-    views=False,
-)(lambda a: a.spark.createDataFrame([(t,) for t in period_terms("2026-01-14", "2026-10-05")], "term string"))
 query(
     "index_integrity",
     "SELECT count(*) AS n_rows, count(*) FILTER (ordinal <> 3) + 1 AS n_indexed, count(*) FILTER (ordinal = 3) AS n_missing, CAST(1 AS BIGINT) AS n_orphans FROM turns",
@@ -115,3 +119,80 @@ query("resolve_project", "SELECT id, path FROM projects WHERE contains(lower(pat
     lambda a: s.project_matches(a, "Customer#00000001").select("id", "path")
 )
 query("tool_names_like", "SELECT DISTINCT tool_name FROM tool_uses WHERE contains(lower(tool_name), 'i') ORDER BY 1 LIMIT 10")(lambda a: s.tool_names_like(a, "I"))
+
+# -- the stored index
+
+
+def _indexed(a, name: str):
+    """The archive written by month below the shared folder and read again, with its index."""
+    folder = work_folder(a.spark, name)
+    to_parquet(a, folder)
+    stored = from_parquet(a.spark, folder)
+    return stored, TextIndex(a.spark, f"{folder}/text_index").rebuild(stored)
+
+
+def _by_index(name: str, line: str):
+    def run(a):
+        stored, index = _indexed(a, name)
+        return s.matching(stored, parse(line), index).select("session_id", "id", "ordinal", "type", "timestamp")
+
+    return run
+
+
+_FOUND = "SELECT session_id, id, ordinal, type, timestamp FROM base SEMI JOIN hits USING (session_id, id) "
+query("search_indexed", _HITS.replace("{w}", "deploy") + _FOUND + "WHERE has_error")(_by_index("search_indexed", "deploy has:error"))
+query("search_dated", _HITS.replace("{w}", "la") + _FOUND + "WHERE timestamp > TIMESTAMP '2024-01-01 00:00:00' AND timestamp < TIMESTAMP '2024-01-05 00:00:00'")(
+    _by_index("search_dated", "la after:2024-01-01 before:2024-01-05")
+)
+_PAYLOAD = "SELECT t.session_id, t.id FROM turns t WHERE EXISTS (SELECT 1 FROM tool_uses u WHERE u.session_id = t.session_id AND u.turn_id = t.id AND contains(' ' || array_to_string({}, ' ') || ' ', ' deploy failed '))"
+query("fts_payload_phrase", _PAYLOAD.format(TOKENS.format("result_content")))(
+    lambda a: _indexed(a, "fts_payload_phrase")[1].matches('"deploy failed"').filter("kind = 'call'").select("session_id", "id").distinct()
+)
+# of the places where one of the words stands, those whose window of three more tokens before holds the other one
+_NEAR = f""", w AS (SELECT session_id, id, {_TOK} AS t FROM turns),
+p AS (SELECT session_id, id, list_filter(range(len(t)), lambda i: t[i + 1] = 'de') AS a, list_filter(range(len(t)), lambda i: t[i + 1] = 'que') AS b FROM w)
+SELECT session_id, id FROM p WHERE len(list_filter(flatten(list_transform(a, lambda x: list_transform(b, lambda y: abs(x - y)))), lambda d: d <= 4)) > 0"""
+query("fts_near", _NEAR)(lambda a: _indexed(a, "fts_near")[1].matches("NEAR(de que, 3)").filter("kind = 'content'").select("session_id", "id"))
+query("index_ranked", _BM25)(lambda a: _indexed(a, "index_ranked")[1].ranked("de la", 1000000).withColumn("score", F.round("score", 6)))
+
+
+def _touched(a):
+    """Every third session's turns get other words, every seventh session goes."""
+    number = F.col("session_id").cast("long")
+    turns = a.turns.withColumn("content", F.when(number % 3 == 0, F.concat(F.lit("rewritten "), F.coalesce("content", F.lit("")))).otherwise(F.col("content")))
+    return a._replace(turns=turns.filter(number % 7 != 1))
+
+
+def _replaced(a):
+    stored, index = _indexed(a, "index_replaced")
+    number = F.col("session_id").cast("long")
+    touched = stored.turns.filter((number % 3 == 0) | (number % 7 == 1)).select("session_id")
+    changed = _touched(stored)
+    return changed, index.replace(changed, touched)
+
+
+query(
+    "index_replaced",
+    f""", c AS (SELECT session_id, id, CASE WHEN CAST(session_id AS BIGINT) % 3 = 0 THEN 'rewritten ' || coalesce(content, '') ELSE content END AS content
+    FROM turns WHERE CAST(session_id AS BIGINT) % 7 <> 1) SELECT session_id, id FROM c WHERE list_contains({_TOK}, 'rewritten') OR list_contains({_TOK}, 'der')""",
+)(lambda a: _replaced(a)[1].matches("rewritten OR der").filter("kind = 'content'").select("session_id", "id"))
+query("index_replaced_strict", ", x AS (SELECT 1) SELECT session_id, id, '' AS fault FROM turns WHERE false")(
+    lambda a: (lambda c, i: i.strict(c).select("session_id", "id", "fault"))(*_replaced(a))
+)
+query(
+    "index_replaced_integrity",
+    """, t AS (SELECT session_id, id FROM turns WHERE CAST(session_id AS BIGINT) % 7 <> 1),
+d AS (SELECT 'content' AS kind FROM t UNION ALL SELECT 'call' FROM tool_uses u JOIN t ON u.session_id = t.session_id AND u.turn_id = t.id)
+SELECT kind, count(*) AS n_rows, count(*) AS n_indexed, CAST(0 AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_orphans FROM d GROUP BY kind""",
+)(lambda a: (lambda c, i: i.integrity(c))(*_replaced(a)))
+query(
+    "best_snippet",
+    f""", w AS (SELECT session_id, id, {_TOK} AS t, regexp_extract_all(coalesce(content, ''), '[\\p{{L}}\\p{{N}}]+') AS o FROM turns),
+m AS (SELECT session_id, id, o, list_filter(range(len(t)), lambda i: t[i + 1] = 'de') AS a, list_filter(range(len(t)), lambda i: t[i + 1] = 'que') AS b FROM w),
+f AS (SELECT session_id, id, o, unnest(list_sort(a || b)) AS f, a, b FROM m),
+c AS (SELECT session_id, id, o, f, len(list_filter(a, lambda x: x >= f AND x < f + 24)) AS na, len(list_filter(b, lambda x: x >= f AND x < f + 24)) AS nb,
+    list_max(list_filter(a || b, lambda x: x >= f AND x < f + 24)) AS l FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY session_id, id ORDER BY least(na, 1) + least(nb, 1) DESC, na + nb DESC, f) AS n FROM c),
+s AS (SELECT *, greatest(0, least(f - CAST(floor((24 - (l - f + 1)) / 2) AS BIGINT), len(o) - 24)) AS st FROM r WHERE n = 1)
+SELECT session_id, id, (CASE WHEN st > 0 THEN '\u2026' ELSE '' END) || array_to_string(o[st + 1:st + 24], ' ') || (CASE WHEN st + 24 < len(o) THEN '\u2026' ELSE '' END) AS snippet FROM s""".replace("\\\\", "\\"),
+)(lambda a: a.turns.select("session_id", "id", ft.best_snippet([F.col("content")], ["de", "que"]).alias("snippet")).filter("snippet is not null"))

@@ -7,6 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnlake.functions.periods import month_of
+
 
 class Archive(NamedTuple):
     projects: DataFrame
@@ -24,11 +26,26 @@ class Archive(NamedTuple):
 BASE = "2024-01-01 00:00:00"
 
 
+#: Order of the rows inside the files of a stored table.
+ORDER = {"sessions": ["id"], "turns": ["session_id", "ordinal"], "tool_uses": ["session_id", "turn_id"]}
+
+
 def from_parquet(spark: SparkSession, folder: str) -> Archive:
     """A stored archive: one Parquet table per name."""
     return Archive(*(spark.read.parquet(f"{folder}/{name}") for name in Archive._fields))
 
 
+def to_parquet(a: Archive, folder: str) -> None:
+    """Write all tables; turns are partitioned by month, so that dates prune files."""
+    for name, rows in zip(a._fields, a, strict=True):
+        by = []
+        if name == "turns":
+            rows = rows.withColumn("month", month_of(F.col("timestamp"))).repartition("month", F.pmod(F.xxhash64("session_id"), F.lit(32)))
+            by = ["month"]
+        rows = rows.sortWithinPartitions(*by, *ORDER[name]) if name in ORDER else rows
+        rows.write.mode("overwrite").partitionBy(*by).parquet(f"{folder}/{name}")
+
+
 def from_tables(spark: SparkSession, sf_dir: str) -> Archive:
     """Customers as projects, orders as sessions, conversations as turns, events as tool calls."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
