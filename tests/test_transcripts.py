@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnlake.sources import transcripts as tr
-from turnlake.streaming.sync import stream_new, sync_changed
+from turnlake.streaming.sync import stream_new
 
 
 def rows(spark, entries, path="f"):
@@ -60,12 +60,27 @@ def test_codex(spark):
     assert [(r.turn_id, r.tool_name, r.input_json, r.result_content) for r in tr.codex_calls(lines).collect()] == [("s1-turn-2", "exec", "run()", "2")]
 
 
-def test_jeff_first_come_first_served(spark):
-    ask = lambda n, i=None: {"entry_type": "tool_request", "data": {"tool_name": n, **({"tool_use_id": i} if i else {})}}
-    tell = lambda o, i=None: {"entry_type": "tool_result", "data": {"output": o, "success": True, **({"tool_use_id": i} if i else {})}}
-    entries = [tell("too early"), ask("a"), ask("b"), tell("1"), ask("k", "id1"), tell("2"), tell("nobody"), ask("c"), tell("3"), tell("K", "id1")]
-    got = {r.tool_name: r.result_content for r in tr.jeff_calls(rows(spark, entries)).collect()}
-    assert got == {"a": "1", "b": "2", "c": "3", "k": "K"}
+def test_jeff(spark):
+    entry = lambda kind, second=0, **data: {"timestamp": f"2026-03-01T10:00:{second:02d}Z", "entry_type": kind, "conversation_id": "c9", "data": data}
+    ask = lambda name, key="", **params: entry("tool_request", tool_name=name, tool_id=key, params=params)
+    tell = lambda text, key="": entry("tool_result", tool_id=key, output_preview=text)
+    entries = [
+        {"entry_type": "session_start", "data": {"model": "old"}}, entry("session_start", 1, model="new"), ask("dropped"), tell("nothing waits"), entry("user_message", 2, content="hi"),
+        entry("assistant_message", 3, content="yes"), ask("a", n=1), ask("b"), ask("k", "id1"), ask("l", "id2"), tell("2nd", "id2"), tell("1"), tell("1st", "id1"), tell("again", "id1"), tell("2"), tell("nobody"),
+        "not json", entry("error", 50), entry("assistant_message", 4, content="more"), ask("Read"), tell("whole file"), ask("open"),
+    ]
+    lines = rows(spark, entries)
+    assert [(r.session_id, r.id, r.type, r.content) for r in tr.jeff_turns(lines).orderBy("ordinal").collect()] == [
+        ("jeff:c9", "jeff:c9-turn-1", "user", "hi"), ("jeff:c9", "jeff:c9-turn-2", "assistant", "yes"), ("jeff:c9", "jeff:c9-turn-3", "assistant", "more"),
+    ]
+    got = {r.tool_name: (r.turn_id[-1], r.turn_ordinal, r.tool_use_id, r.result_content, r.result_omitted_reason) for r in tr.jeff_calls(lines).collect()}
+    assert got == {
+        "a": ("2", 0, "", "1", None), "b": ("2", 1, "", "2", None), "k": ("2", 2, "id1", "1st", None), "l": ("2", 3, "id2", "2nd", None),
+        "Read": ("3", 0, "", None, "bulk_read"), "open": ("3", 1, "", None, None),
+    }
+    assert [r.input_json for r in tr.jeff_calls(lines).filter("tool_name = 'a'").collect()] == ['{"n":1}']
+    head = tr.jeff_heads(lines).first()
+    assert (head.id, head.model, head.has_error, head.started_at.second, head.ended_at.second) == ("jeff:c9", "new", True, 0, 50)
 
 
 def test_pi(spark):
@@ -82,26 +97,24 @@ def test_pi(spark):
     ]
 
 
-def test_files_sync_and_stream(spark, tmp_path):
-    root = tmp_path / "projects"
-    root.mkdir()
+def test_stray_files_are_not_transcripts(spark, tmp_path):
+    root = tmp_path / "home"
+    folder = root / "projects" / "-w-app"
+    agents = folder / "01234567-89ab-cdef-0123-456789abcdef" / "subagents"
+    agents.mkdir(parents=True)
     name = "01234567-89ab-cdef-0123-456789abcdef.jsonl"
     line = lambda k: json.dumps({"uuid": f"u{k}", "sessionId": "s", "type": "user", "message": {"content": f"m{k}"}})
-    (root / name).write_text(line(0) + "\r\n" + line(1) + "\n")
-    (root / "notes.jsonl").write_text(line(9) + "\n")
-    assert [r.path.rsplit("/", 1)[1] for r in tr.discover(spark, str(root)).collect()] == [name]
-    (root / "notes.jsonl").unlink()
-
-    empty = tr.claude_turns(tr.lines(tr.files(spark, str(root)))).limit(0)
-    known = spark.createDataFrame([], "path string, mtime timestamp")
-    turns, known = sync_changed(spark, str(root), "claude-code", empty, known)
-    assert [r.content for r in turns.orderBy("ordinal").collect()] == ["m0", "m1"]
-    again, _ = sync_changed(spark, str(root), "claude-code", turns, known)
-    assert again.count() == 2
+    (folder / name).write_text(line(0) + "\r\n" + line(1) + "\n")
+    for stray in (folder / "notes.jsonl", agents / "notes.jsonl", agents / name, root / "history.jsonl"):
+        stray.write_text(line(9) + "\n")
+    (agents / "agent-a b.jsonl").write_text(line(2) + "\n")
+    found = {r.below: r.path for r in tr.listed(spark, str(root), "claude-code").collect()}
+    assert {b.rsplit("/", 1)[1] for b in found} == {name, "agent-a b.jsonl"}
+    assert tr.listed(spark, str(tmp_path / "nowhere"), "codex").count() == 0
 
     stream = stream_new(spark, str(root), "claude-code", str(tmp_path / "out"), str(tmp_path / "cp"))
     assert stream.awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    assert sorted(r.content for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["m0", "m1", "m2"]
 
 
 def test_unknown_sources_are_left_out(spark, tmp_path):

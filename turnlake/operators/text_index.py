@@ -6,16 +6,12 @@ On disk, below one folder:
   by generation, month and bucket, the bucket being a hash of the word.
 * ``documents``: a row for each document with its number of tokens; partitioned by
   generation and month.
-* ``sessions``: the sessions that a generation holds, or has removed.
-* ``generations``: the list of finished generations, one row each.
+* ``touched`` and ``generations``: see ``turnlake.sources.generations``.
 
 A document is the content of a turn, or a call with its input and result; the
 call's month is its turn's. Positions of a result begin at RESULT, so that no
-phrase and no NEAR reaches from the input into it. A generation holds whole
-sessions. It counts from the moment its row is in ``generations``, written last
-and as one file: a lost run leaves folders that nobody reads. Of a session, only
-its newest generation is read, so that replacing sessions writes these sessions
-and nothing else; ``rebuild`` writes everything anew as one generation.
+phrase and no NEAR reaches from the input into it. Replacing sessions writes these
+sessions and nothing else; ``rebuild`` writes everything anew as one generation.
 
 A search reads the buckets of its words, in the months of its dates. It meets
 postings by document only if it has several words. Queries that also match
@@ -28,12 +24,12 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from turnlake.functions import fulltext as ft
 from turnlake.functions.periods import month_filter, month_of
 from turnlake.functions.query_string import Query
 from turnlake.sources.archive import Archive
+from turnlake.sources.generations import Generations, keys
 
 CONTENT, CALL = "content", "call"
 #: The first position of a result's tokens.
@@ -81,48 +77,26 @@ class TextIndex:
     """An index below a folder; generations are read when it is opened or changed."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-        self._open()
-
-    def _open(self) -> None:
-        try:
-            rows = self.spark.read.parquet(f"{self.folder}/generations").orderBy("generation").collect()  # one row a generation
-        except AnalysisException:
-            rows = []
-        bases = [r.generation for r in rows if r.whole]
-        self.generations = [r.generation for r in rows if r.generation >= max(bases, default=0)]
-        self.buckets = rows[-1].buckets if rows else BUCKETS
-        self._last = rows[-1].generation if rows else 0
+        self.spark, self._tables = spark, Generations(spark, folder)
 
     @property
     def exists(self) -> bool:
         return bool(self.generations)
 
-    def _table(self, name: str) -> DataFrame:
-        return self.spark.read.option("basePath", f"{self.folder}/{name}").parquet(*[f"{self.folder}/{name}/generation={g}" for g in self.generations])
+    @property
+    def generations(self) -> list[int]:
+        return self._tables.numbers
 
-    def _live(self, name: str) -> DataFrame:
-        """Rows of a table that belong to the newest generation of their session."""
-        rows = self._table(name)
-        if len(self.generations) == 1:
-            return rows
-        newest = self._table("sessions").groupBy("session_id").agg(F.max("generation").alias("generation"))
-        return rows.join(newest, ["session_id", "generation"], "left_semi")
+    @property
+    def buckets(self) -> int:
+        return int(self._tables.note or BUCKETS)
 
     def _write(self, a: Archive, sessions: DataFrame, whole: bool, buckets: int) -> TextIndex:
-        self._open()  # another handle may have written; there is one writer at a time
-        generation = self._last + 1
-        at = lambda name: f"{self.folder}/{name}/generation={generation}"
         documents = documents_of(a)
         counted = documents.select(*_DOC, "month", (F.size("t0") + F.size("t1")).alias("n_tokens"))
-        counted.write.mode("overwrite").partitionBy("month").parquet(at("documents"))
         # rows in order, so that a word is found by the files' statistics
-        postings = postings_of(documents, buckets, deal=PARTS)
-        postings.sortWithinPartitions("month", "bucket", "word").write.mode("overwrite").partitionBy("month", "bucket").parquet(at("postings"))
-        sessions.select("session_id").distinct().write.mode("overwrite").parquet(at("sessions"))
-        done = self.spark.createDataFrame([(generation, whole, buckets)], "generation int, whole boolean, buckets int")
-        done.coalesce(1).write.mode("append").parquet(f"{self.folder}/generations")
-        self._open()
+        postings = postings_of(documents, buckets, deal=PARTS).sortWithinPartitions("month", "bucket", "word")
+        self._tables.write({"documents": (counted, ["month"]), "postings": (postings, ["month", "bucket"])}, keys(sessions), whole, str(buckets))
         return self
 
     def rebuild(self, a: Archive, buckets: int = BUCKETS) -> TextIndex:
@@ -138,7 +112,7 @@ class TextIndex:
     # -- searching
 
     def _postings(self, words: list[str], q: Query | None) -> DataFrame:
-        rows = self._live("postings")
+        rows = self._tables.live("postings")
         wanted = self.spark.range(1).select(*[bucket_of(F.lit(w), self.buckets).alias(f"b{k}") for k, w in enumerate(words)]).first()
         rows = rows.filter(F.col("bucket").isin(*set(wanted)) & F.col("word").isin(*words))
         months = month_filter(q.after, q.before) if q else None
@@ -148,7 +122,7 @@ class TextIndex:
         """(kind, session_id, id, call) of every document that a text query matches, in the months of q's dates."""
         tree = ft.parse_text(text)
         if tree is None:
-            return self._live("documents").select(*_DOC).limit(0)
+            return self._tables.live("documents").select(*_DOC).limit(0)
         words = ft.words_of(tree)
         rows = self._postings(words, q)
         if isinstance(tree, ft.Phrase) and len(words) == 1:
@@ -157,7 +131,7 @@ class TextIndex:
         found = rows.groupBy(*_DOC).agg(*[F.first(F.when(F.col("word") == w, F.col("positions")), ignorenulls=True).alias(c) for w, c in places.items()])
         if bool(ft.evaluated(tree, lambda leaf: _Plain(False))):  # matches documents without any of the words
             months = month_filter(q.after, q.before) if q else None
-            every = self._live("documents")
+            every = self._tables.live("documents")
             every = every if months is None else every.filter(months)
             same = [F.col(f"e.{c}").eqNullSafe(F.col(f"f.{c}")) for c in _DOC]
             found = every.alias("e").join(found.alias("f"), same, "left").select(*[f"e.{c}" for c in _DOC], *places.values())
@@ -176,7 +150,7 @@ class TextIndex:
     def ranked(self, text: str, limit: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
         """Turns whose content matches, by Okapi BM25, from postings and stored lengths."""
         words = ft.terms_of(text)
-        contents = self._live("documents").filter(F.col("kind") == CONTENT)
+        contents = self._tables.live("documents").filter(F.col("kind") == CONTENT)
         if not words:
             return contents.select(*KEYS, F.lit(0.0).alias("score")).limit(0)
         n, length = contents.agg(F.count(F.lit(1)), F.avg("n_tokens")).first()
@@ -198,7 +172,7 @@ class TextIndex:
     def integrity(self, a: Archive) -> DataFrame:
         """(kind, n_rows, n_indexed, n_missing, n_orphans): documents of the archive and of the index."""
         left = documents_of(a).select(*_DOC).withColumn("_row", F.lit(1))
-        right = self._live("documents").select(*_DOC).withColumn("_entry", F.lit(1))
+        right = self._tables.live("documents").select(*_DOC).withColumn("_entry", F.lit(1))
         same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in _DOC]
         both = left.alias("l").join(right.alias("r"), same, "full")
         return both.groupBy(F.coalesce("l.kind", "r.kind").alias("kind")).agg(
@@ -213,7 +187,7 @@ class TextIndex:
         """
         line = [*_DOC, "word", "month"]
         want = postings_of(documents_of(a), self.buckets).select(*line, F.col("positions").alias("_want"))
-        have = self._live("postings").select(*line, F.col("positions").alias("_have"))
+        have = self._tables.live("postings").select(*line, F.col("positions").alias("_have"))
         same = [F.col(f"w.{c}").eqNullSafe(F.col(f"h.{c}")) for c in line]
         both = want.alias("w").join(have.alias("h"), same, "full").filter(~F.col("_want").eqNullSafe(F.col("_have")))
         fault = F.when(F.col("_have").isNull(), "missing").when(F.col("_want").isNull(), "orphan").otherwise("different")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from turnlake.operators import integrity as it
 from turnlake.operators import listing as li
 from turnlake.operators import writes as wr
 from turnlake.plans.common import query
+from turnlake.sources import sessions as ss
 from turnlake.sources import transcripts as tr
 from turnlake.sources.archive import Archive
 
@@ -173,30 +176,123 @@ query("codex_turns", _CODEX + """SELECT session_id || '-turn-' || n AS id, n - 1
   coalesce(input_tokens, 0) AS input_tokens, coalesce(output_tokens, 0) AS output_tokens FROM m LEFT JOIN tok USING (session_id, n)""")(
     lambda a: tr.codex_turns(codex_lines(a)).select("id", "ordinal", "type", "timestamp", "content", "input_tokens", "output_tokens")
 )
-query("jeff_turns", "SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY ordinal) - 1 AS BIGINT) AS ordinal, type, content FROM turns WHERE type <> 'system'")(
-    lambda a: tr.jeff_turns(
-        a.turns.select(F.col("session_id").alias("path"), F.col("ordinal").alias("line_no"), F.to_json(F.struct(F.when(F.col("type") == "system", "session_start").otherwise(F.concat("type", F.lit("_message"))).alias("entry_type"), F.col("session_id").alias("conversation_id"), F.struct(F.col("content").alias("text")).alias("data"))).alias("line"))
-    ).select("session_id", F.col("ordinal").cast("long").alias("ordinal"), "type", "content")
+_ISO = lambda: F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp")
+
+
+def jeff_lines(a: Archive) -> DataFrame:
+    """A log per session: messages, a call after every assistant one, answered four turns later if there is an answer; even calls have no id."""
+    s, o = F.col("session_id"), F.col("ordinal")
+    path, conv = F.concat(F.lit("/j/sessions/"), s, F.lit(".jsonl")).alias("path"), s.alias("conversation_id")
+    line = lambda kind, **data: F.to_json(F.struct(_ISO(), F.lit(kind).alias("entry_type") if isinstance(kind, str) else kind.alias("entry_type"), conv, F.struct(*[v.alias(k) for k, v in data.items()]).alias("data"))).alias("line")
+    tool = F.when(o % 2 == 0, "").otherwise(F.concat(F.lit("k"), o.cast("string")))
+    spoken = a.turns.filter("type <> 'system'")
+    calls = spoken.filter("type = 'assistant'")
+    parts = [
+        a.turns.filter("ordinal = 0").select(path, F.lit(-1).cast("long").alias("line_no"), line("session_start", model=F.concat(F.lit("j"), s))),
+        spoken.select(path, (3 * o).alias("line_no"), line(F.concat("type", F.lit("_message")), content=F.col("content"))),
+        calls.select(path, (3 * o + 1).alias("line_no"), line("tool_request", tool_name=F.when(o % 3 == 0, "Read").otherwise("Bash"), tool_id=tool, params=F.struct(o.alias("n")))),
+        calls.filter("ordinal < 6").select(path, (3 * o + 14).alias("line_no"), line("tool_result", tool_id=tool, output_preview=F.col("content"))),
+        a.turns.filter("ordinal = 5").select(path, (3 * o + 2).alias("line_no"), line("error", content=F.lit("x"))),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+_JEFF = ", m AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ordinal) AS n FROM turns WHERE type <> 'system')"
+query("jeff_turns", _JEFF + " SELECT 'jeff:' || session_id AS session_id, 'jeff:' || session_id || '-turn-' || n AS id, CAST(n - 1 AS BIGINT) AS ordinal, type, coalesce(content, '') AS content, timestamp FROM m WHERE content IS NOT NULL")(
+    lambda a: tr.jeff_turns(jeff_lines(a)).select("session_id", "id", F.col("ordinal").cast("long").alias("ordinal"), "type", "content", "timestamp")
 )
-query("hex_turns", "SELECT session_id, session_id || '-' || ordinal AS id, type, content, timestamp FROM turns")(
-    lambda a: tr.hex_turns(
-        a.turns.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", F.col("type").alias("role"), "content", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp")))).alias("messages"))
-        .select(F.col("session_id").alias("path"), F.to_json(F.struct(F.col("session_id").alias("id"), "messages")).alias("value"))
-    ).select("session_id", "id", "type", "content", "timestamp")
+query("jeff_calls", _JEFF + """ SELECT 'jeff:' || session_id || '-turn-' || n AS turn_id, CASE WHEN ordinal % 2 = 0 THEN '' ELSE 'k' || ordinal END AS tool_use_id,
+  CASE WHEN ordinal % 3 = 0 THEN 'Read' ELSE 'Bash' END AS tool_name, '{"n":' || ordinal || '}' AS input_json, CASE WHEN ordinal < 6 AND ordinal % 3 <> 0 THEN content END AS result_content,
+  CASE WHEN ordinal < 6 THEN CAST(strlen(content) AS BIGINT) END AS result_length, CASE WHEN ordinal < 6 AND ordinal % 3 = 0 THEN 'bulk_read' END AS result_omitted_reason FROM m WHERE type = 'assistant'""")(
+    lambda a: tr.jeff_calls(jeff_lines(a)).select("turn_id", "tool_use_id", "tool_name", "input_json", "result_content", F.col("result_length").cast("long").alias("result_length"), "result_omitted_reason")
 )
+
+
+def hex_files(a: Archive) -> DataFrame:
+    """A document per session, with its messages in order."""
+    messages = F.array_sort(F.collect_list(F.struct("ordinal", F.col("type").alias("role"), "content", _ISO())))
+    rows = a.turns.groupBy("session_id").agg(messages.alias("messages"), F.max("timestamp").alias("timestamp"))
+    doc = F.struct(F.col("session_id").alias("id"), F.lit("t").alias("title"), F.lit("2023-12-31T00:00:00Z").alias("created_at"), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("updated_at"), "messages")
+    return rows.select(F.concat(F.lit("/h/sessions/"), "session_id", F.lit(".json")).alias("path"), F.to_json(doc).alias("value"))
+
+
+query("hex_turns", """SELECT 'hex:' || session_id AS session_id, 'hex:' || session_id || '-' || n AS id, CASE WHEN n > 0 THEN 'hex:' || session_id || '-' || (n - 1) END AS parent_id, type, content, timestamp
+  FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ordinal) - 1 AS n FROM turns)""".replace("SELECT 'hex:'", ", x AS (SELECT 1) SELECT 'hex:'", 1))(
+    lambda a: tr.hex_turns(hex_files(a)).select("session_id", "id", "parent_id", "type", "content", "timestamp")
+)
+
+
+def pi_lines(a: Archive) -> DataFrame:
+    """A transcript per session: a header, a model change, messages, and summaries for system turns."""
+    nothing = F.lit(None).cast("string")
+    spoken = F.array(
+        F.struct(F.lit("text").alias("type"), F.col("content").alias("text"), nothing.alias("thinking")),
+        F.struct(F.lit("thinking").alias("type"), nothing.alias("text"), F.when(F.col("type") == "assistant", "hm").alias("thinking")),
+    )
+    message = F.struct(F.col("type").alias("role"), F.struct(F.col("ordinal").alias("input")).alias("usage"), spoken.alias("content")).alias("message")
+    line = F.when(F.col("type") == "system", F.to_json(F.struct(F.lit("compaction").alias("type"), "id", _ISO(), F.col("content").alias("summary"))))
+    first = a.turns.filter("ordinal = 0")
+    head = F.to_json(F.struct(F.lit("session").alias("type"), F.col("session_id").alias("id"), F.lit("p").alias("provider"), F.lit("m1").alias("modelId"), F.concat(F.lit("/w/"), "session_id").alias("cwd")))
+    path, at = F.col("session_id").alias("path"), lambda n: F.lit(n).cast("long").alias("line_no")
+    return (
+        a.turns.select(path, (F.col("ordinal") + 2).alias("line_no"), line.otherwise(F.to_json(F.struct(F.lit("message").alias("type"), "id", _ISO(), message))).alias("line"))
+        .unionByName(first.select(path, at(0), head.alias("line")))
+        .unionByName(first.select(path, at(1), F.lit('{"type":"model_change","provider":"p","modelId":"m9"}').alias("line")))
+    )
+
+
 query("pi_turns", "SELECT 'pi:' || session_id AS session_id, id, type, CASE WHEN type = 'assistant' THEN content || chr(10) || chr(10) || 'hm' ELSE content END AS content, 'p/m9' AS model, CASE WHEN type = 'assistant' THEN ordinal ELSE 0 END AS input_tokens FROM turns")(
-    lambda a: tr.pi_turns(
-        a.turns.select(
-            F.col("session_id").alias("path"), (F.col("ordinal") + 2).alias("line_no"),
-            F.when(F.col("type") == "system", F.to_json(F.struct(F.lit("compaction").alias("type"), "id", F.col("content").alias("summary"))))
-            .otherwise(F.to_json(F.struct(F.lit("message").alias("type"), "id", F.struct(
-                F.col("type").alias("role"), F.struct(F.col("ordinal").alias("input")).alias("usage"),
-                F.array(F.struct(F.lit("text").alias("type"), F.col("content").alias("text"), F.lit(None).cast("string").alias("thinking")), F.struct(F.lit("thinking").alias("type"), F.lit(None).cast("string").alias("text"), F.when(F.col("type") == "assistant", "hm").alias("thinking"))).alias("content"),
-            ).alias("message")))).alias("line"),
-        ).unionByName(a.turns.filter("ordinal = 0").select(F.col("session_id").alias("path"), F.lit(0).cast("long").alias("line_no"), F.to_json(F.struct(F.lit("session").alias("type"), F.col("session_id").alias("id"), F.lit("p").alias("provider"), F.lit("m1").alias("modelId"))).alias("line")))
-        .unionByName(a.turns.filter("ordinal = 0").select(F.col("session_id").alias("path"), F.lit(1).cast("long").alias("line_no"), F.lit('{"type":"model_change","provider":"p","modelId":"m9"}').alias("line")))
-    ).select("session_id", "id", "type", "content", "model", "input_tokens")
+    lambda a: tr.pi_turns(pi_lines(a)).select("session_id", "id", "type", "content", "model", "input_tokens")
 )
+
+
+def as_files(lines: DataFrame) -> DataFrame:
+    """Numbered lines as the files that they are of."""
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    return lines.groupBy("path").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("value"))
+
+
+_SESSION = ("id", "started_at", "ended_at", "model", "cwd", "turn_count", "input_tokens", "output_tokens", "cache_read_tokens", "last_entry_uuid", "has_error")
+
+
+def _sessions(name: str, kind: str, files, sql: str) -> None:
+    query(name, sql)(lambda a: ss.parse(files(a), kind).sessions.select(*_SESSION))
+
+
+_LONG = lambda e, name: f"CAST({e} AS BIGINT) AS {name}"
+_CLAUDE_SESSIONS = _CALLS + f"""SELECT '{{prefix}}' || tt.session_id AS id, min(timestamp) FILTER (o <> 5) AS started_at, max(timestamp) FILTER (o <> 5) AS ended_at,
+  'm' || (min(o) % 2) AS model, '/home/u/p' || tt.session_id AS cwd, count(*) AS turn_count, {_LONG("sum(CASE WHEN type = 'assistant' THEN length(content) ELSE 0 END)", "input_tokens")},
+  {_LONG("sum(CASE WHEN type = 'assistant' THEN o ELSE 0 END)", "output_tokens")}, {_LONG("sum(CASE WHEN type = 'assistant' THEN 7 ELSE 0 END)", "cache_read_tokens")},
+  arg_max({_ID.replace("session_id", "tt.session_id")}, o) AS last_entry_uuid, coalesce(bool_or(e.err), false) AS has_error
+  FROM tt LEFT JOIN (SELECT session_id, bool_or(has AND err) AS err FROM calls GROUP BY 1) e ON e.session_id = tt.session_id GROUP BY tt.session_id"""
+_sessions("claude_sessions", "claude-code", lambda a: as_files(claude_lines(a)), _CLAUDE_SESSIONS.replace("{prefix}", ""))
+_sessions("nanoclaw_sessions", "nanoclaw", lambda a: as_files(claude_lines(a)), _CLAUDE_SESSIONS.replace("{prefix}", "nanoclaw:"))
+
+
+def codex_files(a: Archive) -> DataFrame:
+    """The rollouts with the model named at every third turn."""
+    context = a.turns.filter("ordinal % 3 = 0").select(
+        F.concat(F.lit("/c/"), "session_id").alias("path"), (10 * (2 * F.col("ordinal") + 2) + 5).alias("line_no"),
+        F.to_json(F.struct(F.lit("turn_context").alias("type"), F.struct(F.concat(F.lit("x"), F.col("ordinal").cast("string")).alias("model")).alias("payload"))).alias("line"),
+    )
+    return as_files(codex_lines(a).withColumn("line_no", F.col("line_no") * 10).unionByName(context))
+
+
+_sessions("codex_sessions", "codex", codex_files, _CODEX + f""", k AS (SELECT session_id, sum(input_tokens) AS i, sum(cache_read_tokens) AS c, sum(output_tokens) AS u FROM tok GROUP BY 1),
+  c AS (SELECT session_id, count(*) AS n, arg_max(session_id || '-turn-' || n, n) AS last FROM m GROUP BY 1)
+  SELECT t.session_id AS id, min(timestamp) AS started_at, max(timestamp) AS ended_at, 'x' || max(ordinal) FILTER (ordinal % 3 = 0) AS model, '/w' AS cwd, coalesce(any_value(c.n), 0) AS turn_count,
+  {_LONG("coalesce(any_value(i), 0)", "input_tokens")}, {_LONG("coalesce(any_value(u), 0)", "output_tokens")}, {_LONG("coalesce(any_value(c.c), 0)", "cache_read_tokens")}, any_value(last) AS last_entry_uuid, false AS has_error
+  FROM turns t LEFT JOIN k USING (session_id) LEFT JOIN c USING (session_id) GROUP BY 1""".replace("c.c)", "k.c)"))
+_sessions("jeff_sessions", "jeff", lambda a: as_files(jeff_lines(a)), _JEFF + """, c AS (SELECT session_id, count(*) AS n, arg_max('jeff:' || session_id || '-turn-' || n, n) AS last FROM m GROUP BY 1)
+  SELECT 'jeff:' || t.session_id AS id, min(timestamp) AS started_at, max(timestamp) AS ended_at, 'j' || t.session_id AS model, CAST(NULL AS VARCHAR) AS cwd, coalesce(any_value(c.n), 0) AS turn_count,
+  CAST(0 AS BIGINT) AS input_tokens, CAST(0 AS BIGINT) AS output_tokens, CAST(0 AS BIGINT) AS cache_read_tokens, any_value(last) AS last_entry_uuid, bool_or(ordinal = 5) AS has_error
+  FROM turns t LEFT JOIN c USING (session_id) WHERE type <> 'system' OR ordinal IN (0, 5) GROUP BY t.session_id""")
+_sessions("hex_sessions", "hex", hex_files, """, x AS (SELECT 1) SELECT 'hex:' || session_id AS id, TIMESTAMP '2023-12-31 00:00:00' AS started_at, max(timestamp) AS ended_at, CAST(NULL AS VARCHAR) AS model,
+  CAST(NULL AS VARCHAR) AS cwd, count(*) AS turn_count, CAST(0 AS BIGINT) AS input_tokens, CAST(0 AS BIGINT) AS output_tokens, CAST(0 AS BIGINT) AS cache_read_tokens,
+  'hex:' || session_id || '-' || (count(*) - 1) AS last_entry_uuid, false AS has_error FROM turns GROUP BY session_id""")
+_sessions("pi_sessions", "pi", lambda a: as_files(pi_lines(a)), """, x AS (SELECT 1) SELECT 'pi:' || session_id AS id, min(timestamp) AS started_at, max(timestamp) AS ended_at, 'p/m9' AS model, '/w/' || session_id AS cwd,
+  count(*) AS turn_count, CAST(sum(CASE WHEN type = 'assistant' THEN ordinal ELSE 0 END) AS BIGINT) AS input_tokens, CAST(0 AS BIGINT) AS output_tokens, CAST(0 AS BIGINT) AS cache_read_tokens,
+  arg_max(id, ordinal) AS last_entry_uuid, false AS has_error FROM turns GROUP BY session_id""")
 query("nanoclaw_turns", _T + f"SELECT 'nanoclaw:' || session_id AS session_id, {_ID} AS id FROM tt")(lambda a: tr.nanoclaw_turns(claude_lines(a)).select("session_id", "id"))
 
 _DISK = lambda a: a.sessions.filter(F.col("id").cast("long") % 7 != 0).select(F.col("source_file").alias("path"), (F.col("ended_at") + F.expr("make_interval(0,0,0,0,CAST(CAST(id AS BIGINT) % 3 AS INT),0,0)")).alias("disk_mtime"))

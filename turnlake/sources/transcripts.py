@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 from pyspark.sql.window import Window
 
 from turnlake.functions import blocks as bl
@@ -26,6 +27,50 @@ _MESSAGE = (
 )
 
 
+#: Where each tool keeps its transcripts below its folder.
+PLACES = {
+    "claude-code": (rf"/projects/(?:[^/]+/)*{UUID}\.jsonl$", r"/projects/.*/subagents/agent-[^/]*\.jsonl$"),
+    "nanoclaw": (rf"/[^/]+/\.claude/projects/(?:[^/]+/)*{UUID}\.jsonl$", r"/[^/]+/\.claude/projects/.*/subagents/agent-[^/]*\.jsonl$"),
+    "codex": (r"/sessions/.*\.jsonl$",),
+    "jeff": (r"/sessions/.*\.jsonl$",),
+    "pi": (r"/sessions/.*\.jsonl$",),
+    "hex": (r"/sessions/[^/]+\.json$",),
+}
+
+
+def belongs(kind: str, below: Column) -> Column:
+    """Whether a path below a tool's folder is one of its transcripts."""
+    found = reduce(Column.__or__, [F.rlike(below, F.lit("^" + p)) for p in PLACES[kind]])
+    if kind in ("claude-code", "nanoclaw"):
+        # what lies beside agents' files is theirs alone
+        found &= ~F.contains(below, F.lit("/subagents/")) | F.rlike(below, F.lit(PLACES[kind][1]))
+    return found
+
+
+def listed(spark: SparkSession, root: str, kind: str) -> DataFrame:
+    """(path, file, mtime, below) of a tool's transcripts; no file is opened. A folder that is missing has none.
+
+    ``path`` is how readers name a file, ``file`` how it is opened, ``below`` its place in the folder.
+    """
+    try:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    except AnalysisException:
+        return spark.createDataFrame([], "path string, file string, mtime timestamp, below string")
+    # schemes and hosts are written in different ways; the folder's own path is not
+    folder = "/" + root.partition(":")[2].strip("/") if ":" in root.split("/")[0] else "/" + root.strip("/")
+    place = F.regexp_replace("path", r"^[a-z0-9+.-]+:/+", "/")
+    below = F.substring(place, F.instr(place, F.lit(folder + "/")) + F.lit(len(folder)), F.length(place))
+    rows = found.select(F.col("_metadata.file_path").alias("path"), F.col("path").alias("file"), F.col("modificationTime").alias("mtime"), below.alias("below"))
+    return rows.filter(belongs(kind, F.col("below")))
+
+
+def contents(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, value): the named files, one row each."""
+    if not paths:
+        return spark.createDataFrame([], "path string, value string")
+    return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+
+
 def files(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
     """(path, mtime, value): each file below root as one row."""
     read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
@@ -45,14 +90,6 @@ def oversized(found: DataFrame, most: int = bl.MAX_LINE_BYTES) -> DataFrame:
     return rows.groupBy("path").agg(F.count_if(F.octet_length("line") > most).alias("oversized"))
 
 
-def discover(spark: SparkSession, root: str) -> DataFrame:
-    """Session files and subagent files of the claude-code layout."""
-    found = files(spark, root)
-    session = F.rlike("path", F.lit(rf"/{UUID}\.jsonl$")) & ~F.contains("path", F.lit("/subagents/"))
-    agent = F.rlike("path", F.lit(r"/subagents/agent-[^/]*\.jsonl$"))
-    return found.filter(session | agent).withColumn("is_subagent", agent)
-
-
 def _entries(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_e", F.from_json("line", _ENTRY)).withColumn("_v", F.try_parse_json("line"))
 
@@ -137,7 +174,7 @@ def nanoclaw_turns(rows: DataFrame) -> DataFrame:
 
 
 _CODEX = (
-    "timestamp string, type string, payload struct<type:string,id:string,cwd:string,model:string,role:string,content:array<struct<type:string,text:string>>,"
+    "timestamp string, type string, payload struct<type:string,id:string,cwd:string,git:struct<branch:string>,model:string,role:string,content:array<struct<type:string,text:string>>,"
     "name:string,call_id:string,arguments:string,input:string,output:string,info:struct<total_token_usage:struct<input_tokens:long,cached_input_tokens:long,output_tokens:long>>>"
 )
 
@@ -189,75 +226,132 @@ def codex_turns(rows: DataFrame) -> DataFrame:
     turns = _codex(rows).filter("is_turn").select(
         "path", "session_id", F.concat("session_id", F.lit("-turn-"), F.col("turn_no").cast("string")).alias("id"), "turn_no",
         (F.col("turn_no") - 1).alias("ordinal"), F.col("_e.payload.role").alias("type"), pt.parsed_time(F.col("_e.timestamp")).alias("timestamp"),
-        F.coalesce(text, F.lit("")).alias("content"),
+        F.coalesce(text, F.lit("")).alias("content"), F.col("line").alias("raw_json"),
     )
     zero = {c: 0 for c in ("input_tokens", "cache_read_tokens", "output_tokens")}
     return turns.join(codex_tokens(rows), ["path", "turn_no"], "left").fillna(zero).drop("turn_no")
 
 
+def codex_heads(rows: DataFrame) -> DataFrame:
+    """Per file: id, folder and branch of the first header, the last model named, and bounds over all entries."""
+    time, kind, p = pt.parsed_time(F.col("_e.timestamp")), F.col("_e.type"), F.col("_e.payload")
+    first = F.min_by(F.when(kind == "session_meta", p), F.when(kind == "session_meta", F.col("line_no")))
+    model = F.when(kind == "turn_context", F.nullif(p["model"], F.lit("")))
+    r = rows.withColumn("_e", F.from_json("line", _CODEX)).filter("_e is not null")
+    return r.groupBy("path").agg(
+        first.alias("_h"), F.max_by(model, F.when(model.isNotNull(), F.col("line_no"))).alias("model"), F.min(time).alias("started_at"), F.max(time).alias("ended_at")
+    ).select("path", F.col("_h.id").alias("id"), F.col("_h.cwd").alias("cwd"), F.col("_h.git.branch").alias("git_branch"), "model", "started_at", "ended_at")
+
+
 def codex_calls(rows: DataFrame) -> DataFrame:
     """Calls of the latest assistant turn, with the last output of each call id; calls before any are dropped."""
     r = _codex(rows)
     outputs = r.filter(F.col("_e.payload.type").isin("function_call_output", "custom_tool_call_output")).groupBy("path", F.col("_e.payload.call_id").alias("tool_use_id")).agg(
         F.max_by("_e.payload.output", "line_no").alias("result_content")
     )
+    turn = Window.partitionBy("path", "last_spoke").orderBy("line_no")
     calls = r.filter(F.col("_e.payload.type").isin("function_call", "custom_tool_call")).filter("last_spoke is not null").select(
-        "path", F.concat("session_id", F.lit("-turn-"), F.col("last_spoke").cast("string")).alias("turn_id"), F.col("_e.payload.call_id").alias("tool_use_id"),
+        "path", "session_id", (F.row_number().over(turn) - 1).alias("turn_ordinal"), F.concat("session_id", F.lit("-turn-"), F.col("last_spoke").cast("string")).alias("turn_id"), F.col("_e.payload.call_id").alias("tool_use_id"),
         F.col("_e.payload.name").alias("tool_name"), F.coalesce("_e.payload.arguments", "_e.payload.input").alias("input_json"), "line_no",
     )
     return calls.join(outputs, ["path", "tool_use_id"], "left")
 
 
 _JEFF = (
-    "timestamp string, entry_type string, conversation_id string, data struct<text:string,content:string,message:string,tool_name:string,name:string,"
-    "tool_use_id:string,id:string,input:string,parameters:string,output:string,error:string,success:boolean>"
+    "timestamp string, entry_type string, conversation_id string, data struct<content:string,model:string,tool_name:string,tool_id:string,params:string,output_preview:string>"
 )
 
 
+def _jeff(rows: DataFrame) -> DataFrame:
+    """Entries with the number of the turn they are or follow; the first conversation named is the file's."""
+    whole = Window.partitionBy("path")
+    upto = whole.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    r = rows.withColumn("_e", F.from_json("line", _JEFF)).filter("_e.entry_type is not null")
+    kind, said = F.col("_e.entry_type"), F.col("_e.data").isNotNull()
+    named = F.nullif("_e.conversation_id", F.lit(""))
+    r = r.withColumn("is_turn", kind.isin("user_message", "assistant_message") & said)
+    r = r.withColumn("session_id", F.concat(F.lit("jeff:"), F.min_by(named, F.when(named.isNotNull(), F.col("line_no"))).over(whole)))
+    r = r.withColumn("turn_no", F.sum(F.col("is_turn").cast("int")).over(upto))
+    return r.withColumn("last_spoke", F.last(F.when(F.col("is_turn") & (kind == "assistant_message"), F.col("turn_no")), True).over(upto))
+
+
+def _jeff_turn(number: str) -> Column:
+    return F.concat("session_id", F.lit("-turn-"), F.col(number).cast("string"))
+
+
 def jeff_turns(rows: DataFrame) -> DataFrame:
-    """User, assistant and error entries as turns."""
-    kinds = {"user_message": "user", "assistant_message": "assistant", "error": "system"}
-    r = rows.withColumn("_e", F.from_json("line", _JEFF)).filter(F.col("_e.entry_type").isin(*kinds))
-    kind = F.col("_e.entry_type")
-    order = Window.partitionBy("path").orderBy("line_no")
-    return r.select(
-        "path", F.col("_e.conversation_id").alias("session_id"), (F.row_number().over(order) - 1).alias("ordinal"),
-        F.when(kind == "user_message", "user").when(kind == "assistant_message", "assistant").otherwise("system").alias("type"),
-        pt.parsed_time(F.col("_e.timestamp")).alias("timestamp"),
-        F.coalesce("_e.data.text", "_e.data.content", "_e.data.message", "_e.data.error", F.lit("")).alias("content"), "line_no",
+    """User and assistant messages as turns, named by conversation and number from 1."""
+    return _jeff(rows).filter("is_turn").select(
+        "path", "session_id", _jeff_turn("turn_no").alias("id"), (F.col("turn_no") - 1).alias("ordinal"),
+        F.when(F.col("_e.entry_type") == "user_message", "user").otherwise("assistant").alias("type"),
+        pt.parsed_time(F.col("_e.timestamp")).alias("timestamp"), F.coalesce("_e.data.content", F.lit("")).alias("content"), F.col("line").alias("raw_json"),
     )
 
 
 def jeff_calls(rows: DataFrame) -> DataFrame:
-    """Requests with their results: by id, or first come, first served where there is none.
+    """Calls of the latest assistant turn with their results, first come, first served among those of one id.
 
-    A result without an id takes the oldest waiting request, so a result that
-    precedes every request takes none. With w(n) requests and results seen, the
-    number waiting never falls below zero; the running minimum tells how many
-    results came too early.
+    Calls before any assistant turn are dropped; so is a result for which no call
+    of its id waits. Calls without an id wait among themselves. With a(n) calls
+    and r(n) results seen, the running maximum of r - a tells how many results
+    found nothing waiting.
     """
-    r = rows.withColumn("_e", F.from_json("line", _JEFF)).filter(F.col("_e.entry_type").isin("tool_request", "tool_result"))
     d = F.col("_e.data")
-    r = r.withColumn("call_id", F.coalesce(d["tool_use_id"], d["id"], F.lit(""))).withColumn("ask", F.col("_e.entry_type") == "tool_request")
-    upto = Window.partitionBy("path", "call_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    blank = F.col("call_id") == ""
+    r = _jeff(rows).filter(F.col("_e.entry_type").isin("tool_request", "tool_result") & d.isNotNull())
+    r = r.withColumn("tool_use_id", F.coalesce(d["tool_id"], F.lit(""))).withColumn("ask", F.col("_e.entry_type") == "tool_request")
+    r = r.filter(~F.col("ask") | F.col("last_spoke").isNotNull())
+    same = Window.partitionBy("path", "tool_use_id").orderBy("line_no")
+    upto = same.rowsBetween(Window.unboundedPreceding, 0)
     r = r.withColumn("asked", F.sum(F.col("ask").cast("int")).over(upto)).withColumn("told", F.sum((~F.col("ask")).cast("int")).over(upto))
     r = r.withColumn("early", F.greatest(F.lit(0), F.max(F.col("told") - F.col("asked")).over(upto)))
-    served = (F.col("told") - F.col("early")).alias("n")
-    took = F.when(F.col("ask"), False).otherwise(F.col("early") == F.coalesce(F.lag("early").over(Window.partitionBy("path", "call_id").orderBy("line_no")), F.lit(0)))
-    r = r.withColumn("took", took)
-    asks = r.filter("ask").select("path", "call_id", F.when(blank, F.col("asked")).otherwise(0).alias("n"), "line_no", F.coalesce(d["tool_name"], d["name"]).alias("tool_name"), F.coalesce(d["input"], d["parameters"]).alias("input_json"))
-    tells = r.filter("not ask").filter(~blank | F.col("took")).select("path", "call_id", F.when(blank, served).otherwise(0).alias("n"), F.struct("line_no", F.coalesce(d["output"], d["error"]).alias("result"), (d["error"].isNotNull() | ~F.coalesce(d["success"], F.lit(True))).alias("is_error")).alias("t"))
-    tells = tells.groupBy("path", "call_id", "n").agg(F.min("t").alias("t"))
-    return asks.join(tells, ["path", "call_id", "n"], "left").select("path", "line_no", "call_id", "tool_name", "input_json", F.col("t.result").alias("result_content"), F.col("t.is_error").alias("is_error"))
+    r = r.withColumn("took", F.col("early") == F.coalesce(F.lag("early").over(same), F.lit(0)))
+    turn = Window.partitionBy("path", "last_spoke").orderBy("line_no")
+    asks = r.filter("ask").select(
+        "path", "session_id", _jeff_turn("last_spoke").alias("turn_id"), "line_no", "tool_use_id", F.col("asked").alias("n"),
+        d["tool_name"].alias("tool_name"), d["params"].alias("input_json"), (F.row_number().over(turn) - 1).alias("turn_ordinal"),
+    )
+    tells = r.filter("not ask and took").select("path", "tool_use_id", (F.col("told") - F.col("early")).alias("n"), F.coalesce(d["output_preview"], F.lit("")).alias("_text"), F.lit(True).alias("_told"))
+    length = F.octet_length("_text")
+    reason = F.when(F.col("tool_name").isin(*bl.BULK_READERS), "bulk_read").when(length > bl.MAX_RESULT_BYTES, "oversize")
+    return asks.join(tells, ["path", "tool_use_id", "n"], "left").select(
+        "path", "session_id", "turn_id", "line_no", "tool_use_id", "tool_name", "input_json", F.octet_length("input_json").alias("input_length"), "turn_ordinal",
+        F.when(reason.isNull(), F.col("_text")).alias("result_content"), length.alias("result_length"), F.when(F.col("_told"), reason).alias("result_omitted_reason"),
+        F.lit(None).cast("boolean").alias("is_error"),
+    )
+
+
+def jeff_heads(rows: DataFrame) -> DataFrame:
+    """Per file: id, last model named, bounds over all entries, and whether an error was logged."""
+    time, kind = pt.parsed_time(F.col("_e.timestamp")), F.col("_e.entry_type")
+    model = F.when(kind == "session_start", F.nullif("_e.data.model", F.lit("")))
+    return _jeff(rows).groupBy("path").agg(
+        F.first("session_id").alias("id"), F.max_by(model, F.when(model.isNotNull(), F.col("line_no"))).alias("model"),
+        F.min(time).alias("started_at"), F.max(time).alias("ended_at"), F.bool_or(kind == "error").alias("has_error"),
+    )
+
+
+_HEX = "id string, title string, created_at string, updated_at string, messages array<struct<role:string,content:string,timestamp:string>>"
+
+
+def _hex(found: DataFrame) -> DataFrame:
+    rows = found.select("path", F.from_json("value", _HEX).alias("_d")).filter("_d.id <> ''")
+    return rows.withColumn("session_id", F.concat(F.lit("hex:"), "_d.id"))
 
 
 def hex_turns(found: DataFrame) -> DataFrame:
-    """Whole-file JSON documents with a list of messages."""
-    doc = F.from_json("value", "id string, title string, created_at string, updated_at string, messages array<struct<role:string,content:string,timestamp:string>>")
-    return found.select("path", doc.alias("_d")).filter("_d.id is not null").select("path", "_d.id", F.posexplode("_d.messages").alias("ordinal", "m")).select(
-        "path", F.col("id").alias("session_id"), F.concat("id", F.lit("-"), F.col("ordinal").cast("string")).alias("id"), "ordinal",
-        F.col("m.role").alias("type"), pt.parsed_time(F.col("m.timestamp")).alias("timestamp"), F.coalesce("m.content", F.lit("")).alias("content"),
+    """Messages of whole-file JSON documents, each the child of the one before."""
+    name = lambda n: F.concat("session_id", F.lit("-"), n.cast("string"))
+    return _hex(found).select("path", "session_id", F.posexplode("_d.messages").alias("ordinal", "m")).select(
+        "path", "session_id", name(F.col("ordinal")).alias("id"), F.when(F.col("ordinal") > 0, name(F.col("ordinal") - 1)).alias("parent_id"), "ordinal",
+        F.col("m.role").alias("type"), pt.parsed_time(F.col("m.timestamp")).alias("timestamp"), F.coalesce("m.content", F.lit("")).alias("content"), F.to_json("m").alias("raw_json"),
+    )
+
+
+def hex_heads(found: DataFrame) -> DataFrame:
+    """Per file: id, title, and the bounds that the document names."""
+    return _hex(found).select(
+        "path", F.col("session_id").alias("id"), F.col("_d.title").alias("title"),
+        pt.parsed_time(F.col("_d.created_at")).alias("started_at"), pt.parsed_time(F.col("_d.updated_at")).alias("ended_at"),
     )
 
 
@@ -311,6 +405,15 @@ def pi_calls(rows: DataFrame) -> DataFrame:
     )
 
 
+def pi_heads(rows: DataFrame) -> DataFrame:
+    """Per file: id and folder of the header, the last model named, and bounds over all entries."""
+    time, head = pt.parsed_time(F.col("_e.timestamp")), F.col("_e.type") == "session"
+    return _pi(rows).groupBy("path").agg(
+        F.first("session_id").alias("id"), F.min_by(F.when(head, F.col("_e.cwd")), F.when(head, F.col("line_no"))).alias("cwd"), F.first("model").alias("model"),
+        F.min(time).alias("started_at"), F.max(time).alias("ended_at"),
+    )
+
+
 def pi_turns(rows: DataFrame) -> DataFrame:
     """Messages, usage notes, summaries and custom messages as turns; tool results are none, but a failed one marks the calling turn."""
     m, kind = F.col("_e.message"), F.col("_e.type")
@@ -333,7 +436,7 @@ def pi_turns(rows: DataFrame) -> DataFrame:
     order = Window.partitionBy("path").orderBy("line_no")
     return own.select(
         "path", "session_id", F.col("_e.id").alias("id"), F.col("_e.parentId").alias("parent_id"), (F.row_number().over(order) - 1).alias("ordinal"), role.alias("type"),
-        pt.parsed_time(F.col("_e.timestamp")).alias("timestamp"), F.coalesce(content, F.lit("")).alias("content"), "model", "forked_from",
+        pt.parsed_time(F.col("_e.timestamp")).alias("timestamp"), F.coalesce(content, F.lit("")).alias("content"), "model", "forked_from", F.col("line").alias("raw_json"),
         (F.coalesce(m["stopReason"] == "error", F.lit(False)) | F.coalesce(m["errorMessage"] != "", F.lit(False)) | F.coalesce("_failed", F.lit(False))).alias("has_error"),
         *[F.coalesce(spent[a], F.lit(0)).alias(b) for a, b in (("input", "input_tokens"), ("output", "output_tokens"), ("cacheRead", "cache_read_tokens"), ("cacheWrite", "cache_write_tokens"))],
     )
