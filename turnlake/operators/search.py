@@ -29,7 +29,7 @@ def base(a: Archive) -> DataFrame:
     )
     p = a.projects.select(F.col("id").alias("project_id"), F.col("path").alias("_path"), F.col("display_name").alias("_label"))
     return (
-        a.turns.join(s, "session_id")
+        a.turns.select(*KEYS, "ordinal", "type", "timestamp", "content").join(s, "session_id")
         .join(p, "project_id", "left")
         .select(
             "session_id", "id", "ordinal", "type", "timestamp", "content",

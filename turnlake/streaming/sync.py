@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -110,7 +111,9 @@ class SyncedArchive:
         if not names:
             return 0
         parsed = [ss.parse(tr.contents(self.spark, paths), kind) for kind, paths in sorted(names.items())]
-        turns, calls, sessions = (reduce(DataFrame.unionByName, part) for part in zip(*parsed, strict=True))
+        # every table below reads them; a lost executor's part is parsed again
+        turns, calls, sessions = (reduce(DataFrame.unionByName, part).persist(StorageLevel.DISK_ONLY) for part in zip(*parsed, strict=True))
+        kept = (turns, calls, sessions)
 
         # of files with one session, the last written one speaks for it
         sessions = sessions.join(changed.select("path", "mtime", "source", F.col("project_path").alias("_home")), "path")
@@ -150,6 +153,8 @@ class SyncedArchive:
             },
             touched, whole=not self.exists,
         )
+        for rows in kept:
+            rows.unpersist()
         index = TextIndex(self.spark, f"{self.folder}/text_index")
         done = self._tables.live("sessions", "id").filter(F.col("generation") == max(self._tables.numbers)).select(F.col("id").alias("session_id"))
         if index.exists:
