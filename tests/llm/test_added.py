@@ -246,3 +246,40 @@ def test_ids_are_hashed_as_they_come(monkeypatch):
 
 def test_op13_on_the_table(compare):
     compare(queries.op13_prefix_trie, queries.ORACLE["op13_prefix_trie"])
+
+
+# -- repairs of earlier operators
+
+
+def test_composition_is_the_librarys():
+    import unicodedata
+
+    from tokenizers.normalizers import NFC
+
+    from turnlake.llm import bpe
+
+    library = NFC()
+    marks = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.combining(chr(c))]
+    assert len(marks) > 900
+    for mark in marks:
+        for other in "\u0324\u0301\u0345\u05b0":
+            for text in ("a" + mark + other, "a" + other + mark, "e" + mark + other + mark + "\u0301x"):
+                assert bpe.composed(text) == library.normalize_str(text), [hex(ord(c)) for c in text]
+    for text in ("\U00011935\U00011930", "e\u0301\U00011930\u0301e\u0301", "", "plain"):
+        assert bpe.composed(text) == library.normalize_str(text)
+
+
+def test_a_text_too_long_to_learn_from_ends_no_sample(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from turnlake.llm import toxicity
+
+    rows = [(k, f"word{k % 7} {'vile' if k % 3 == 0 else 'kind'}", int(k % 3 == 0)) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    least = docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).orderBy(F.xxhash64("doc_id")).first().doc_id
+    monkeypatch.setattr(toxicity, "MAX_BYTES", 40_000)
+    huge = docs.withColumn("text", F.when(F.col("doc_id") == least, F.repeat(F.lit("long "), 20_000)).otherwise(F.col("text")))
+    model = toxicity.train(huge.drop("toxic"), docs.drop("text"))
+    assert len(model.index)
+    judged = toxicity.score(docs, model).join(docs, "doc_id").collect()
+    assert all((r.score >= 0.5) == bool(r.toxic) for r in judged)

@@ -54,6 +54,28 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+#: Combining marks that the library's tables do not know as such; it neither moves nor composes them.
+UNMOVED = (
+    "07FD 0898-089F 08CA-08D3 09FE 0C3C 0D3B-0D3C 0EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF 10F46-10F50 10F82-10F85 "
+    "11070 1133B 1145E 11839-1183A 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 1E08F 1E130-1E136 "
+    "1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"
+)
+#: Fixed value: the second part of a composed letter that the library's tables lack.
+UNCOMPOSED = "11930"
+_APART = re.compile("[" + "".join("-".join(f"\\U{int(end, 16):08X}" for end in part.split("-")) for part in f"{UNMOVED} {UNCOMPOSED}".split()) + "]")
+
+
+def composed(text: str) -> str:
+    """The text in the normal form NFC as the library has it."""
+    if text.isascii() or not _APART.search(text):
+        return unicodedata.normalize("NFC", text)
+    out, at = [], 0
+    for m in _APART.finditer(text):
+        out += [unicodedata.normalize("NFC", text[at : m.start()]), m.group()]
+        at = m.end()
+    return "".join([*out, unicodedata.normalize("NFC", text[at:])])
+
+
 class _Words(dict):
     """Word to the bytes of its ids, filled on demand."""
 
@@ -173,7 +195,7 @@ class Codec:
                 at -= length[token]
 
     def _plain(self, text: str) -> bytes:
-        text = unicodedata.normalize("NFC", text)
+        text = composed(text)
         if "Σ" in text:
             text = text.replace("Σ", "σ")  # letters are lowered one by one, without regard to a word's end
         words, text = self._words, text.lower()

@@ -6,9 +6,9 @@ L1 term leaves few weights, which are broadcast; scoring hashes whole texts and
 looks up those weights only.
 
 Learning uses a bounded sample of labelled rows: the ``max_rows`` with the least
-hashes of their ids, as far as their texts have ``MAX_BYTES`` together, so that
-the sample is the same on every run and the driver gets six times those bytes at
-most. Of several texts with one id the one of the least hash is learned from, and
+hashes of their ids, without those whose texts would make it more than ``MAX_BYTES``
+together; a text that does not fit is left out, those after it are not. So the
+sample is the same on every run and the driver gets six times those bytes at most. Of several texts with one id the one of the least hash is learned from, and
 of several labels the highest. Scoring uses the text alone, however long.
 
 Defined results: null and empty texts have no features and get the score of the
@@ -27,7 +27,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from turnlake.llm import text as tx
 
@@ -145,8 +144,13 @@ def train(
         F.min(F.struct(hashed.alias("pick"), F.coalesce(F.octet_length("_text"), F.lit(0)).alias("bytes"))).alias("one")
     )
     near = known.join(sizes.select("_id", "one.*"), "_id").withColumn("order", F.xxhash64("_id"))
-    running = Window.orderBy("order", "_id")  # of max_rows rows
-    chosen = near.orderBy("order", "_id").limit(max_rows).withColumn("sum", F.sum("bytes").over(running)).filter(F.col("sum") <= MAX_BYTES)
+    first = near.orderBy("order", "_id").limit(max_rows).select("_id", "pick", "label", "bytes")
+    fitting, total = [], 0
+    for row in first.collect():  # at most max_rows of four numbers
+        if total + row.bytes <= MAX_BYTES:  # a text that does not fit is left out, not those after it
+            fitting.append(row)
+            total += row.bytes
+    chosen = docs.sparkSession.createDataFrame(fitting, first.schema)
     picked = texts.withColumn("pick", hashed).join(F.broadcast(chosen.select("_id", "pick", "label")), ["_id", "pick"])  # bounded by max_rows
     sample = picked.select("label", "_text", "_id").dropDuplicates(["_id"]).mapInArrow(_feature_rows, "label int, features binary")
     table = sample.toArrow()
