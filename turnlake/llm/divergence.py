@@ -37,7 +37,7 @@ from turnlake.llm.shared import stored
 
 SCALE, PRIOR = 1_000_000_000, 5
 #: Sources of one task's rows, and columns dealt to it on average.
-TILE, SLICE = 512, 50_000
+TILE, SLICE = 512, 2_000
 #: Groups up to which tables of groups are broadcast.
 FEW_GROUPS = 10_000
 #: Entries that a task counts before it sends them, and bytes of text split at once.
