@@ -23,14 +23,16 @@ def page_size(kind: str, wanted: int | None) -> int:
 class Lake:
     """An archive opened from Parquet, or from tables at hand."""
 
-    def __init__(self, archive: tables.Archive, zone: tzinfo = timezone.utc, index: TextIndex | None = None):
-        self.archive, self.zone, self.index = archive, zone, index
+    def __init__(self, archive: tables.Archive, zone: tzinfo = timezone.utc, index: TextIndex | None = None, folder: str | None = None, version: int = tables.VERSION):
+        self.archive, self.zone, self.index, self.folder, self.version = archive, zone, index, folder, version
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str, zone: tzinfo = timezone.utc) -> Lake:
-        """A saved archive, with its text index if it has one."""
+        """A saved archive, with its text index if it has one; one newer than this code is refused."""
+        folder = folder.rstrip("/")
+        version = tables.readable_version(spark, folder)
         index = TextIndex(spark, f"{folder}/text_index")
-        return cls(tables.from_parquet(spark, folder), zone, index if index.exists else None)
+        return cls(tables.from_parquet(spark, folder), zone, index if index.exists else None, folder, version or 1)
 
     def save(self, folder: str, index: bool = False) -> None:
         """Write all tables, turns by month; with ``index`` the text index of what was written too."""
@@ -87,5 +89,7 @@ class Lake:
         return export.markdown(a)
 
     def merged(self, incoming: Lake) -> Lake:
-        writes.check_mergeable(self.archive, incoming.archive)
+        if self.folder is not None and self.folder == incoming.folder:
+            raise ValueError("an archive cannot be merged with itself")
+        writes.check_mergeable(self.archive, incoming.archive, tables.VERSION, incoming.version)
         return Lake(writes.merge(self.archive, incoming.archive), self.zone)

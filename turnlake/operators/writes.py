@@ -78,35 +78,97 @@ def check_mergeable(current: Archive, incoming: Archive, known_version: int = 17
         raise ValueError(f"the incoming archive is of version {incoming_version}, {known_version} is known")
 
 
-def merge(current: Archive, incoming: Archive) -> Archive:
-    """Both archives as one: absent and later sessions come in with all they have.
+def own_number(*columns: str) -> Column:
+    """A number for a key of this archive, beyond all small ones that other archives count with."""
+    return F.xxhash64(*columns).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+
+
+def _like(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows with a table's columns; those they lack are null."""
+    have = {f.name: f.dataType for f in table.schema}
+    return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in have.items()])
+
+
+def rehomed(calls: DataFrame, turns: DataFrame) -> DataFrame:
+    """Calls filed under a session that does not hold their turn go to the one session that does; without one alone they stay."""
+    keys = turns.select("session_id", F.col("id").alias("turn_id")).distinct()
+    homes = keys.groupBy("turn_id").agg(F.min("session_id").alias("_home"), F.count(F.lit(1)).alias("_homes")).filter("_homes = 1").select("turn_id", "_home")
+    strays = calls.join(keys, ["session_id", "turn_id"], "left_anti").join(homes, "turn_id", "left").withColumn("session_id", F.coalesce("_home", "session_id"))
+    return calls.join(keys, ["session_id", "turn_id"], "left_semi").unionByName(strays.select(*calls.columns))
+
+
+def distinct_calls(calls: DataFrame, order: str = "id") -> DataFrame:
+    """One of equal calls of a turn: the first of each call id, and the first without id, input and result of each tool.
 
-    Columns are those both sides know. Projects are matched by path; an
-    incoming session keeps its project through the path. Ids of projects are an
-    archive's own: a new project gets one made from its path, beyond all small
-    numbers. Calls come in only with their turn, and of equal calls one stays.
+    Without the columns that tell calls apart all stay.
     """
+    if not {"tool_use_id", "input_json", "result_length"} <= set(calls.columns):
+        return calls
+    named = Window.partitionBy("session_id", "turn_id", "tool_name", "tool_use_id").orderBy(order)
+    bare = Window.partitionBy("session_id", "turn_id", "tool_name").orderBy(order)
+    empty = F.col("tool_use_id").isNull() & F.col("input_json").isNull() & F.col("result_length").isNull()
+    rows = calls.withColumn("_a", F.row_number().over(named)).withColumn("_b", F.row_number().over(bare))
+    return rows.filter(~((F.col("tool_use_id").isNotNull() & (F.col("_a") > 1)) | (empty & (F.col("_b") > 1)))).drop("_a", "_b")
+
+
+def numbered_calls(calls: DataFrame, order: str = "id") -> DataFrame:
+    """Calls with ordinals: those they have where a turn's differ, else by their order."""
+    if "turn_ordinal" not in calls.columns:
+        calls = calls.withColumn("turn_ordinal", F.lit(None).cast("long"))
+    turn = Window.partitionBy("session_id", "turn_id")
+    same = F.count(F.lit(1)).over(Window.partitionBy("session_id", "turn_id", "turn_ordinal"))
+    rows = calls.withColumn("_same", same).withColumn("_unfit", F.max(F.when(F.col("turn_ordinal").isNull() | (F.col("_same") > 1), 1).otherwise(0)).over(turn))
+    number = F.row_number().over(turn.orderBy(F.asc_nulls_last("turn_ordinal"), order)) - 1
+    return rows.withColumn("turn_ordinal", F.when(F.col("_unfit") == 1, number).otherwise(F.col("turn_ordinal"))).drop("_same", "_unfit")
 
-    def both(table: str) -> list[str]:
-        return [c for c in getattr(current, table).columns if c in getattr(incoming, table).columns]
 
+def merge(current: Archive, incoming: Archive) -> Archive:
+    """Both archives as one: absent and later sessions come in with their turns, calls and files.
+
+    Columns are the current archive's; what the incoming one lacks is null, but
+    positions of turns and calls are counted. Projects are matched by path; ids
+    of projects and calls are an archive's own, so what comes in gets new ones,
+    beyond all small numbers. A call comes in if any turn of the merged archive
+    has its turn's id, under the session that holds the turn; of equal calls one
+    does. It takes the place of what the current archive has for that turn.
+    Calls of the current archive whose turns the merge removed go.
+    """
     taken = merge_pick(current.sessions, incoming.sessions).filter("action <> 'skip'").select("id")
-    own_id = F.xxhash64("path").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
-    new_projects = incoming.projects.join(current.projects.select("path"), "path", "left_anti")
-    new_projects = new_projects.withColumn("id", own_id.cast(current.projects.schema["id"].dataType)).select(*both("projects"))
-    projects = current.projects.select(*both("projects")).unionByName(new_projects)
+    key = taken.select(F.col("id").alias("session_id"))
+
+    new_projects = incoming.projects.join(current.projects.select("path"), "path", "left_anti").withColumn("id", own_number("path"))
+    projects = current.projects.unionByName(_like(new_projects, current.projects))
     named = incoming.projects.select(F.col("id").alias("project_id"), F.col("path").alias("_path"))
     ids = projects.select(F.col("path").alias("_path"), F.col("id").alias("_project"))
-    come = incoming.sessions.join(taken, "id", "left_semi").join(named, "project_id", "left").join(ids, "_path", "left")
-    come = come.withColumn("project_id", F.col("_project")).select(*both("sessions"))
-    sessions = current.sessions.select(*both("sessions")).join(taken, "id", "left_anti").unionByName(come)
-    key = taken.select(F.col("id").alias("session_id"))
-    turns = current.turns.select(*both("turns")).join(key, "session_id", "left_anti").unionByName(incoming.turns.select(*both("turns")).join(key, "session_id", "left_semi"))
-    owners = incoming.turns.select("session_id", F.col("id").alias("turn_id"))
-    calls = incoming.tool_uses.select(*both("tool_uses")).join(key, "session_id", "left_semi").join(owners, ["session_id", "turn_id"], "left_semi")
-    calls = calls.dropDuplicates(["session_id", "turn_id", "turn_ordinal"])
-    tool_uses = current.tool_uses.select(*both("tool_uses")).join(key, "session_id", "left_anti").unionByName(calls)
-    return Archive(projects, sessions, turns, tool_uses, current.source_files)
+
+    come = incoming.turns.join(key, "session_id", "left_semi")
+    if "ordinal" not in come.columns:
+        come = come.withColumn("ordinal", F.row_number().over(Window.partitionBy("session_id").orderBy(F.asc_nulls_last("timestamp"), "id")) - 1)
+    come = _like(come, current.turns)
+    staying = current.turns.join(key, "session_id", "left_anti")
+    turns = staying.unionByName(come)
+
+    sessions = incoming.sessions.join(taken, "id", "left_semi").join(named, "project_id", "left").join(ids, "_path", "left")
+    sessions = _like(sessions.withColumn("project_id", F.col("_project")), current.sessions)
+    if "last_entry_uuid" in sessions.columns:
+        last = come.groupBy(F.col("session_id").alias("id")).agg(F.max_by(come["id"], "ordinal").alias("_last"))
+        sessions = sessions.join(last, "id", "left").withColumn("last_entry_uuid", F.coalesce("last_entry_uuid", "_last")).select(*current.sessions.columns)
+    sessions = current.sessions.join(taken, "id", "left_anti").unionByName(sessions)
+
+    order = "id" if "id" in incoming.tool_uses.columns else "timestamp"
+    calls = incoming.tool_uses.join(key, "session_id", "left_semi").join(turns.select(F.col("id").alias("turn_id")).distinct(), "turn_id", "left_semi")
+    calls = numbered_calls(distinct_calls(rehomed(calls, turns), order), order).withColumn("id", own_number("session_id", "turn_id", "turn_ordinal"))
+    old = current.tool_uses.join(key, "session_id", "left_anti")
+    old = old.filter("turn_id is null").unionByName(old.join(staying.select(F.col("id").alias("turn_id")).distinct(), "turn_id", "left_semi").select(*old.columns))
+    old = old.join(calls.select("session_id", "turn_id").distinct(), ["session_id", "turn_id"], "left_anti").select(*current.tool_uses.columns)
+    tool_uses = old.unionByName(_like(calls, current.tool_uses))
+
+    paths = incoming.sessions.join(taken, "id", "left_semi").select(F.col("source_file").alias("path")).distinct() if "source_file" in incoming.sessions.columns else None
+    files = current.source_files
+    if paths is not None:
+        new_files = incoming.source_files.join(paths, "path", "left_semi").join(current.source_files.select("path"), "path", "left_anti")
+        files = files.unionByName(_like(new_files, current.source_files))
+    return Archive(projects, sessions, turns, tool_uses, files)
 
 
 def prune_projects(a: Archive) -> DataFrame:

@@ -333,9 +333,34 @@ query("tool_use_replace", """SELECT id, turn_ordinal FROM tool_uses WHERE turn_i
 query("merge_pick", "SELECT CASE WHEN CAST(id AS BIGINT) % 6 = 0 THEN 'n' || id ELSE id END AS id, CASE WHEN CAST(id AS BIGINT) % 6 = 0 THEN 'insert' WHEN id LIKE '%4' THEN 'replace' ELSE 'skip' END AS action FROM sessions WHERE CAST(id AS BIGINT) % 2 = 0")(
     lambda a: wr.merge_pick(a.sessions, _NEW(a))
 )
-query("merge_archives", "SELECT id, CASE WHEN id LIKE '%4' AND CAST(id AS BIGINT) % 6 <> 0 THEN turn_count + 1 ELSE turn_count END AS turn_count FROM sessions UNION ALL SELECT 'n' || id, turn_count + 1 FROM sessions WHERE CAST(id AS BIGINT) % 6 = 0")(
-    lambda a: wr.merge(a, a._replace(sessions=_NEW(a))).sessions.select("id", "turn_count")
+def _other(a: Archive) -> Archive:
+    """An archive to merge: of four sessions one is later here, one new, one the same, one absent; calls come twice, without positions."""
+    number = lambda c: F.col(c).cast("long")
+    named = lambda rows, c: rows.filter(number(c) % 4 < 3).withColumn(c, F.when(number(c) % 4 == 1, F.concat(F.lit("n"), c)).otherwise(F.col(c)))
+    later = F.when(~F.startswith("id", F.lit("n")) & (number("id") % 4 == 0), F.col("ended_at") + F.expr("interval 1 hour")).otherwise(F.col("ended_at"))
+    calls = named(a.tool_uses.drop("turn_ordinal"), "session_id")
+    return Archive(
+        a.projects, named(a.sessions, "id").withColumn("ended_at", later).withColumn("turn_count", F.col("turn_count") + 1),
+        named(a.turns, "session_id").withColumn("content", F.concat(F.lit("in "), "content")), calls.unionByName(calls.withColumn("id", F.col("id") + 10_000_000)), a.source_files,
+    )
+
+
+def _merged(a: Archive) -> Archive:
+    a = a._replace(tool_uses=a.tool_uses.withColumn("tool_use_id", F.concat(F.lit("k"), F.col("id").cast("string"))).withColumn("result_length", F.length("result_content")))
+    return wr.merge(a, _other(a))
+
+
+_OTHER = """, pick AS (SELECT id, CASE CAST(id AS BIGINT) % 4 WHEN 0 THEN id WHEN 1 THEN 'n' || id END AS as_id FROM sessions WHERE CAST(id AS BIGINT) % 4 < 2)"""
+query("merge_archives", _OTHER + """ SELECT id, project_id, ended_at, model, source, turn_count, input_tokens, source_file, last_entry_uuid FROM sessions WHERE CAST(id AS BIGINT) % 4 <> 0
+  UNION ALL SELECT as_id, project_id, CASE WHEN as_id = s.id THEN ended_at + INTERVAL 1 HOUR ELSE ended_at END, model, source, turn_count + 1, input_tokens, source_file, last_entry_uuid FROM sessions s JOIN pick ON s.id = pick.id""")(
+    lambda a: _merged(a).sessions.select("id", "project_id", "ended_at", "model", "source", "turn_count", "input_tokens", "source_file", "last_entry_uuid")
 )
+query("merge_turns", _OTHER + """ SELECT session_id, id, ordinal, type, content FROM turns WHERE session_id NOT IN (SELECT as_id FROM pick)
+  UNION ALL SELECT as_id, t.id, ordinal, type, 'in ' || content FROM turns t JOIN pick ON t.session_id = pick.id""")(lambda a: _merged(a).turns.select("session_id", "id", "ordinal", "type", "content"))
+query("merge_calls", _OTHER + """ SELECT session_id, turn_id, tool_use_id, turn_ordinal, tool_name, result_content FROM tool_uses u, LATERAL (SELECT 'k' || u.id AS tool_use_id)
+  WHERE session_id NOT IN (SELECT as_id FROM pick) AND turn_id IN (SELECT id FROM turns)
+  UNION ALL SELECT as_id, turn_id, 'k' || u.id, row_number() OVER (PARTITION BY as_id, turn_id ORDER BY u.id) - 1, tool_name, result_content FROM tool_uses u JOIN pick ON u.session_id = pick.id
+  WHERE turn_id IN (SELECT id FROM turns)""")(lambda a: _merged(a).tool_uses.select("session_id", "turn_id", "tool_use_id", "turn_ordinal", "tool_name", "result_content"))
 query("prune_projects", "SELECT id FROM projects WHERE id IN (SELECT project_id FROM sessions WHERE source = 'P')")(lambda a: wr.prune_projects(a._replace(sessions=a.sessions.filter("source = 'P'"))).select("id"))
 query("backfill_tokens", """SELECT id, CASE WHEN source NOT IN ('O', 'F') THEN 'unsupported' WHEN CAST(id AS BIGINT) % 5 = 0 THEN 'unreadable' WHEN CAST(id AS BIGINT) % 5 = 1 THEN 'failed'
   WHEN CAST(id AS BIGINT) % 5 = 2 THEN 'mismatch' WHEN CAST(id AS BIGINT) % 5 = 3 THEN 'no cache usage' ELSE 'repaired' END AS outcome

@@ -6,6 +6,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from turnlake.functions.periods import month_of
 
@@ -30,6 +31,31 @@ BASE = "2024-01-01 00:00:00"
 ORDER = {"sessions": ["id"], "turns": ["session_id", "ordinal"], "tool_uses": ["session_id", "turn_id"]}
 
 
+#: Layout of a stored archive; 1 had no months and no version.
+VERSION = 2
+
+
+def stored_version(spark: SparkSession, folder: str) -> int | None:
+    """The version of a stored archive; 1 where it names none, None where there is no archive."""
+    try:
+        return spark.read.parquet(f"{folder}/version").first().version
+    except AnalysisException:
+        pass
+    try:
+        spark.read.parquet(f"{folder}/sessions")
+    except AnalysisException:
+        return None
+    return 1
+
+
+def readable_version(spark: SparkSession, folder: str) -> int | None:
+    """The stored version; an archive newer than this code is refused."""
+    version = stored_version(spark, folder)
+    if version is not None and version > VERSION:
+        raise ValueError(f"the archive at {folder} is of version {version}, {VERSION} is known")
+    return version
+
+
 def from_parquet(spark: SparkSession, folder: str) -> Archive:
     """A stored archive: one Parquet table per name."""
     return Archive(*(spark.read.parquet(f"{folder}/{name}") for name in Archive._fields))
@@ -37,6 +63,7 @@ def from_parquet(spark: SparkSession, folder: str) -> Archive:
 
 def to_parquet(a: Archive, folder: str) -> None:
     """Write all tables; turns are partitioned by month, so that dates prune files."""
+    readable_version(a.spark, folder)
     for name, rows in zip(a._fields, a, strict=True):
         by = []
         if name == "turns":
@@ -44,6 +71,7 @@ def to_parquet(a: Archive, folder: str) -> None:
             by = ["month"]
         rows = rows.sortWithinPartitions(*by, *ORDER[name]) if name in ORDER else rows
         rows.write.mode("overwrite").partitionBy(*by).parquet(f"{folder}/{name}")
+    a.spark.createDataFrame([(VERSION,)], "version int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/version")
 
 
 def from_tables(spark: SparkSession, sf_dir: str) -> Archive:

@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from turnlake.functions.periods import month_of
 from turnlake.operators.integrity import needs_sync
 from turnlake.operators.text_index import TextIndex
-from turnlake.operators.writes import session_upsert
+from turnlake.operators.writes import own_number, session_upsert
 from turnlake.sources import sessions as ss
 from turnlake.sources import transcripts as tr
 from turnlake.sources.archive import Archive
@@ -34,11 +34,6 @@ _SESSIONS = (
 _FILES = "path string, source string, mtime timestamp, session_id string"
 
 
-def _own_number(*columns: str) -> Column:
-    """A number for a key that other archives need not share, beyond all small ones."""
-    return F.xxhash64(*columns).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
-
-
 def _project_of(kind: str, root: str) -> Column:
     """The project of a file that names no folder."""
     if kind in ("jeff", "hex"):
@@ -125,7 +120,7 @@ class SyncedArchive:
         before = stored.select(F.col("id").alias("_parent"), F.col("project_path").alias("_b"))
         home = F.coalesce("_a", "_b", F.nullif("cwd", F.lit("")), "_home")
         sessions = sessions.withColumn("_parent", F.element_at(F.split("parent_session_id", ":"), -1)).join(parents, "_parent", "left").join(before, "_parent", "left")
-        fresh = sessions.withColumn("project_path", home).withColumn("project_id", _own_number("project_path")).withColumn("source_file", F.col("path"))
+        fresh = sessions.withColumn("project_path", home).withColumn("project_id", own_number("project_path")).withColumn("source_file", F.col("path"))
         chosen = fresh.select("id", "path")
         columns = stored.columns
         old = stored.join(chosen.select("id"), "id", "left_semi")
@@ -139,7 +134,7 @@ class SyncedArchive:
         turns = turns.join(pick, ["path", "session_id"], "left_semi").withColumn("month", month_of(F.col("timestamp")))
         doubled = Window.partitionBy("session_id", "id").orderBy("ordinal")
         turns = turns.withColumn("_n", F.row_number().over(doubled)).filter("_n = 1").drop("_n")
-        calls = calls.join(pick, ["path", "session_id"], "left_semi").withColumn("id", _own_number("session_id", "turn_id", "turn_ordinal"))
+        calls = calls.join(pick, ["path", "session_id"], "left_semi").withColumn("id", own_number("session_id", "turn_id", "turn_ordinal"))
 
         own = sessions.select("path", F.col("id").alias("session_id"))
         files = changed.select("path", "source", "mtime").join(own, "path", "left")
