@@ -143,3 +143,29 @@ def test_linked_folders_give_one_session(spark, tmp_path):
     assert a.turns.count() == 1
     with pytest.raises(ValueError):
         lake.sync([{"name": "no", "type": "other", "path": "/nowhere"}])
+
+
+def test_backfill_from_stored_lines(spark, tmp_path):
+    from turnlake.functions import blocks as bl
+    from turnlake.operators import repair
+
+    usage = {"input_tokens": 5, "output_tokens": 2, "cache_read_input_tokens": 3}
+    names = [f"{k}{PARENT[1:]}" for k in range(5)]
+    for k, name in enumerate(names):
+        put(tmp_path / "c" / "projects" / "-w" / f"{name}.jsonl", [said(name, 0, "hi"), said(name, 1, "yo", "assistant", usage={**usage, "cache_read_input_tokens": 0} if k == 4 else usage)])
+    lake = SyncedArchive(spark, str(tmp_path / "archive"))
+    lake.sync([{"name": "mine", "type": "claude-code", "path": str(tmp_path / "c")}])
+    a = lake.archive()
+    assert {r.cache_read_tokens for r in a.sessions.collect()} == {0, 3}
+    lost = a.sessions.withColumn("cache_read_tokens", F.lit(0).cast("long"))
+    line = F.when((F.col("session_id") == names[1]) & (F.col("ordinal") == 0), "{oops").when((F.col("session_id") == names[2]) & (F.col("ordinal") == 1), bl.stored_line(F.col("raw_json"), 10)).otherwise(F.col("raw_json"))
+    a = a._replace(sessions=lost, turns=a.turns.withColumn("raw_json", line).filter(F.col("session_id") != names[3]))
+    outcomes, repaired = repair.backfill(a, {"mine": "claude-code"})
+    assert {r.id: (r.outcome, r.stub_lines) for r in outcomes.collect()} == {names[0]: ("repaired", 0), names[1]: ("failed", 0), names[2]: ("mismatch", 1), names[3]: ("unreadable", 0), names[4]: ("no cache usage", 0)}
+    assert {r.id: r.cache_read_tokens for r in repaired.collect() if r.cache_read_tokens} == {names[0]: 3}
+    # counters that changed meanwhile are not written over, and a second run changes nothing
+    from turnlake.operators.writes import apply_backfill
+
+    assert apply_backfill(lost.withColumn("input_tokens", F.col("input_tokens") + 1), outcomes).filter("cache_read_tokens > 0").isEmpty()
+    again, same = repair.backfill(a._replace(sessions=repaired), {"mine": "claude-code"})
+    assert again.filter("outcome = 'repaired'").isEmpty() and sorted(map(tuple, same.collect()), key=repr) == sorted(map(tuple, repaired.collect()), key=repr)

@@ -177,14 +177,15 @@ def prune_projects(a: Archive) -> DataFrame:
 
 
 def backfill_outcomes(a: Archive, parsed: DataFrame, supported: tuple[str, ...]) -> DataFrame:
-    """(id, outcome, cache_read_tokens, cache_write_tokens) of every session without cache counters.
+    """(id, outcome, cache_read_tokens, cache_write_tokens, seen_input, seen_output, stub_lines) of every session without cache counters.
 
-    parsed has per session_id the totals of its stored lines and how many lines
-    could not be read or were stubs. Counters are taken only where input and
-    output equal the stored pair.
+    parsed has per session_id the totals of its stored lines, how many lines
+    could not be read and how many were stubs. Counters are taken only where
+    input and output equal the stored pair.
     """
     own = a.sessions.filter((zero("cache_read_tokens") == 0) & (zero("cache_write_tokens") == 0)).select("id", "source", zero("input_tokens").alias("i"), zero("output_tokens").alias("o"))
-    p = parsed.select(F.col("session_id").alias("id"), "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "failed_lines")
+    stubs = F.col("stub_lines") if "stub_lines" in parsed.columns else F.lit(0).cast("long")
+    p = parsed.select(F.col("session_id").alias("id"), "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "failed_lines", stubs.alias("stub_lines"))
     outcome = (
         F.when(~F.col("source").isin(*supported), "unsupported")
         .when(F.col("input_tokens").isNull(), "unreadable")
@@ -193,17 +194,15 @@ def backfill_outcomes(a: Archive, parsed: DataFrame, supported: tuple[str, ...])
         .when(zero("cache_read_tokens") + zero("cache_write_tokens") == 0, "no cache usage")
         .otherwise("repaired")
     )
-    return own.join(p, "id", "left").select("id", outcome.alias("outcome"), "cache_read_tokens", "cache_write_tokens")
+    return own.join(p, "id", "left").select(
+        "id", outcome.alias("outcome"), "cache_read_tokens", "cache_write_tokens", F.col("i").alias("seen_input"), F.col("o").alias("seen_output"), F.coalesce("stub_lines", F.lit(0)).alias("stub_lines")
+    )
 
 
 def apply_backfill(sessions: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Counters of repaired sessions written, only where they are still zero."""
-    fixed = outcomes.filter("outcome = 'repaired'").select("id", F.col("cache_read_tokens").alias("_r"), F.col("cache_write_tokens").alias("_w"))
-    free = (zero("cache_read_tokens") == 0) & (zero("cache_write_tokens") == 0) & F.col("_r").isNotNull()
-    rows = sessions.join(fixed, "id", "left")
-    return rows.select(
-        *[
-            F.when(free, F.col("_r")).otherwise(F.col(c)).alias(c) if c == "cache_read_tokens" else F.when(free, F.col("_w")).otherwise(F.col(c)).alias(c) if c == "cache_write_tokens" else F.col(c)
-            for c in sessions.columns
-        ]
-    )
+    """Counters of repaired sessions written, only where the session still is as it was when the outcome was found."""
+    fixed = outcomes.filter("outcome = 'repaired'").select("id", F.col("cache_read_tokens").alias("_r"), F.col("cache_write_tokens").alias("_w"), "seen_input", "seen_output")
+    same = (zero("input_tokens") == F.col("seen_input")) & (zero("output_tokens") == F.col("seen_output"))
+    free = (zero("cache_read_tokens") == 0) & (zero("cache_write_tokens") == 0) & F.coalesce(same, F.lit(False))
+    new = {"cache_read_tokens": F.col("_r"), "cache_write_tokens": F.col("_w")}
+    return sessions.join(fixed, "id", "left").select(*[F.when(free, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in sessions.columns])
