@@ -130,6 +130,49 @@ def test_index_and_bookkeeping_follow(spark, home, tmp_path_factory):
     assert lake.sync(sources, everything=True) == 4
 
 
+def test_agents_their_parents_and_what_is_read_again(spark, home, tmp_path_factory):
+    from turnlake.operators.integrity import reparse_selection
+    from turnlake.sources.generations import keys
+
+    root, sources = home
+    folder = root / "claude" / "projects" / "-w-app"
+    beside, third = folder / PARENT / "subagents", "22222222-89ab-cdef-0123-456789abcdef"
+    (beside / "agent-a1.meta.json").write_text('{"agentType":"search","description":"looks","toolUseId":"c1","spawnDepth":1,"more":[1]}')
+    put(beside / "agent-a2.jsonl", [said(PARENT, 0, "badly described", cwd="/else")])
+    (beside / "agent-a2.meta.json").write_text('{"agentType":"plan","spawnDepth":"deep"}')
+    # a parent that has a folder and no turn; one that is not there
+    put(folder / f"{third}.jsonl", ["broken", {"type": "mode"}, {"type": "snapshot", "cwd": "/w/third/.claude/worktrees/x"}])
+    put(folder / third / "subagents" / "agent-b.jsonl", [said(third, 0, "an agent before its parent", cwd="/else")])
+    put(folder / "gone" / "subagents" / "agent-c.jsonl", [said("gone", 0, "alone", cwd="/alone")])
+    lake = SyncedArchive(spark, str(tmp_path_factory.mktemp("synced")))
+    assert lake.sync(sources) == 7
+    a = lake.archive()
+    name = lambda p, x: f"claude-code:{p}:{x}"
+    agents = {r.id: (r.project_path, r.agent_type, r.agent_description, r.agent_call_id, r.spawn_depth) for r in a.sessions.filter("parent_session_id is not null").collect()}
+    assert agents == {
+        name(PARENT, "a1"): ("/w/app", "search", "looks", "c1", 1), name(PARENT, "a2"): ("/w/app", None, None, None, None),
+        name(third, "b"): ("/w/third", None, None, None, None), name("gone", "c"): ("/alone", None, None, None, None),
+    }
+    assert reparse_selection(a).isEmpty() and lake.sync(sources, mend=True) == 0
+
+    # as an older run may have left it: one session short of turns, one agent elsewhere or nowhere, one whose file is gone
+    before = state(a)
+    short, lost = F.col("id") == OTHER, F.col("id") == "jeff:c"
+    astray, nowhere = F.col("id") == name(PARENT, "a1"), F.col("id") == name(PARENT, "a2")
+    worse = a.sessions.withColumn("turn_count", F.when(short | lost, F.lit(9).cast("long")).otherwise(F.col("turn_count"))).withColumn(
+        "project_id", F.when(astray, F.lit(1).cast("long")).when(~nowhere, F.col("project_id"))
+    ).withColumn("project_path", F.when(astray, "/else").otherwise(F.col("project_path")))
+    tables = {"sessions": (worse.drop("spawn_depth"), []), "turns": (a.turns, ["month"]), "tool_uses": (a.tool_uses, []), "source_files": (a.source_files.drop("generation"), [])}
+    lake._tables.write(tables, keys(a.sessions, "id").unionByName(keys(a.source_files, "path", "file")), whole=True)
+    (root / "jeff" / "sessions" / "one.jsonl").unlink()
+    chosen = {r.session_id: (r.short, r.strayed) for r in reparse_selection(lake.archive()).collect()}
+    assert chosen == {OTHER: (True, False), "jeff:c": (True, False), name(PARENT, "a1"): (False, True), name(PARENT, "a2"): (False, True)}
+    assert lake.sync(sources) == 0 and lake.sync(sources, mend=True) == 3
+    sessions, turns = state(lake.archive())
+    assert sessions.pop("jeff:c")[2] == 9 and before[0].pop("jeff:c") and (sessions, turns) == before
+    assert lake.archive().sessions.filter(astray).first().spawn_depth == 1
+
+
 def test_linked_folders_give_one_session(spark, tmp_path):
     head = {"type": "session", "id": "p1", "cwd": "/w", "provider": "p", "modelId": "m", "timestamp": "2026-01-01T00:00:00Z"}
     message = {"type": "message", "id": "1", "timestamp": "2026-01-01T00:00:05Z", "message": {"role": "user", "content": "hello"}}

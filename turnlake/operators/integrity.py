@@ -86,6 +86,35 @@ def needs_sync(on_disk: DataFrame, known: DataFrame) -> DataFrame:
     return rows.filter(F.col("mtime").isNull() | (F.col("disk_mtime") > F.col("mtime"))).drop("mtime")
 
 
+def strayed_agents(sessions: DataFrame) -> DataFrame:
+    """Ids of subagents' sessions that lie in another project than the session that started them.
+
+    A parent is named by its id, or by an id whose last part it is; where both
+    are sessions, the whole id counts. Without its parent a session has not strayed.
+    """
+    named = F.col("parent_session_id")
+    either = F.array_distinct(F.array(named, F.element_at(F.split(named, ":"), -1)))
+    agents = sessions.filter(named.isNotNull()).select("id", "project_id", named.alias("_whole"), F.explode(either).alias("_parent"))
+    parents = sessions.select(F.col("id").alias("_parent"), F.struct(F.col("project_id").alias("p")).alias("_theirs"))
+    met = agents.join(parents, "_parent").groupBy("id").agg(
+        F.first("project_id").alias("_own"), F.max_by("_theirs", F.col("_parent") == F.col("_whole")).alias("_theirs")
+    )
+    return met.filter(~F.col("_own").eqNullSafe(F.col("_theirs.p"))).select("id")
+
+
+def reparse_selection(a: Archive) -> DataFrame:
+    """Transcripts to read again although they have not changed: (path, source, session_id, short, strayed).
+
+    Short are sessions whose counter differs from their turns, strayed are
+    subagents that lie in another project than their parent. A transcript is
+    met by path and source, since two sources may hold the same path.
+    """
+    strayed = strayed_agents(a.sessions).withColumn("strayed", F.lit(True))
+    rows = counted_turns(a).select("id", (F.col("claimed") != F.col("held")).alias("short"), F.col("source_file").alias("path"), "source")
+    rows = rows.join(strayed, "id", "left").withColumn("strayed", F.coalesce("strayed", F.lit(False))).filter("short or strayed")
+    return rows.join(a.source_files.select("path", "source"), ["path", "source"]).select("path", "source", F.col("id").alias("session_id"), "short", "strayed")
+
+
 def rewritten_sessions(stored: DataFrame, incoming_turns: DataFrame) -> DataFrame:
     """Sessions whose stored last turn (id, last_entry_uuid) is missing from a new reading that has the session."""
     fresh = incoming_turns.select(F.col("session_id").alias("id")).distinct()

@@ -10,7 +10,8 @@ from turnlake.operators.analytics import COUNTERS, zero
 from turnlake.sources.archive import Archive
 
 ALWAYS = ("ended_at", "turn_count", *COUNTERS, "has_error", "has_subagent", "source")
-IF_POSITIVE, IF_KNOWN, IF_FILLED = ("project_id",), ("parent_session_id", "last_entry_uuid", "model"), ("source_file",)
+AGENT = ("agent_type", "agent_description", "agent_call_id", "spawn_depth")
+IF_POSITIVE, IF_KNOWN, IF_FILLED = ("project_id",), ("parent_session_id", "last_entry_uuid", "model", *AGENT), ("source_file",)
 
 
 def session_upsert(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -305,6 +305,10 @@ query("turn_count_reconcile", _HELD + "SELECT id, claimed, held FROM counted WHE
 query("turn_drift", _ON + _HELD + """SELECT CASE WHEN disk_mtime IS NULL THEN 'transcript gone' WHEN mtime IS NOT NULL AND disk_mtime <= mtime THEN 'unstorable' ELSE 'unparsed' END AS cause,
   count(*) AS sessions, CAST(sum(claimed) AS BIGINT) AS claimed, CAST(sum(held) AS BIGINT) AS held FROM counted c LEFT JOIN source_files f ON f.path = c.source_file AND f.source = c.source
   LEFT JOIN disk ON disk.path = c.source_file WHERE claimed <> held GROUP BY 1""")(lambda a: it.turn_drift(a, _DISK(a)))
+query("reparse_selection", _HELD + """, strayed AS (SELECT s.id FROM sessions s JOIN sessions p ON p.id = s.parent_session_id WHERE s.project_id IS DISTINCT FROM p.project_id)
+SELECT f.path, f.source, c.id AS session_id, claimed <> held AS short, t.id IS NOT NULL AS strayed FROM counted c JOIN source_files f ON f.path = c.source_file AND f.source = c.source
+  LEFT JOIN strayed t ON t.id = c.id WHERE claimed <> held OR t.id IS NOT NULL""")(it.reparse_selection)
+query("strayed_agents", "SELECT s.id FROM sessions s JOIN sessions p ON p.id = s.parent_session_id WHERE s.project_id IS DISTINCT FROM p.project_id")(lambda a: it.strayed_agents(a.sessions))
 query("cache_coverage", """SELECT count(*) AS sessions, count(*) FILTER (coalesce(cache_read_tokens, 0) > 0 OR coalesce(cache_write_tokens, 0) > 0) AS with_cache,
   count(*) FILTER ((coalesce(input_tokens, 0) > 0 OR coalesce(output_tokens, 0) > 0) AND NOT (coalesce(cache_read_tokens, 0) > 0 OR coalesce(cache_write_tokens, 0) > 0)) AS spent_without_cache,
   CAST(coalesce(sum(cache_read_tokens), 0) AS BIGINT) AS cache_read_tokens, CAST(coalesce(sum(cache_write_tokens), 0) AS BIGINT) AS cache_write_tokens FROM sessions""")(it.cache_coverage)

@@ -30,12 +30,13 @@ class Generations:
         self.note = rows[-1].note if rows else None
         self._last = rows[-1].generation if rows else 0
 
-    def _stored(self, name: str) -> DataFrame:
-        return self.spark.read.option("basePath", f"{self.folder}/{name}").parquet(*[f"{self.folder}/{name}/generation={g}" for g in self.numbers])
+    def _stored(self, name: str, schema: str | None = None) -> DataFrame:
+        reader = self.spark.read.schema(schema) if schema else self.spark.read
+        return reader.option("basePath", f"{self.folder}/{name}").parquet(*[f"{self.folder}/{name}/generation={g}" for g in self.numbers])
 
-    def live(self, name: str, key: str = "session_id", scope: str = "session") -> DataFrame:
-        """Rows of a table that belong to the newest generation of their key."""
-        rows = self._stored(name)
+    def live(self, name: str, key: str = "session_id", scope: str = "session", schema: str | None = None) -> DataFrame:
+        """Rows of a table that belong to the newest generation of their key; columns of the schema that a generation lacks are null."""
+        rows = self._stored(name, schema)
         if len(self.numbers) == 1:
             return rows
         newest = self._stored("touched").filter(F.col("scope") == scope).groupBy(F.col("key").alias(key)).agg(F.max("generation").alias("generation"))

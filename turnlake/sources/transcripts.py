@@ -449,11 +449,31 @@ def history(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("time", F.timestamp_millis("timestamp"))
 
 
+def described(found: DataFrame) -> DataFrame:
+    """Agent descriptions (path, value) by their transcript's path; one that is unreadable in any part is empty in all."""
+    fields = "agentType string, description string, toolUseId string, spawnDepth int"
+    meta = F.from_json("value", f"{fields}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    rows = found.select(F.regexp_replace("path", r"\.meta\.json$", ".jsonl").alias("path"), meta.alias("m"))
+    return rows.withColumn("m", F.when(F.col("m._bad").isNull(), F.col("m"))).select("path", "m.*").drop("_bad")
+
+
 def sidecars(spark: SparkSession, root: str) -> DataFrame:
-    """Agent descriptions beside subagent files, by the transcript's path; unreadable ones are empty."""
-    found = files(spark, root, "agent-*.meta.json")
-    meta = F.from_json("value", "agentType string, description string, toolUseId string, spawnDepth int")
-    return found.select(F.regexp_replace("path", r"\.meta\.json$", ".jsonl").alias("path"), meta.alias("m")).select("path", "m.*")
+    """The descriptions of all agents below a folder."""
+    return described(files(spark, root, "agent-*.meta.json"))
+
+
+def listed_sidecars(spark: SparkSession, root: str) -> DataFrame:
+    """(path, meta): the description files below a folder by their transcript's path, as ``listed`` names it; none is opened."""
+    try:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "agent-*.meta.json").load(root)
+    except AnalysisException:
+        return spark.createDataFrame([], "path string, meta string")
+    return found.select(F.regexp_replace("_metadata.file_path", r"\.meta\.json$", ".jsonl").alias("path"), F.col("path").alias("meta"))
+
+
+def parent_path(path: Column) -> Column:
+    """The transcript of the session that started the agent of a file; null for other files."""
+    return F.when(F.rlike(path, F.lit(r"[^/]/subagents/[^/]+\.jsonl$")), F.regexp_replace(path, r"/subagents/[^/]+$", ".jsonl"))
 
 
 def parent_folder(rows: DataFrame, most: int = 200) -> DataFrame:

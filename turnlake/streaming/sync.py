@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
+from turnlake.functions import paths as pt
 from turnlake.functions.periods import month_of
-from turnlake.operators.integrity import needs_sync
+from turnlake.operators.integrity import needs_sync, reparse_selection
 from turnlake.operators.text_index import TextIndex
 from turnlake.operators.writes import own_number, session_upsert
 from turnlake.sources import sessions as ss
@@ -29,7 +30,7 @@ from turnlake.sources.generations import Generations, keys
 _SESSIONS = (
     "id string, project_id long, started_at timestamp, ended_at timestamp, model string, source string, turn_count long, input_tokens long, output_tokens long, "
     "cache_read_tokens long, cache_write_tokens long, parent_session_id string, source_file string, has_error boolean, has_subagent boolean, last_entry_uuid string, "
-    "git_branch string, project_path string"
+    "git_branch string, project_path string, agent_type string, agent_description string, agent_call_id string, spawn_depth int"
 )
 _FILES = "path string, source string, mtime timestamp, session_id string"
 
@@ -63,7 +64,7 @@ class SyncedArchive:
         return self._tables.live("source_files", "path", "file") if self.exists else self.spark.createDataFrame([], _FILES)
 
     def _sessions(self) -> DataFrame:
-        return self._tables.live("sessions", "id").drop("generation") if self.exists else self.spark.createDataFrame([], _SESSIONS)
+        return self._tables.live("sessions", "id", schema=_SESSIONS).drop("generation") if self.exists else self.spark.createDataFrame([], _SESSIONS)
 
     def archive(self) -> Archive:
         """The archive as of the last finished run. Projects follow from their sessions, so their counters always agree."""
@@ -92,13 +93,39 @@ class SyncedArchive:
         rows = reduce(DataFrame.unionByName, [p.withColumn("_order", F.lit(k)) for k, p in enumerate(parts)])
         return rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "_order")
 
-    def sync(self, sources: list[dict], everything: bool = False) -> int:
-        """Read new and changed transcripts; the number of sessions written. With ``everything``, all are read again."""
+    def _agents(self, sources: list[dict], files: DataFrame) -> DataFrame:
+        """(path, agent_type, ...) of the agents' files that have a description beside them."""
+        roots = sorted({s["path"] for s in sources if s["type"] in ("claude-code", "nanoclaw")})
+        beside = [tr.listed_sidecars(self.spark, r) for r in roots]
+        metas: list[str] = []
+        if beside:
+            rows = reduce(DataFrame.unionByName, beside).dropDuplicates(["path"]).join(files.select("path"), "path", "left_semi")
+            metas = [r.meta for r in rows.select("meta").toLocalIterator()]
+        return tr.described(tr.contents(self.spark, metas)).select(
+            "path", F.nullif("agentType", F.lit("")).alias("agent_type"), F.col("description").alias("agent_description"),
+            F.col("toolUseId").alias("agent_call_id"), F.col("spawnDepth").alias("spawn_depth"),
+        )
+
+    def _parents_folders(self, orphans: DataFrame, listing: DataFrame) -> DataFrame:
+        """(_file, _c): the folder that the first lines of a parent's transcript name, for agents whose parent is no session."""
+        rows = listing.filter("kind = 'claude-code'").join(orphans.select(F.col("_file").alias("path")), "path", "left_semi")
+        found = tr.contents(self.spark, [r.file for r in rows.select("file").toLocalIterator()])
+        return tr.parent_folder(tr.lines(found)).select(F.col("path").alias("_file"), pt.canonical(F.col("cwd")).alias("_c"))
+
+    def sync(self, sources: list[dict], everything: bool = False, mend: bool = False) -> int:
+        """Read new and changed transcripts; the number of sessions written.
+
+        With ``everything``, all are read again; with ``mend``, also those that
+        ``reparse_selection`` names, as far as they are still there.
+        """
         listing = self.listed(sources)
         changed = listing
         if self.exists and not everything:
             stale = needs_sync(listing.select("path", F.col("mtime").alias("disk_mtime")), self._files().select("path", "mtime"))
-            changed = listing.join(stale.select("path"), "path", "left_semi")
+            paths = stale.select("path")
+            if mend:
+                paths = paths.unionByName(reparse_selection(self.archive()).join(listing.select("path", "source"), ["path", "source"], "left_semi").select("path"))
+            changed = listing.join(paths, "path", "left_semi")
         # paths only, as Spark's own listing of the folders holds them on the driver as well
         names: dict[str, list[str]] = {}
         for r in changed.select("kind", "file").toLocalIterator():
@@ -118,8 +145,12 @@ class SyncedArchive:
         # an agent's project is its parent's, from this run or from the archive
         parents = sessions.select(F.col("id").alias("_parent"), F.coalesce("cwd", "_home").alias("_a"))
         before = stored.select(F.col("id").alias("_parent"), F.col("project_path").alias("_b"))
-        home = F.coalesce("_a", "_b", F.nullif("cwd", F.lit("")), "_home")
-        sessions = sessions.withColumn("_parent", F.element_at(F.split("parent_session_id", ":"), -1)).join(parents, "_parent", "left").join(before, "_parent", "left")
+        home = F.coalesce("_a", "_b", "_c", F.nullif("cwd", F.lit("")), "_home")
+        sessions = sessions.withColumn("_parent", F.element_at(F.split("parent_session_id", ":"), -1)).withColumn("_file", tr.parent_path(F.col("path")))
+        sessions = sessions.join(parents, "_parent", "left").join(before, "_parent", "left")
+        # else the one that its parent's transcript names, which may have no turn yet
+        orphans = sessions.filter("_file is not null and _a is null and _b is null").select("_file").distinct()
+        sessions = sessions.join(self._parents_folders(orphans, listing), "_file", "left").join(self._agents(sources, changed), "path", "left")
         fresh = sessions.withColumn("project_path", home).withColumn("project_id", own_number("project_path")).withColumn("source_file", F.col("path"))
         chosen = fresh.select("id", "path")
         columns = stored.columns
