@@ -283,3 +283,63 @@ def test_a_text_too_long_to_learn_from_ends_no_sample(spark, monkeypatch):
     assert len(model.index)
     judged = toxicity.score(docs, model).join(docs, "doc_id").collect()
     assert all((r.score >= 0.5) == bool(r.toxic) for r in judged)
+
+
+# -- op7
+
+
+def test_pages_without_written_heads_and_quoted_ends():
+    from turnlake.llm import warc
+
+    assert warc.plain_text("<html><head><title>T</title><p>visible") == "visible"
+    assert warc.plain_text("<title>T</title>no tags <b>at all") == "no tags at all"
+    assert warc.plain_text("<head><meta name=x><link rel=y>seen</head><body>too") == "seen\ntoo"
+    assert warc.plain_text("<p title='a>b'>c<p data-x=\"d>e\">f") == "c\nf"
+    assert warc.plain_text("<p it's>plain</p>don't") == "plain\ndon't"
+    assert warc.plain_text("<p title='never closed>x</p>y") == "x\ny"
+    assert warc.plain_text("a<script>no</script x>b<template-like>c</template-like><TITLE>n</TiTlE >d") == "ab\nc\nd"
+    assert warc.plain_text("") == warc.plain_text("<script>") == warc.plain_text("<title>open") == ""
+    page = "<html data-lang=no xml:lang='de'><title >a &amp;\n <b></title><title>second</title><a title='>' href=\"/x?a=1&amp;b\">l</a><a href=/x?a=1&b>m</a>"
+    assert warc.page_facts(page, "http://h/") == ("a & <b>", "de", ["http://h/x?a=1&b"])
+
+
+@pytest.mark.parametrize("unit", ["<title>", "<html ", "<a href='", '<p title=">', "<script>", "</script ", "<!--", "<a =", "</title", "<", "=\"", "<html lang  ", "x&"])
+def test_long_pages_take_linear_time(unit):
+    import time
+
+    from turnlake.llm import warc
+
+    page = unit * (2_000_000 // len(unit))
+    start = time.monotonic()
+    warc.plain_text(page), warc.page_facts(page, "http://h/")
+    assert time.monotonic() - start < 20
+
+
+def test_codings_of_responses_are_undone():
+    import gzip
+    import zlib
+
+    from turnlake.llm import warc
+
+    page = "<p>caf\u00e9 " + "word " * 40_000
+    plain = page.encode()
+    chunks = lambda b, n=1000: b"".join(b"%x;note=1\r\n%s\r\n" % (len(b[i : i + n]), b[i : i + n]) for i in range(0, len(b), n)) + b"0\r\nTrailer: x\r\n\r\n"
+    raw = zlib.compressobj(wbits=-15)
+    cases = [
+        ("X-None: 1", plain), ("Content-Encoding: gzip", gzip.compress(plain)), ("content-encoding: x-gzip", gzip.compress(plain[:99]) + b"\0" * 40_000 + gzip.compress(plain[99:])),
+        ("Content-Encoding: deflate", zlib.compress(plain)), ("Content-Encoding: deflate", raw.compress(plain) + raw.flush()), ("Transfer-Encoding: chunked", chunks(plain)),
+        ("Transfer-Encoding: chunked\r\nContent-Encoding: gzip", chunks(gzip.compress(plain), 7)), ("Content-Encoding: deflate, gzip", gzip.compress(zlib.compress(plain))),
+        # not coded as named, or in a way that is not known
+        ("Content-Encoding: gzip\r\nTransfer-Encoding: chunked", plain), ("Content-Encoding: other", plain), ("Content-Encoding: deflate", plain),
+    ]
+    for header, payload in cases:
+        block = f"HTTP/1.1 200 OK\r\n{header}\r\nContent-Type: text/html; charset=utf-8\r\n\r\n".encode() + payload
+        source = dict.fromkeys(warc._ARROW.names) | {"record_id": "r", "fields": [], "block": block}
+        metadata, conversion = warc.derivatives(source)
+        assert conversion["block"].decode() == warc.plain_text(page), header
+        assert {f["value"] for f in metadata["fields"]} == {warc.digest(payload)}
+    # what a cut-off response holds is kept
+    assert len(warc.body(gzip.compress(plain)[:-20], [("Content-Encoding", "gzip")])) > 1000
+    assert warc.unchunked(chunks(plain)[:-3000]) in plain and warc.unchunked(b"") == b"" == warc.unzipped(b"")
+    # many members take one pass
+    assert warc.unzipped(gzip.compress(b"x" * 500) * 50_000) == b"x" * 25_000_000

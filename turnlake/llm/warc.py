@@ -14,6 +14,8 @@ Defined results: a null or empty page is a response with an empty payload; its
 conversion has an empty block. A null URL is an empty target. A response block
 without an HTTP header is all payload. Payloads are read in the charset of their
 Content-Type, else as UTF-8, however long; a file is one task's, of 2 GB at most. Records of other types are left out.
+Chunks and content codings (gzip, deflate) that the header names are undone before text is read; a payload that is not
+coded as named, or in another way, is read as it is. Digests are always those of the stored bytes.
 Repeated rows give repeated records with the same ids; an empty table gives an
 empty result. Only the named columns are read.
 """
@@ -55,14 +57,18 @@ _ARROW = pa.schema(
     + [("fields", pa.list_(_FIELD)), ("block", pa.binary())]
 )
 
+#: A tag's attributes; ``>`` in a quoted value does not end the tag, a quote that is never closed is a character like others.
+_ATTRIBUTES = r"""(?:[^>=]|=\s*"[^"]*"|=\s*'[^']*'|=)*+"""
+#: Comments, elements whose content is no visible markup, tags, declarations. Each alternative runs to its end or the
+#: page's, so that no character is tried again from an earlier start.
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|title)(?=[\s/>]){_ATTRIBUTES}>?(?P<inside>.*?)(?:</(?P=raw)(?=[\s/>])[^>]*(?:>|\Z)|\Z)"
+    rf"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>{_ATTRIBUTES})(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 #: Elements that do not break a line.
 _INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i kbd mark q s samp small span strong sub sup time u var wbr".split())
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LANG = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z0-9-]+)""", re.I)
+_LANG = re.compile(r"""(?<![\w-])lang\s*=\s*["']?([A-Za-z0-9-]+)""", re.I)
 _HREF = re.compile(r"""\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"[ \t\r\n\f\v ]+")
 
@@ -78,38 +84,38 @@ def record_id(*parts: str) -> str:
 
 
 def plain_text(page: str) -> str:
-    """Visible text: a line for each block element, spaces collapsed."""
-    out, at, hidden = [], 0, 0
+    """Visible text: a line for each block element, spaces collapsed.
+
+    A title is not part of it. Whatever else stands in a head is no text, and text there ends the head, written or not.
+    """
+    out, at = [], 0
     for m in _TAG.finditer(page):
-        if not hidden:
-            out.append(html.unescape(page[at : m.start()]).replace("\n", " "))
+        out.append(html.unescape(page[at : m.start()]).replace("\n", " "))
         at = m.end()
-        name = (m[3] or "").lower()
-        if name in ("title", "head"):
-            hidden = max(0, hidden + (-1 if m[2] else 1))
-        elif name == "body" and not m[2]:
-            hidden = 0
-        elif name and name not in _INLINE:
+        if m["name"] and m["name"].lower() not in _INLINE:
             out.append("\n")
-    if not hidden:
-        out.append(html.unescape(page[at:]).replace("\n", " "))
+    out.append(html.unescape(page[at:]).replace("\n", " "))
     lines = (_SPACE.sub(" ", line).strip(" ") for line in "".join(out).split("\n"))
     return "\n".join(line for line in lines if line)
 
 
 def page_facts(page: str, base: str) -> tuple[str, str, list[str]]:
-    """(title, language, absolute links without repeats) of a page."""
-    title, lang = _TITLE.search(page), _LANG.search(page)
+    """(title, language, absolute links without repeats) of a page; the first title and the first language that ``html`` names."""
+    title, lang = None, ""
     links: dict[str, None] = {}
     for m in _TAG.finditer(page):
-        if m[3] and m[3].lower() == "a" and not m[2] and (h := _HREF.search(m[4])):
+        name = (m["name"] or "").lower()
+        if title is None and (m["raw"] or "").lower() == "title":
+            title = _SPACE.sub(" ", html.unescape(m["inside"])).strip(" ")
+        elif name == "html" and not lang and not m["end"] and (found := _LANG.search(m["attributes"])):
+            lang = found[1]
+        elif name == "a" and not m["end"] and (h := _HREF.search(m["attributes"])):
             target = html.unescape(h[1] or h[2] or h[3] or "").strip()
             try:
                 links.setdefault(urljoin(base, target))
             except ValueError:
                 links.setdefault(target)
-    clean = _SPACE.sub(" ", html.unescape(title[1])).strip(" ") if title else ""
-    return clean, lang[1] if lang else "", list(links)
+    return title or "", lang, list(links)
 
 
 def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
@@ -122,6 +128,64 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return lines[0], pairs, payload
 
 
+_STEP = 1 << 14
+
+
+def _inflated(data: bytes, window: int) -> bytes:
+    """The content of all members; of a cut-off or broken one what can be read of it, and nothing after it."""
+    view, at, out = memoryview(data), 0, []
+    while at < len(view):
+        member = zlib.decompressobj(window)
+        try:
+            while not member.eof and at < len(view):
+                part = view[at : at + _STEP]
+                out.append(member.decompress(part))
+                at += len(part) - len(member.unused_data)
+        except zlib.error:
+            break
+        while at < len(view) and not (ahead := view[at : at + _STEP].tobytes().lstrip(b"\0")):
+            at += _STEP
+        if at >= len(view) or not member.eof or window != 31:
+            break
+        at += len(view[at : at + _STEP]) - len(ahead)
+        if bytes(view[at : at + 2]) != b"\x1f\x8b":
+            break
+    return b"".join(out)
+
+
+def unzipped(data: bytes) -> bytes:
+    """The content of all gzip members, as far as they can be read."""
+    return _inflated(data, 31) if data[:2] == b"\x1f\x8b" else b""
+
+
+_SIZE = re.compile(rb"[ \t]*([0-9A-Fa-f]{1,15})[ \t]*(?:;[^\r\n]*)?\r\n")
+
+
+def unchunked(data: bytes) -> bytes:
+    """The body that chunks carry, as far as it goes; bytes that do not start with a chunk are given back."""
+    out, at = [], 0
+    while size := _SIZE.match(data, at):
+        n = int(size[1], 16)
+        out.append(data[size.end() : size.end() + n])
+        at = size.end() + n + 2
+        if not n:
+            break
+    return b"".join(out) if out else data
+
+
+def body(payload: bytes, headers: list[tuple[str, str]]) -> bytes:
+    """The payload without the transfer and content codings that its header names, last one first."""
+    named = lambda header: [c.strip().lower() for name, value in headers if name.lower() == header for c in value.split(",")]
+    for coding in reversed(named("content-encoding") + named("transfer-encoding")):
+        if coding == "chunked":
+            payload = unchunked(payload)
+        elif coding in ("gzip", "x-gzip"):
+            payload = unzipped(payload) or payload
+        elif coding == "deflate":
+            payload = _inflated(payload, 15) or _inflated(payload, -15) or payload
+    return payload
+
+
 _CHARSET = re.compile(r"""charset\s*=\s*["']?([A-Za-z0-9_.:-]+)""", re.I)
 
 
@@ -148,7 +212,7 @@ def _response(key: str, url: str, page: str, date: str) -> dict:
 def derivatives(source: dict) -> list[dict]:
     """The metadata and the conversion record of one response record."""
     status, headers, payload = split_http(source["block"] or b"")
-    page, target = decoded(payload, headers), source["target_uri"] or ""
+    page, target = decoded(body(payload, headers), headers), source["target_uri"] or ""
     title, lang, links = page_facts(page, target)
     facts = [("source-status", status)] if status else []
     facts += [(f"source-{name.lower()}", value) for name, value in headers]
@@ -220,21 +284,6 @@ def to_bytes(record: dict) -> bytes:
     return b"WARC/1.1\r\n" + lines.encode("utf-8", "surrogatepass") + b"\r\n" + block + b"\r\n\r\n"
 
 
-def unzipped(data: bytes) -> bytes:
-    """The content of all gzip members; of a cut-off or broken member what can be read of it, and nothing after it."""
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        try:
-            out.append(member.decompress(data))
-        except zlib.error:
-            break
-        if not member.eof:
-            break
-        data = member.unused_data.lstrip(b"\0")
-    return b"".join(out)
-
-
 def parse(data: bytes) -> Iterator[dict]:
     """The records of a WARC file, plain or of gzip members; a cut-off last record is left out."""
     if data[:2] == b"\x1f\x8b":
