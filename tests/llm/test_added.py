@@ -285,6 +285,22 @@ def test_a_text_too_long_to_learn_from_ends_no_sample(spark, monkeypatch):
     assert all((r.score >= 0.5) == bool(r.toxic) for r in judged)
 
 
+# -- op9
+
+
+def test_hosts_of_many_labels_cost_as_many_as_the_rules_have(spark):
+    from turnlake.llm import urlfilter
+
+    junk = "." * 300_000
+    urls = [(1, f"http://{junk}org/x"), (2, f"http://{junk}a.example.org/es/1"), (3, f"http://{junk}"), (4, "http://org/"), (5, "http://es.example.org/en/1"), (6, "http://.fr.com/de/")]
+    rules = urlfilter.rules_frame(spark, queries.URL_RULES)
+    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge_urls(spark.createDataFrame(urls, "page_id long, url string"), rules).collect()}
+    assert got == {1: ("org/", "allow"), 2: ("example.org/es/", "block"), 3: (None, "allow"), 4: ("org/", "allow"), 5: ("example.org/en/1", "block"), 6: ("com/de/", "block")}
+    deep = urlfilter.rules_frame(spark, [("a.b.c.d", "/", "block"), ("d", "/", "allow"), ("", "/", "block")])
+    got = {r.page_id: r.rule for r in urlfilter.judge_urls(spark.createDataFrame([(1, "x://z.a.b.c.d/"), (2, "x://b.c.d/"), (3, "x:///")], "page_id long, url string"), deep).collect()}
+    assert got == {1: "a.b.c.d/", 2: "d/", 3: "/"}
+
+
 # -- op7
 
 

@@ -40,11 +40,12 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and every parent domain of it."""
+def host_suffixes(host: Column, most: int | None = None) -> Column:
+    """The host and every parent domain of it; with ``most``, only those of so many labels at most."""
     labels = F.split(host, r"\.", -1)
+    first = F.lit(1) if most is None else F.greatest(F.size(labels) - F.lit(most - 1), F.lit(1))
     return F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
+        F.sequence(first, F.size(labels)),
         lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
     )
 
@@ -59,22 +60,26 @@ def judge_urls(
     """id, host, path, rule (null where none fits) and verdict of each row.
 
     The expansion uses the distinct path lengths of the rules only; there are
-    never more of them than the longest rule path has characters. Distinct
-    (host, path) pairs are judged once, so that a hot URL costs one row.
+    never more of them than the longest rule path has characters. Of a host, only
+    suffixes with as many labels as some rule's host can match and are made, so
+    that a host of any length costs no more than that. Distinct (host, path)
+    pairs are judged once, so that a hot URL costs one row.
     """
     rule = rules.select(
         F.concat("host", "path").alias("rule"),
         F.col("action").alias("rule_action"),
         F.length("path").alias("path_length"),
+        F.size(F.split("host", r"\.", -1)).alias("labels"),
         F.sha2(F.concat_ws("\n", "host", "path"), 256).alias("rule_digest"),
     )
     rule = rule.groupBy("rule", "rule_digest").agg(
-        F.max("rule_action").alias("rule_action"), F.max("path_length").alias("path_length")
+        F.max("rule_action").alias("rule_action"), F.max("path_length").alias("path_length"), F.max("labels").alias("labels")
     )  # of equal rules a block wins
     rule = rule.withColumn("short", F.substring("rule_digest", 1, SHORT_DIGITS))
-    lengths, known = rule.agg(
-        F.sort_array(F.collect_set("path_length")), F.count(F.lit(1))
+    lengths, known, most = rule.agg(
+        F.sort_array(F.collect_set("path_length")), F.count(F.lit(1)), F.coalesce(F.max("labels"), F.lit(1))
     ).first()
+    rule = rule.drop("labels", "path_length")
     if known <= BROADCAST_RULES:
         rule = F.broadcast(rule)
 
@@ -85,7 +90,7 @@ def judge_urls(
     expressions = (
         split.select("host", "path")
         .distinct()
-        .select("host", "path", F.explode(host_suffixes(F.col("host"))).alias("suffix"))
+        .select("host", "path", F.explode(host_suffixes(F.col("host"), most)).alias("suffix"))
         .select(
             "host", "path", "suffix",
             F.explode(F.filter(size, lambda n: n <= F.length("path"))).alias("cut"),
