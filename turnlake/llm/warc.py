@@ -83,39 +83,48 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=name[:16], version=5)}>"
 
 
+def read_page(page: str, base: str = "") -> tuple[str, str, str, list[str]]:
+    """(text, title, language, links) of a page, in one pass."""
+    out, at, title, lang = [], 0, None, ""
+    links: dict[str, None] = {}
+    for m in _TAG.finditer(page):
+        if at < m.start():
+            out.append(page[at : m.start()])
+        at = m.end()
+        raw, inside, end, name, attributes = m.groups()
+        if name:
+            name = name.lower()
+            if name not in _INLINE:
+                out.append(None)
+            if end:
+                continue
+            if name == "a" and (h := _HREF.search(attributes)):
+                target = html.unescape(h[1] or h[2] or h[3] or "").strip()
+                try:
+                    links.setdefault(urljoin(base, target))
+                except ValueError:
+                    links.setdefault(target)
+            elif name == "html" and not lang and (found := _LANG.search(attributes)):
+                lang = found[1]
+        elif raw and title is None and raw.lower() == "title":
+            title = _SPACE.sub(" ", html.unescape(inside)).strip(" ")
+    out.append(page[at:])
+    joined = "".join("\n" if x is None else html.unescape(x).replace("\n", " ") for x in out)
+    lines = (_SPACE.sub(" ", line).strip(" ") for line in joined.split("\n"))
+    return "\n".join(line for line in lines if line), title or "", lang, list(links)
+
+
 def plain_text(page: str) -> str:
     """Visible text: a line for each block element, spaces collapsed.
 
     A title is not part of it. Whatever else stands in a head is no text, and text there ends the head, written or not.
     """
-    out, at = [], 0
-    for m in _TAG.finditer(page):
-        out.append(html.unescape(page[at : m.start()]).replace("\n", " "))
-        at = m.end()
-        if m["name"] and m["name"].lower() not in _INLINE:
-            out.append("\n")
-    out.append(html.unescape(page[at:]).replace("\n", " "))
-    lines = (_SPACE.sub(" ", line).strip(" ") for line in "".join(out).split("\n"))
-    return "\n".join(line for line in lines if line)
+    return read_page(page)[0]
 
 
 def page_facts(page: str, base: str) -> tuple[str, str, list[str]]:
     """(title, language, absolute links without repeats) of a page; the first title and the first language that ``html`` names."""
-    title, lang = None, ""
-    links: dict[str, None] = {}
-    for m in _TAG.finditer(page):
-        name = (m["name"] or "").lower()
-        if title is None and (m["raw"] or "").lower() == "title":
-            title = _SPACE.sub(" ", html.unescape(m["inside"])).strip(" ")
-        elif name == "html" and not lang and not m["end"] and (found := _LANG.search(m["attributes"])):
-            lang = found[1]
-        elif name == "a" and not m["end"] and (h := _HREF.search(m["attributes"])):
-            target = html.unescape(h[1] or h[2] or h[3] or "").strip()
-            try:
-                links.setdefault(urljoin(base, target))
-            except ValueError:
-                links.setdefault(target)
-    return title or "", lang, list(links)
+    return read_page(page, base)[1:]
 
 
 def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
@@ -213,14 +222,14 @@ def derivatives(source: dict) -> list[dict]:
     """The metadata and the conversion record of one response record."""
     status, headers, payload = split_http(source["block"] or b"")
     page, target = decoded(body(payload, headers), headers), source["target_uri"] or ""
-    title, lang, links = page_facts(page, target)
+    shown, title, lang, links = read_page(page, target)
     facts = [("source-status", status)] if status else []
     facts += [(f"source-{name.lower()}", value) for name, value in headers]
     facts += [(f"source-{f['name'].lower()}", f["value"]) for f in source["fields"] or []]
     facts += [("title", title), ("language", lang), *(("outlink", x) for x in links)]
     one_line = lambda v: v.replace("\r", " ").replace("\n", " ")
     notes = "".join(f"{n}: {one_line(v)}\r\n" for n, v in facts).encode("utf-8", "surrogatepass")
-    text = plain_text(page).encode("utf-8", "surrogatepass")
+    text = shown.encode("utf-8", "surrogatepass")
     out = []
     for kind, content, block in (("metadata", "application/warc-fields", notes), ("conversion", "text/plain; charset=utf-8", text)):
         links_back = [("WARC-Source-Payload-Digest", source["payload_digest"] or digest(payload))]
