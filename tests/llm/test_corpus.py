@@ -234,10 +234,11 @@ def test_op3_on_the_table(spark, data):
     assert got == {i: (format(fps[i], "016x"), groups[i]) for i in fps}
 
 
-@pytest.mark.parametrize("small, leaders", [(2048, 1024), (256, 64), (6, 2)])
-def test_copies_planted_at_known_similarity(spark, monkeypatch, small, leaders):
+@pytest.mark.parametrize("small, leaders, size", [(2048, 1024, 1 << 26), (256, 64, 1 << 26), (6, 2, 1 << 26), (2048, 1024, 9000)])
+def test_copies_planted_at_known_similarity(spark, monkeypatch, small, leaders, size):
     monkeypatch.setattr(simhash, "SMALL", small)
     monkeypatch.setattr(simhash, "LEADERS", leaders)
+    monkeypatch.setattr(simhash, "GROUP_BYTES", size)
     rng = random.Random(8)
     prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
     rows, planted = [], {}
@@ -258,6 +259,24 @@ def test_copies_planted_at_known_similarity(spark, monkeypatch, small, leaders):
     assert all(i % 2 == 1 and got[i] == i - 1 for i in got if i < 1000)
 
 
+@pytest.mark.parametrize("leaders, size", [(5, 1 << 26), (1024, 200), (3, 90)])
+def test_first_of_a_group_are_its_least_ids(spark, monkeypatch, leaders, size):
+    monkeypatch.setattr(simhash, "LEADERS", leaders)
+    monkeypatch.setattr(simhash, "GROUP_BYTES", size)
+    monkeypatch.setattr(simhash, "SALTS", 3)
+    rng = random.Random(6)
+    rows = [(root, i, b"x" * rng.choice((0, 8, 16, 400))) for root in range(12) for i in rng.sample(range(1000), 25)]
+    want = set()
+    for root in range(12):
+        total = 0
+        for n, (_, i, s) in enumerate(sorted(r for r in rows if r[0] == root)):
+            if n < leaders and total <= size // 2:
+                want.add((root, i))
+            total += len(s)
+    frame = spark.createDataFrame(rows, "root long, _id long, shingles binary")
+    assert {tuple(r) for r in simhash._first(frame).collect()} == want
+
+
 def test_links_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(simhash, "LEAST_BLOCK", 50)
     rng = np.random.default_rng(4)

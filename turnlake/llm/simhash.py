@@ -48,8 +48,9 @@ QUARTERS = 8
 #: Least similarity of shingle sets of copies, and the radii that reach it: at 0.8 two texts differ in 10 of 64
 #: and 39 of 256 bits on average (deviations 3 and 6), and in more where they have few shingles.
 SIMILARITY, RADIUS, WIDE_RADIUS, WIDE = 0.8, 20, 72, 4
-#: Members of a group that are compared in one task, and those that decide first in a larger group.
-SMALL, LEADERS = 2048, 1024
+#: Members of a group that are compared in one task, and those that decide first in a larger group; bytes of
+#: their shingle sets that meet in a task, and parts in which a large group's first members are looked for.
+SMALL, LEADERS, GROUP_BYTES, SALTS = 2048, 1024, 64 << 20, 64
 #: Cells of the histogram of a set's hashes that bounds what two sets can share.
 CELLS = 512
 
@@ -339,15 +340,31 @@ def _decide(least: float):
     return run
 
 
+def _first(large: DataFrame) -> DataFrame:
+    """(root, _id) of the least ids of each group: ``LEADERS`` of them, or as many as fill half of ``GROUP_BYTES``.
+
+    Only ids and sizes are ordered. Each of ``SALTS`` parts of a group leaves out what cannot be among its first,
+    so that few rows of a group, however large, meet in the last step.
+    """
+    rows = large.select("root", "_id", F.octet_length("shingles").cast("long").alias("bytes")).withColumn("salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)))
+    for keys in (("root", "salt"), ("root",)):
+        order = Window.partitionBy(*keys).orderBy("_id")
+        rows = rows.withColumn("_r", F.row_number().over(order)).withColumn("_b", F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        # the row that fills the bytes stays, so that whatever follows a row left out here is left out below
+        rows = rows.filter((F.col("_r") <= LEADERS) & (F.col("_b") - F.col("bytes") <= GROUP_BYTES // 2)).drop("_r", "_b")
+    return rows.select("root", "_id")
+
+
 def copies(
     docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, radius: int = RADIUS, wide_radius: int = WIDE_RADIUS,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """(id, copy_of): documents to drop, each with one of a lesser id that stays and is that similar; ids are longs.
 
-    Texts of one shingle set are copies of the least id. Groups of linked texts up to ``SMALL`` are decided in a
-    task each; in larger ones the ``LEADERS`` least ids are decided, then all others against those that stay, in
-    parts, until the group is small. Rows with a null id are left out.
+    Texts of one shingle set are copies of the least id. Groups of linked texts up to ``SMALL`` members and
+    ``GROUP_BYTES`` of shingle sets are decided in a task each; in larger ones the least ids are decided, then all
+    others against those that stay, in parts, until the group is small. A text whose set is larger than that alone
+    is compared whole. Rows with a null id are left out.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).filter("_id is not null")
     marked = stored(rows.mapInArrow(_marked(shingle), "_id long, fp long, wide binary, key binary"))
@@ -357,19 +374,21 @@ def copies(
     linked = found.join(rows, F.col("node") == F.col("_id")).select("root", "_id", "_text")
     left = stored(linked.mapInArrow(_sets(shingle), "root long, _id long, shingles binary"))
     shape, near = "root long, _id long, shingles binary, n long, lead boolean, copy_of long", []
+    # a group's members count as its parts of SMALL members or GROUP_BYTES, whichever are more
+    parts = F.greatest(F.count(F.lit(1)) / SMALL, F.sum(F.octet_length("shingles").cast("long")) / GROUP_BYTES)
     while True:
-        sized = left.join(left.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root").withColumn("lead", F.lit(False))
-        large = sized.filter(F.col("n") > SMALL)
-        small = sized.filter(F.col("n") <= SMALL)
-        near.append(small.groupBy("root").applyInArrow(_decide(similarity), shape).filter("copy_of is not null").select("_id", "copy_of"))
-        if large.isEmpty():
+        sizes = stored(left.groupBy("root").agg(parts.alias("parts")).select("root", F.ceil("parts").alias("n")))
+        sized = left.join(sizes, "root").withColumn("lead", F.lit(False))
+        near.append(sized.filter("n = 1").groupBy("root").applyInArrow(_decide(similarity), shape).filter("copy_of is not null").select("_id", "copy_of"))
+        if sizes.filter("n > 1").isEmpty():
             break
-        first = large.withColumn("_r", F.row_number().over(Window.partitionBy("root").orderBy("_id"))).filter(F.col("_r") <= LEADERS).drop("_r")
-        head = stored(first.groupBy("root").applyInArrow(_decide(similarity), shape))
-        parts = F.floor(F.col("n") / SMALL)
-        lead = head.filter("copy_of is null").drop("copy_of").withColumn("lead", F.lit(True)).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts)))
-        rest = large.join(head.select("root", "_id"), ["root", "_id"], "left_anti").withColumn("part", F.pmod(F.xxhash64("_id"), parts + 1))
+        near[-1] = stored(near[-1])
+        large = sized.filter("n > 1")
+        first = stored(_first(large))
+        head = stored(large.join(first, ["root", "_id"]).groupBy("root").applyInArrow(_decide(similarity), shape))
+        lead = head.filter("copy_of is null").drop("copy_of").withColumn("lead", F.lit(True)).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))))
+        rest = large.join(first, ["root", "_id"], "left_anti").withColumn("part", F.pmod(F.xxhash64("_id"), F.col("n") + 1))
         judged = stored(lead.unionByName(rest).groupBy("root", "part").applyInArrow(_decide(similarity), shape).filter("not lead"))
         near += [f.filter("copy_of is not null").select("_id", "copy_of") for f in (head, judged)]
-        left = stored(judged.filter("copy_of is null").select("root", "_id", "shingles"))
+        left = judged.filter("copy_of is null").select("root", "_id", "shingles")
     return reduce(DataFrame.unionAll, near, same).withColumnRenamed("_id", id_col)
