@@ -129,3 +129,25 @@ def test_best_snippet(spark):
     frame = spark.createDataFrame(rows, "a string, b string")
     got = [r.s for r in frame.select(ft.best_snippet([F.col("a"), F.col("b")], ["alpha", "beta"], 6).alias("s")).collect()]
     assert got == ["beta", "…a beta x alpha y z…", None, "alpha beta"]
+
+
+def test_files_follow_the_tokens(spark, stored, tmp_path):
+    _, a, _ = stored
+    TextIndex(spark, str(tmp_path / "few")).rebuild(a)
+    months = a.turns.select("month").distinct().count()
+    assert len(list((tmp_path / "few").glob("postings/*/*/*/*.parquet"))) == months
+    to_parquet(a._replace(turns=a.turns.drop("month")), str(tmp_path / "archive"))
+    assert len(list((tmp_path / "archive").glob("turns/*/*.parquet"))) == months
+
+
+def test_repeated_documents_share_postings(spark, stored, tmp_path):
+    _, a, _ = stored
+    twice = a._replace(turns=a.turns.unionByName(a.turns.filter("session_id = 's2'").withColumn("content", F.lit("alpha other alpha"))))
+    index = TextIndex(spark, str(tmp_path / "index")).rebuild(twice)
+    want = {}
+    for r in twice.turns.select("session_id", "id", ft.tokens(F.col("content")).alias("t")).collect():
+        for k, w in enumerate(r.t):
+            want.setdefault((r.session_id, r.id, w), []).append(k)
+    found = index._tables.live("postings").filter("kind = 'content'").collect()
+    assert sorted((r.session_id, r.id, r.word, r.positions) for r in found) == sorted((*k, sorted(v)) for k, v in want.items())
+    assert index.strict(twice).isEmpty() and not index.strict(a).isEmpty()

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NO_MONTH = 0
@@ -34,3 +34,13 @@ def month_filter(after: datetime | None, before: datetime | None, column: str =
             kept = keep(month_number(bound))
             inside = kept if inside is None else inside & kept
     return None if inside is None else (F.col(column) == NO_MONTH) | inside
+
+
+def in_parts(rows: DataFrame, sizes: DataFrame, most: int, by: list[str], column: str = "_part") -> DataFrame:
+    """The rows with a part of their month, by a hash of some columns: as many parts as the month's size is times ``most``.
+
+    ``sizes`` has (month, size), one row a month; so files grow in number with what they hold.
+    """
+    parts = sizes.select("month", F.greatest(F.ceil(F.col("size") / most), F.lit(1)).alias("_parts"))
+    met = rows.join(F.broadcast(parts), "month", "left")
+    return met.withColumn(column, F.pmod(F.xxhash64(*by), F.coalesce("_parts", F.lit(1)))).drop("_parts")

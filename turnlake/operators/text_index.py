@@ -3,7 +3,8 @@
 On disk, below one folder:
 
 * ``postings``: a row for each word of a document, with its positions; partitioned
-  by generation, month and bucket, the bucket being a hash of the word.
+  by generation, month and bucket, the bucket being a hash of the word. Buckets and
+  files are as many as the tokens of a month call for.
 * ``documents``: a row for each document with its number of tokens; partitioned by
   generation and month.
 * ``touched`` and ``generations``: see ``turnlake.sources.generations``.
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnlake.functions import fulltext as ft
-from turnlake.functions.periods import month_filter, month_of
+from turnlake.functions.periods import in_parts, month_filter, month_of
 from turnlake.functions.query_string import Query
 from turnlake.sources.archive import Archive
 from turnlake.sources.generations import Generations, keys
@@ -34,9 +35,10 @@ from turnlake.sources.generations import Generations, keys
 CONTENT, CALL = "content", "call"
 #: The first position of a result's tokens.
 RESULT = 1 << 30
-BUCKETS = 64
-#: Parts of a month's bucket, so that no frequent word is one task's.
-PARTS = 8
+#: Most buckets, and tokens of a month for each on average where there are fewer.
+BUCKETS, BUCKET_TOKENS = 64, 1 << 21
+#: Tokens of a part of a month's bucket, so that no frequent word is one task's.
+PART_TOKENS = 1 << 19
 KEYS = ["session_id", "id"]
 _DOC = ["kind", "session_id", "id", "call"]
 
@@ -53,20 +55,41 @@ def documents_of(a: Archive) -> DataFrame:
     )
 
 
-def postings_of(documents: DataFrame, buckets: int = BUCKETS, deal: int = 0) -> DataFrame:
-    """A row for each word of each document.
+def _occurrences(first: Column, second: Column) -> Column:
+    """(word, positions) of each distinct word of a document, from its tokens in order of words."""
+    at = lambda c, start: F.transform(c, lambda w, k: F.struct(w.alias("word"), (k + start).cast("int").alias("at")))
+    bound = lambda c, use: F.get(F.transform(F.array(c), use), F.lit(0))  # noqa: E731  evaluated once
 
-    With ``deal``, rows are laid out by month and bucket in one shuffle, each
-    bucket in so many parts by turn; a word of a document stays in one part.
+    def grouped(tokens: Column) -> Column:
+        new = F.transform(tokens, lambda t, k: F.struct(t["word"].alias("word"), k.alias("k"), (~t["word"].eqNullSafe(F.get(tokens, k - 1)["word"])).alias("new")))
+        heads = F.filter(new, lambda h: h["new"])
+        length = lambda hs, h, j: F.coalesce(F.get(hs, j + 1)["k"], F.size(tokens)) - h["k"]
+        places = lambda hs, h, j: F.transform(F.slice(tokens, h["k"] + 1, length(hs, h, j)), lambda t: t["at"])
+        return bound(heads, lambda hs: F.transform(hs, lambda h, j: F.struct(h["word"].alias("word"), places(hs, h, j).alias("positions"))))
+
+    return bound(F.sort_array(F.concat(at(first, 0), at(second, RESULT))), grouped)
+
+
+def repeats(documents: DataFrame) -> bool:
+    """Whether a document occurs more than once."""
+    return not documents.groupBy(*_DOC).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+
+
+def postings_of(documents: DataFrame, buckets: int, merged: bool, sizes: DataFrame | None = None) -> DataFrame:
+    """A row for each word of each document; documents that repeat are ``merged``.
+
+    With ``sizes`` (tokens of a bucket by month), rows are laid out by month and
+    bucket in one shuffle, each bucket in parts by turn; a word of a document
+    stays in one part.
     """
-    at = lambda c, first: F.transform(c, lambda w, k: F.struct(w.alias("word"), (k + first).cast("int").alias("at")))
-    words = documents.select(*_DOC, "month", F.explode(F.concat(at(F.col("t0"), 0), at(F.col("t1"), RESULT))).alias("e")).select(*_DOC, "month", "e.word", "e.at")
+    dealt = ["month", "bucket"] if sizes is None else ["month", "bucket", "_part"]
+    documents = documents if sizes is None else in_parts(documents, sizes, PART_TOKENS, KEYS)
+    words = documents.withColumn("e", F.explode(_occurrences(F.col("t0"), F.col("t1")))).select("e.*", *_DOC, *[c for c in dealt if c != "bucket"])
     words = words.withColumn("bucket", bucket_of(F.col("word"), buckets))
-    by = ["month", "bucket", "word", *_DOC]
-    if deal:
-        words = words.withColumn("_part", F.pmod(F.xxhash64(*KEYS), F.lit(deal))).repartition("month", "bucket", "_part")
-        by.append("_part")
-    return words.groupBy(*by).agg(F.sort_array(F.collect_list("at")).alias("positions")).select("word", *_DOC, "positions", "month", "bucket")
+    words = words if sizes is None else words.repartition(*dealt)
+    if merged:
+        words = words.groupBy("word", *_DOC, *dealt).agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return words.select("word", *_DOC, "positions", "month", "bucket")
 
 
 def bucket_of(word: Column, buckets: int) -> Column:
@@ -91,16 +114,27 @@ class TextIndex:
     def buckets(self) -> int:
         return int(self._tables.note or BUCKETS)
 
-    def _write(self, a: Archive, sessions: DataFrame, whole: bool, buckets: int) -> TextIndex:
+    def _write(self, a: Archive, sessions: DataFrame, whole: bool, buckets: int | None) -> TextIndex:
         documents = documents_of(a)
         counted = documents.select(*_DOC, "month", (F.size("t0") + F.size("t1")).alias("n_tokens"))
-        # rows in order, so that a word is found by the files' statistics
-        postings = postings_of(documents, buckets, deal=PARTS).sortWithinPartitions("month", "bucket", "word")
-        self._tables.write({"documents": (counted, ["month"]), "postings": (postings, ["month", "bucket"])}, keys(sessions), whole, str(buckets))
+        chosen = buckets
+
+        def postings(written: dict[str, DataFrame]) -> DataFrame:
+            nonlocal chosen
+            months = written["documents"].groupBy("month").agg(F.sum(F.col("n_tokens").cast("long")).alias("tokens"))
+            if chosen is None:
+                mean = months.agg(F.avg("tokens")).first()[0] or 0
+                chosen = max(1, min(BUCKETS, math.ceil(mean / BUCKET_TOKENS)))
+            sizes = months.select("month", (F.col("tokens") / chosen).alias("size"))
+            # rows in order, so that a word is found by the files' statistics
+            return postings_of(documents, chosen, repeats(written["documents"]), sizes).sortWithinPartitions("month", "bucket", "word")
+
+        tables = {"documents": (counted, ["month"]), "postings": (postings, ["month", "bucket"])}
+        self._tables.write(tables, keys(sessions), whole, lambda: str(chosen))
         return self
 
-    def rebuild(self, a: Archive, buckets: int = BUCKETS) -> TextIndex:
-        """The index as a function of the archive alone, as one generation."""
+    def rebuild(self, a: Archive, buckets: int | None = None) -> TextIndex:
+        """The index as a function of the archive alone, as one generation; its buckets follow from its tokens unless they are given."""
         return self._write(a, a.turns.select("session_id"), True, buckets)
 
     def replace(self, a: Archive, sessions: DataFrame) -> TextIndex:
@@ -186,7 +220,8 @@ class TextIndex:
         Documents without words have no postings; ``integrity`` counts them.
         """
         line = [*_DOC, "word", "month"]
-        want = postings_of(documents_of(a), self.buckets).select(*line, F.col("positions").alias("_want"))
+        documents = documents_of(a)
+        want = postings_of(documents, self.buckets, repeats(documents)).select(*line, F.col("positions").alias("_want"))
         have = self._tables.live("postings").select(*line, F.col("positions").alias("_have"))
         same = [F.col(f"w.{c}").eqNullSafe(F.col(f"h.{c}")) for c in line]
         both = want.alias("w").join(have.alias("h"), same, "full").filter(~F.col("_want").eqNullSafe(F.col("_have")))

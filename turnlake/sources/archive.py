@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from turnlake.functions.periods import month_of
+from turnlake.functions.periods import in_parts, month_of
 
 
 class Archive(NamedTuple):
@@ -31,6 +31,9 @@ BASE = "2024-01-01 00:00:00"
 ORDER = {"sessions": ["id"], "turns": ["session_id", "ordinal"], "tool_uses": ["session_id", "turn_id"]}
 
 
+#: Bytes of content in a file of turns, on average.
+TURN_BYTES = 32 << 20
+
 #: Layout of a stored archive; 1 had no months and no version.
 VERSION = 2
 
@@ -67,8 +70,9 @@ def to_parquet(a: Archive, folder: str) -> None:
     for name, rows in zip(a._fields, a, strict=True):
         by = []
         if name == "turns":
-            rows = rows.withColumn("month", month_of(F.col("timestamp"))).repartition("month", F.pmod(F.xxhash64("session_id"), F.lit(32)))
-            by = ["month"]
+            rows, by = rows.withColumn("month", month_of(F.col("timestamp"))), ["month"]
+            sizes = rows.groupBy("month").agg(F.sum(F.octet_length("content").cast("long")).alias("size"))
+            rows = in_parts(rows, sizes, TURN_BYTES, ["session_id"]).repartition("month", "_part").drop("_part")
         rows = rows.sortWithinPartitions(*by, *ORDER[name]) if name in ORDER else rows
         rows.write.mode("overwrite").partitionBy(*by).parquet(f"{folder}/{name}")
     a.spark.createDataFrame([(VERSION,)], "version int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/version")

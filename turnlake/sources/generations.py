@@ -10,6 +10,8 @@ is gone. There is one writer at a time; readers keep what was there when they op
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -42,14 +44,24 @@ class Generations:
         newest = self._stored("touched").filter(F.col("scope") == scope).groupBy(F.col("key").alias(key)).agg(F.max("generation").alias("generation"))
         return rows.join(newest, [key, "generation"], "left_semi")
 
-    def write(self, tables: dict[str, tuple[DataFrame, list[str]]], touched: DataFrame, whole: bool = False, note: str | None = None) -> None:
-        """One generation: (rows, partition columns) of each table, and (scope, key) of all that it speaks for."""
+    def write(
+        self, tables: dict[str, tuple[DataFrame | Callable[[dict[str, DataFrame]], DataFrame], list[str]]], touched: DataFrame,
+        whole: bool = False, note: str | Callable[[], str] | None = None,
+    ) -> None:
+        """One generation: (rows, partition columns) of each table, and (scope, key) of all that it speaks for.
+
+        Rows can be a function of the tables of this generation that were written before them, by name; a note
+        that is a function is asked last.
+        """
         self.refresh()  # another handle may have written
-        generation = self._last + 1
+        generation, done = self._last + 1, {}
         for name, (rows, by) in {**tables, "touched": (touched.select("scope", "key").distinct(), [])}.items():
-            rows.write.mode("overwrite").partitionBy(*by).parquet(f"{self.folder}/{name}/generation={generation}")
-        done = self.spark.createDataFrame([(generation, whole, note or self.note)], "generation int, whole boolean, note string")
-        done.coalesce(1).write.mode("append").parquet(f"{self.folder}/generations")
+            rows = rows(done) if callable(rows) else rows
+            rows.write.mode("overwrite").partitionBy(*by).parquet(place := f"{self.folder}/{name}/generation={generation}")
+            done[name] = self.spark.read.schema(rows.schema).parquet(place)
+        note = note() if callable(note) else note
+        listed = self.spark.createDataFrame([(generation, whole, note or self.note)], "generation int, whole boolean, note string")
+        listed.coalesce(1).write.mode("append").parquet(f"{self.folder}/generations")
         self.refresh()
 
 
