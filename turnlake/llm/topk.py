@@ -9,9 +9,11 @@ reaches it are visited, and nothing is sent to others. Within a tree a node is
 kept while its bound reaches the query's current kth result, ties by the least
 id below the node, and leaves are opened in the order of their bounds.
 
-Queries are sent to the trees in blocks of one home cell, ``BLOCK_ROWS`` of them
-at most on average; a shard is copied for each block that visits it.
-Where balls prune nothing, every block visits every shard, as exact search must.
+Queries are sent to the trees in blocks of ``BLOCK_ROWS`` at most on average, and
+a shard is copied for each block that visits it. There are as few blocks as that
+size and the cores to keep busy allow, since copies are what fills disks; vectors
+move in the narrowest integers that hold them. Where balls prune nothing, every
+block visits every shard, as exact search must.
 
 Components x become floor(64 x); scores are integer inner products, ties go to
 the smaller id, and a query is never its own candidate.
@@ -37,15 +39,15 @@ from pyspark.sql.window import Window
 from turnlake.llm.shared import stored
 
 LEAF = 128
-#: Most vectors of a shard and queries of a block, on average (about 16 MB at 64 components).
-SHARD_ROWS, BLOCK_ROWS = 32_768, 4_096
+#: Most vectors of a shard and queries of a block, on average (about 4 MB at 64 components of a byte), and queries searched at once.
+SHARD_ROWS, BLOCK_ROWS, STRIP = 65_536, 65_536, 4_096
 #: Most cells, vectors for each on average where there are fewer cells, and most vectors that place the pivots.
-CELLS, CELL_ROWS, SAMPLE = 512, 2_048, 4_096
+CELLS, CELL_ROWS, SAMPLE = 512, 32_768, 4_096
 _EXACT = float(1 << 53)
 _NONE, _LAST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 _UNIT = ["size", "cell", "shard", "block"]
-_ASK = "size int, cell int, shard int, block long, _id long, copy long, _vector array<bigint>, least long, floor long"
-_FOUND = "size int, cell int, shard int, block long, _id long, copy long, _vector array<bigint>, ids array<bigint>, scores array<bigint>"
+_ASK = "size int, cell int, shard int, block long, _id long, copy long, _vector binary, least long, floor long"
+_FOUND = "size int, cell int, shard int, block long, _id long, copy long, _vector binary, ids array<bigint>, scores array<bigint>"
 
 
 def build_tree(ids: np.ndarray, vectors: np.ndarray) -> dict:
@@ -77,10 +79,11 @@ def build_tree(ids: np.ndarray, vectors: np.ndarray) -> dict:
 
 def _scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Exact integer inner products, in floating point where that is exact."""
-    most = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * queries.shape[1]
+    widest = lambda x: max(float(x.max(initial=0)), -float(x.min(initial=0)))
+    most = widest(queries) * widest(vectors) * queries.shape[1]
     if most < _EXACT:
         return (queries.astype(np.float64) @ vectors.astype(np.float64).T).astype(np.int64)
-    return queries @ vectors.T
+    return queries @ vectors.astype(np.int64).T
 
 
 class _Best:
@@ -185,6 +188,31 @@ def nearest(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return (points @ pivots.T - (pivots**2).sum(1) / 2).argmax(1)
 
 
+def _widths(vectors: np.ndarray) -> np.ndarray:
+    """Bytes of an integer that holds every component, for each vector."""
+    most = np.maximum(vectors.max(axis=1, initial=0), -1 - vectors.min(axis=1, initial=0))
+    return np.where(most < 1 << 7, 1, np.where(most < 1 << 15, 2, np.where(most < 1 << 31, 4, 8)))
+
+
+def _narrow(vectors: np.ndarray) -> pa.Array:
+    """Each vector as the bytes of its narrowest integers."""
+    widths, rows = _widths(vectors), [b""] * len(vectors)
+    for width in np.unique(widths):
+        at = np.flatnonzero(widths == width)
+        for k, row in zip(at.tolist(), vectors[at].astype(f"<i{width}"), strict=True):
+            rows[k] = row.tobytes()
+    return pa.array(rows, pa.binary())
+
+
+def _wide(column: pa.Array, size: int) -> np.ndarray:
+    rows, out = column.to_pylist(), np.zeros((len(column), size), np.int64)
+    lengths = np.array([len(r) for r in rows])
+    for length in np.unique(lengths):
+        at = np.flatnonzero(lengths == length)
+        out[at] = np.frombuffer(b"".join(rows[k] for k in at.tolist()), f"<i{length // size}").reshape(-1, size)
+    return out
+
+
 def _by_size(rows: pa.RecordBatch | pa.Table) -> Iterator[tuple[pa.RecordBatch | pa.Table, int, np.ndarray]]:
     """The rows of each length of vectors, that length, and the vectors."""
     sizes = rows.column("size").to_numpy()
@@ -192,6 +220,9 @@ def _by_size(rows: pa.RecordBatch | pa.Table) -> Iterator[tuple[pa.RecordBatch |
         part = rows.take(pa.array(np.flatnonzero(sizes == size)))
         vectors = part.column("_vector")
         vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+        if pa.types.is_binary(vectors.type):
+            yield part, int(size), _wide(vectors, int(size))
+            continue
         yield part, int(size), vectors.flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, size)
 
 
@@ -206,16 +237,17 @@ def _assigned(rows: DataFrame, shared) -> DataFrame:
                 cell = nearest(points, pivots)
                 far = np.sqrt(((points - pivots[cell]) ** 2).sum(1))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("size"), pa.array(cell, pa.int32()), pa.array(far), part.column("_id"), part.column("_vector")],
+                    [part.column("size"), pa.array(cell, pa.int32()), pa.array(far), part.column("_id"), _narrow(vectors)],
                     names=["size", "cell", "far", "_id", "_vector"],
                 )
 
-    return rows.mapInArrow(run, "size int, cell int, far double, _id long, _vector array<bigint>")
+    return rows.mapInArrow(run, "size int, cell int, far double, _id long, _vector binary")
 
 
-def _ask_rows(part, size: int, cell: np.ndarray, shard: np.ndarray, row: np.ndarray, least: np.ndarray, floor: np.ndarray) -> pa.RecordBatch:
+def _ask_rows(part, size: int, queries: np.ndarray, cell: np.ndarray, shard: np.ndarray, row: np.ndarray, least: np.ndarray, floor: np.ndarray) -> pa.RecordBatch:
     at = pa.array(row)
-    columns = [part.column(c).take(at) for c in ("block", "_id", "copy", "_vector")]
+    columns = [part.column(c).take(at) for c in ("block", "_id", "copy")]
+    columns.append((part.column("_vector") if pa.types.is_binary(part.column("_vector").type) else _narrow(queries)).take(at))
     head = [pa.array(np.full(len(row), size), pa.int32()), pa.array(cell, pa.int32()), pa.array(shard, pa.int32())]
     return pa.RecordBatch.from_arrays([*head, *columns, pa.array(least), pa.array(floor)], names=[c.split()[0] for c in _ASK.split(", ")])
 
@@ -231,7 +263,7 @@ def _home(shared):
                     cell = (queries @ c.pivots.T).argmax(1)
                     shard = part.column("copy").to_numpy() % c.shards[cell]
                     rows = np.arange(len(cell))
-                    yield _ask_rows(part, size, c.number[cell], shard, rows, np.full(len(rows), _LAST), np.full(len(rows), _NONE))
+                    yield _ask_rows(part, size, queries, c.number[cell], shard, rows, np.full(len(rows), _LAST), np.full(len(rows), _NONE))
 
     return run
 
@@ -253,7 +285,7 @@ def _others(shared, k: int):
                 row, at, shard = row[~home], at[~home], shard[~home]
                 for a in range(0, len(row), 8192):
                     r = row[a : a + 8192]
-                    yield _ask_rows(part, size, c.number[at[a : a + 8192]], shard[a : a + 8192], r, least[r], floor[r])
+                    yield _ask_rows(part, size, queries, c.number[at[a : a + 8192]], shard[a : a + 8192], r, least[r], floor[r])
 
     return run
 
@@ -268,11 +300,18 @@ def _searched(asks: DataFrame, trees: DataFrame, k: int, parts: int) -> DataFram
             found, scores = none, none
         else:
             (_, _, vectors), = _by_size(queries)
-            best = search(pickle.loads(tree.column("data")[0].as_py()), own, vectors, *(queries.column(c).to_numpy() for c in ("floor", "least")), k)
-            floor, least = (x[:, None] for x in (best.floor, best.least))
-            held = (best.id != _LAST) & ((best.score > floor) | ((best.score == floor) & (best.id < least)))
-            ends = pa.array(np.concatenate(([0], np.cumsum(held.sum(1)))), pa.int32())
-            found, scores = (pa.ListArray.from_arrays(ends, pa.array(x[held])) for x in (best.id, best.score))
+            ball, floors, leasts = pickle.loads(tree.column("data")[0].as_py()), *(queries.column(c).to_numpy() for c in ("floor", "least"))
+            counts, names, values = [], [], []
+            for at in range(0, n, STRIP):
+                some = slice(at, at + STRIP)
+                best = search(ball, own[some], vectors[some], floors[some], leasts[some], k)
+                floor, least = (x[:, None] for x in (best.floor, best.least))
+                held = (best.id != _LAST) & ((best.score > floor) | ((best.score == floor) & (best.id < least)))
+                counts.append(held.sum(1))
+                names.append(best.id[held])
+                values.append(best.score[held])
+            ends = pa.array(np.concatenate(([0], np.cumsum(np.concatenate(counts)))), pa.int32())
+            found, scores = (pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (names, values))
         return queries.select(["size", "cell", "shard", "block", "_id", "copy", "_vector"]).append_column("ids", found).append_column("scores", scores)
 
     # other names: both sides come from the same asks
@@ -302,7 +341,8 @@ def top_k(
     def pack(table: pa.Table) -> pa.Table:
         (part, _, points), = _by_size(table)
         order = np.argsort(part.column("_id").to_numpy(), kind="stable")
-        data = pickle.dumps(build_tree(part.column("_id").to_numpy()[order], points[order]), 5)
+        width = _widths(points).max()
+        data = pickle.dumps(build_tree(part.column("_id").to_numpy()[order], points[order].astype(f"<i{width}")), 5)
         return pa.table({**{c: part.column(c)[:1] for c in _UNIT[:3]}, "data": pa.array([data], pa.binary())})
 
     points = clean(vectors)
@@ -330,7 +370,10 @@ def top_k(
     many = F.broadcast(homes.groupBy("size", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks")))  # as many rows as cells
     block = F.col("cell").cast("long") * (1 << 32) + F.pmod(F.xxhash64("copy"), "blocks")
     first = stored(_searched(homes.join(many, ["size", "cell"]).withColumn("block", block).drop("blocks"), trees, k, parts))
-    further = first.mapInArrow(_others(shared, k), _ASK)
+    # whatever their home cells: a block for each BLOCK_ROWS, or more where shards are too few for all cores
+    shards = sum(int(c.shards.sum()) for c in cells.values())
+    blocks = max(-(-asked.count() // BLOCK_ROWS), -(-2 * spark.sparkContext.defaultParallelism // max(shards, 1)))
+    further = first.mapInArrow(_others(shared, k), _ASK).withColumn("block", F.pmod(F.xxhash64("copy"), F.lit(blocks)))
     second = _searched(further, trees, k, parts)
     by_query = Window.partitionBy("copy", "query_id").orderBy(F.desc("score"), "vec_id")
     ranked = (
