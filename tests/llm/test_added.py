@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from turnlake.llm import divergence, prefix_trie, queries, suffix_dedup
+from turnlake.llm import divergence, prefix_trie, queries, simhash, suffix_dedup, topk
 
 # -- op11
 
@@ -359,3 +359,32 @@ def test_codings_of_responses_are_undone():
     assert warc.unchunked(chunks(plain)[:-3000]) in plain and warc.unchunked(b"") == b"" == warc.unzipped(b"")
     # many members take one pass
     assert warc.unzipped(gzip.compress(b"x" * 500) * 50_000) == b"x" * 25_000_000
+
+
+def test_simhash_deals_no_more_parts_than_pairs(spark):
+    rows = [(k * 7919 % 1009 << 20 | k, k) for k in range(300)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "32")
+        found = simhash.links(spark.createDataFrame(rows, "fp long, rep long"))
+        assert found.rdd.getNumPartitions() == 1  # one block, one pair
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_top_k_copies_shards_for_few_blocks(spark, monkeypatch):
+    for name, value in (("SHARD_ROWS", 60), ("BLOCK_ROWS", 50), ("CELL_ROWS", 20), ("LEAF", 16), ("STRIP", 7)):
+        monkeypatch.setattr(topk, name, value)
+    rng, asked, search = np.random.default_rng(3), [], topk._searched
+    monkeypatch.setattr(topk, "_searched", lambda asks, *rest: asked.append(asks) or search(asks, *rest))
+    vectors = rng.normal(size=(600, 6)) * np.array([0.2, 200.0, 0.2])[rng.integers(0, 3, 600)][:, None] * 10.0 ** rng.integers(0, 6, (600, 1))
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in topk.top_k(frame, frame.filter("vec_id % 6 = 0"), 5).collect()}
+    whole = np.floor(vectors * 64).astype(np.int64)
+    want = set()
+    for i in range(0, 600, 6):
+        score = whole @ whole[i]
+        order = [k for k in np.lexsort((np.arange(600), -score)) if k != i][:5]
+        want |= {(i, n + 1, int(k), int(score[k])) for n, k in enumerate(order)}
+    assert got == want
+    assert asked[1].select("block").distinct().count() <= 2  # 100 queries in blocks of 50, from about 30 home cells

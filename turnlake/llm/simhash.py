@@ -252,8 +252,8 @@ def links(distinct: DataFrame, radius: int = 4, wide_radius: int | None = None)
         node, root = _forest(a, b[:0] if same else b, _gathered(near))
         return pa.table({"u": rep[node], "v": rep[root]})
 
-    # dealt by number, so that few and small rows are not put together into few tasks
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # dealt by number, so that few and small rows are not put together into few tasks; no more parts than pairs, since the driver keeps an account of each
+    parts = min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), blocks * (blocks + 1) // 2)
     return met.repartition(parts, "a", "b").groupBy("a", "b").applyInArrow(compare, "u long, v long")
 
 
