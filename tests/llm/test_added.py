@@ -7,9 +7,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from turnlake.llm import divergence, prefix_trie, queries, simhash, suffix_dedup, topk
+from turnlake.llm import divergence, prefix_trie, queries, shared, simhash, suffix_dedup, topk
 
 # -- op11
 
@@ -388,3 +389,81 @@ def test_top_k_copies_shards_for_few_blocks(spark, monkeypatch):
         want |= {(i, n + 1, int(k), int(score[k])) for n, k in enumerate(order)}
     assert got == want
     assert asked[1].select("block").distinct().count() <= 2  # 100 queries in blocks of 50, from about 30 home cells
+
+
+def _edited(rng, count, words, change):
+    """(id, text): families of texts with a few words changed, some by drift, and texts that share nothing."""
+    rows, base = [], []
+    for k in rng.sample(range(10 * count), count):
+        if not base or rng.random() < 0.1:
+            base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+        text = list(base)
+        for at in rng.sample(range(words), rng.randrange(change + 1)):
+            text[at] = f"x{rng.randrange(10**6)}"
+        if rng.random() < 0.3:
+            base = text
+        rows.append((k, " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("settled", [500_000, 2])
+def test_copies_in_large_groups_are_the_first_by_id(spark, monkeypatch, settled):
+    for name, value in (("SMALL", 6), ("LEADERS", 3), ("SALTS", 2), ("PAIRS", settled)):
+        monkeypatch.setattr(simhash, name, value)
+    rows = _edited(random.Random(12), 250, 120, 6)
+    sets = {i: np.unique(np.array(simhash.shingle_hashes(t, 5), np.uint64)) for i, t in rows}
+    stay, gone = [], {}
+    for i in sorted(sets):
+        like = next((j for j in stay if simhash.similar(sets[i], sets[j], 0.8)), None)
+        if like is None:
+            stay.append(i)
+        else:
+            gone[i] = like
+    # every text is linked, so that there is one group
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.copy_of for r in simhash.copies(frame, radius=64, wide_radius=256).collect()}
+    assert set(got) == set(gone) and 60 < len(gone) < 200
+    # texts of one shingle set are copies of the least id, which may itself go
+    near = {i: j for i, j in got.items() if not np.array_equal(sets[i], sets[j])}
+    assert all(j in set(stay) and j < i and simhash.similar(sets[i], sets[j], 0.8) for i, j in near.items())
+    assert len(near) > 30 and (settled < len(rows) ** 2 or all(gone[i] == j for i, j in near.items()))
+
+
+def test_steps_over_a_large_group_do_not_grow_with_it(spark, monkeypatch):
+    for name, value in (("SMALL", 6), ("LEADERS", 6)):
+        monkeypatch.setattr(simhash, name, value)
+    rng, steps, store = random.Random(3), [], simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda frame: steps.append(1) or store(frame))
+    base = [f"w{k}" for k in range(60)]
+    taken = []
+    for count in (9, 18):
+        # all stay: half share nothing, half have a third of their shingles in common with the others
+        rows = [(2 * k, " ".join(f"v{k}.{n}" for n in range(9))) for k in range(count)]
+        rows += [(2 * k + 1, " ".join(base + [f"u{k}.{n}" for n in range(40)])) for k in range(count)]
+        rng.shuffle(rows)
+        steps.clear()
+        assert simhash.copies(spark.createDataFrame(rows, "doc_id long, text string"), radius=64, wide_radius=256).count() == 0
+        taken.append(len(steps))
+    assert taken[0] == taken[1]
+
+
+def test_similar_sets_share_one_of_their_first_hashes():
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 4, 5, 9, 10, 63, 400):
+        for _ in range(60):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            b = np.unique(np.concatenate((a[rng.random(n) < 0.9], rng.integers(0, 1 << 63, n // 9 + 1, dtype=np.uint64))))
+            rows = pa.RecordBatch.from_pylist([{"root": 7, "_id": k, "shingles": s.tobytes()} for k, s in enumerate((a, b, a[:0]))])
+            first = pa.Table.from_batches(simhash._prefixes(0.8)([rows])).to_pylist()
+            held = [{r["hash"] for r in first if r["_id"] == k} for k in range(3)]
+            assert not held[2] and (held[0] & held[1] or not simhash.similar(a, b, 0.8))
+
+
+@pytest.mark.parametrize("again, more", [(0, True), (3600, False)])
+def test_stored_lets_go_of_the_drivers_garbage(spark, monkeypatch, again, more):
+    monkeypatch.setattr(shared, "LET_GO_S", again)
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    old = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = old()
+    assert shared.stored(spark.range(3)).count() == 3
+    assert (old() > before) == more
