@@ -453,10 +453,14 @@ def test_similar_sets_share_one_of_their_first_hashes():
         for _ in range(60):
             a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
             b = np.unique(np.concatenate((a[rng.random(n) < 0.9], rng.integers(0, 1 << 63, n // 9 + 1, dtype=np.uint64))))
-            rows = pa.RecordBatch.from_pylist([{"root": 7, "_id": k, "shingles": s.tobytes()} for k, s in enumerate((a, b, a[:0]))])
-            first = pa.Table.from_batches(simhash._prefixes(0.8)([rows])).to_pylist()
-            held = [{r["hash"] for r in first if r["_id"] == k} for k in range(3)]
+            rows = [pa.RecordBatch.from_pylist([{"root": 7, "_id": k, "shingles": s.tobytes()}]) for k, s in enumerate((a, b, a[:0]))]
+            first = pa.Table.from_batches(simhash._prefixes(0.8)(rows)).to_pylist()
+            held = [{r["hash"] for r in first if r["u"] == k} for k in range(3)]
             assert not held[2] and (held[0] & held[1] or not simhash.similar(a, b, 0.8))
+            # in one batch a hash gets one row, and its other holders a link
+            both = pa.Table.from_batches(simhash._prefixes(0.8)([pa.Table.from_batches(rows).combine_chunks().to_batches()[0]])).to_pylist()
+            assert {r["hash"] for r in both if r["v"] is None} == held[0] | held[1] and sum(r["v"] is None for r in both) == len(held[0] | held[1])
+            assert [(r["u"], r["v"]) for r in both if r["v"] is not None] == [(1, 0)] * bool(held[0] & held[1])
 
 
 @pytest.mark.parametrize("again, more", [(0, True), (3600, False)])

@@ -312,20 +312,34 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
 
 
 def _prefixes(least: float):
-    """The least hashes of each set, so many that two sets so similar have one of them in common."""
+    """Of each set the least hashes, so many that two sets so similar have one of them in common.
+
+    Rows (root, hash, u) with the least id of a hash's holders in a batch, and rows (u, v) that link its other holders
+    to that one, so that of a hash, however frequent, a row for each batch is dealt out.
+    """
+
+    def linked(root: np.ndarray, own: np.ndarray, size: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+        root, own = np.repeat(root, size), np.repeat(own, size)
+        order = np.lexsort((own, first, root))
+        root, own, first = root[order], own[order], first[order]
+        new = np.ones(len(own), bool)
+        new[1:] = (root[1:] != root[:-1]) | (first[1:] != first[:-1])
+        links = np.unique(np.stack((own, own[new][np.cumsum(new) - 1]))[:, ~new], axis=1)
+        none = pa.nulls(links.shape[1], pa.int64())
+        columns = (pa.array(root[new]), none), (pa.array(first[new]), none), (pa.array(own[new]), pa.array(links[0])), (pa.nulls(new.sum(), pa.int64()), pa.array(links[1]))
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=["root", "hash", "u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            firsts, owners, size = [], [], 0
+            roots, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            firsts, at, size = [], 0, 0
             for k, shingles in enumerate(batch.column(2)):
                 whole = np.frombuffer(shingles.as_buffer(), np.int64)  # sorted as unsigned numbers
                 firsts.append(whole[: len(whole) - int(np.ceil(least * len(whole) - 1e-6)) + 1])
-                owners.append(k)
                 size += len(firsts[-1])
                 if size >= 1 << 18 or k + 1 == batch.num_rows:
-                    of = np.repeat(owners, [len(x) for x in firsts])
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array(np.concatenate(firsts))], names=["root", "_id", "hash"])
-                    firsts, owners, size = [], [], 0
+                    yield linked(roots[at : k + 1], ids[at : k + 1], np.array([len(x) for x in firsts]), np.concatenate(firsts))
+                    firsts, at, size = [], k + 1, 0
 
     return run
 
@@ -336,9 +350,10 @@ def _nearer(loose: DataFrame, least: float) -> DataFrame:
     Fingerprints of short texts come near each other by chance, and such links make groups that grow faster than the
     input; what shares no hash is not similar, however many links there are.
     """
-    hashes = stored(loose.mapInArrow(_prefixes(least), "root long, _id long, hash long"))
-    holder = hashes.groupBy("root", "hash").agg(F.min("_id").alias("v"))
-    edges = hashes.join(holder, ["root", "hash"]).filter("_id <> v").select(F.col("_id").alias("u"), "v")
+    hashes = stored(loose.mapInArrow(_prefixes(least), "root long, hash long, u long, v long"))
+    heads = hashes.filter("v is null").drop("v")
+    holder = heads.groupBy("root", "hash").agg(F.min("u").alias("v"))
+    edges = heads.join(holder, ["root", "hash"]).select("u", "v").unionAll(hashes.filter("v is not null").select("u", "v"))
     return components(edges).join(loose.drop("root"), F.col("node") == F.col("_id")).select("root", "_id", "shingles")
 
 
